@@ -22,13 +22,19 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from shelfspark.plans import history, pages, products, stores  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count()
+    return queries()["products_normalized"](spark, sf_dir)

@@ -1,0 +1 @@
+"""Queries; importing a module registers what it holds."""
