@@ -62,10 +62,12 @@ def _sums(weights: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def _features(texts: list) -> np.ndarray:
-    buckets, counts = _trigrams(texts)
-    row = np.repeat(np.arange(len(texts)), counts)
-    x = np.bincount(row * BUCKETS + buckets, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
-    return (x / np.maximum(1, counts)[:, None]).astype(np.float32)
+    """Each text's shares of the buckets, a text at a time so that only the result is held."""
+    x = np.zeros((len(texts), BUCKETS), np.float32)
+    for k, t in enumerate(texts):
+        buckets, counts = _trigrams([t])
+        x[k] = np.bincount(buckets, minlength=BUCKETS) / max(1, int(counts[0]))
+    return x
 
 
 def _svm(gram: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
@@ -128,13 +130,15 @@ def train(texts: list, labels: list[str]) -> Model:
     x = _features(texts)
     y = np.array(labels)
     scale = (1 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32)
-    z = x * scale
-    gram = z.astype(np.float32) @ z.T + 1.0  # the bias is one more feature
+    x *= scale
+    gram = x @ x.T + 1.0  # the bias is one more feature
     columns, bias, pairs = [], [], []
 
     def fit(rows: np.ndarray, sign: np.ndarray) -> None:
         c = _svm(gram[np.ix_(rows, rows)].astype(np.float64), sign)
-        columns.append((c @ z[rows]) * scale)
+        full = np.zeros(len(y), np.float32)
+        full[rows] = c
+        columns.append((full @ x) * scale)
         bias.append(c.sum())
 
     everything = np.arange(len(y))
