@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -28,8 +29,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "white trash
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
 #: Weight of matches in a hundred words from which a text is toxic, if no labels tell.
 THRESHOLD = 0.2
-#: A learned entry: standard deviations above chance, share of its documents that aren't toxic, letters and completions of a stem.
-SIGMAS, IMPURE, STEM, COMPLETIONS = 4.0, 0.05, 4, 3
+#: A learned entry: log-likelihood (in nats) against chance, share of its documents that aren't toxic (as if there were as many of those), letters and completions of a stem, documents.
+EVIDENCE, IMPURE, STEM, COMPLETIONS, LEAST = 14.0, 0.05, 4, 3, 6
 
 _FOLD = {ord(a): b for a, b in zip("0134578９９|", "oieastbgg1")} | {ord("9"): "g"}
 _FOLD |= {ord(a): b for a, b in zip("аеорсухіѕјкмтнвԁԛѡ", "aeopcyxisjkmthbdqw")}
@@ -97,17 +98,27 @@ def score(a: ahocorasick.Automaton, text: str) -> tuple[float, int, int]:
 _LETTERS = re.compile(r"[^\W_]+")
 
 
+def _distinct(texts: list[list[str]]) -> list[list[str]]:
+    """Without near copies, whose words would count as often as there are copies: texts whose run of four words of lowest checksum was seen."""
+    seen, out = set(), []
+    for w in texts:
+        low = min((crc32(" ".join(w[k : k + 4]).encode()) for k in range(max(1, len(w) - 3))), default=0)
+        if low not in seen:
+            seen.add(low)
+            out.append(w)
+    return out
+
+
 def learn(toxic: list[str], other: list[str], base: dict[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """``base`` and the words and stems that labelled texts add, with a threshold that parts the two kinds of text best."""
     weights = dict(LEXICON if base is None else base)
-    bags = [{*_LETTERS.findall(fold(t))} for t in toxic]
+    bags = [{*w} for w in _distinct([_LETTERS.findall(fold(t)) for t in toxic])]
     words = Counter(w for b in bags for w in b)
     heads: Counter = Counter()
     completions: dict[str, set] = {}
     for b in bags:
         heads.update({w[:n] for w in b for n in range(STEM, len(w) + 1)})
-    least = SIGMAS**2
-    heads = Counter({p: n for p, n in heads.items() if n >= least})
+    heads = Counter({p: n for p, n in heads.items() if n >= LEAST})
     for w in words:
         for n in range(STEM, len(w) + 1):
             if w[:n] in heads:
@@ -117,13 +128,17 @@ def learn(toxic: list[str], other: list[str], base: dict[str, float] | None = No
         b = {*_LETTERS.findall(fold(t))}
         rest.update({w[:n] for w in b for n in range(STEM, len(w) + 1)} & heads.keys())
         rest_words.update(b & words.keys())
-    ratio = len(toxic) / max(1, len(other))
-
-    def weight(yes: int, no: float) -> float | None:
-        no *= ratio
-        if no <= IMPURE * yes and (yes - no) / math.sqrt(yes + no) >= SIGMAS:
-            return round(min(3.0, max(0.5, math.log((yes + 0.5) / (no + 0.5)) / 3)), 3)
-        return None
+    ratio = len(bags) / max(1, len(other))
+    chance = len(bags) / max(1, len(bags) + len(other))
+
+    def weight(yes: int, no: int) -> float | None:
+        n, q = yes + no, yes / (yes + no) if yes else 0.0
+        if yes < LEAST or q <= chance or no * ratio > IMPURE * yes:
+            return None
+        rest = (1 - q) * math.log((1 - q) / (1 - chance)) if q < 1 else 0.0
+        if n * (q * math.log(q / max(chance, 1e-9)) + rest) < EVIDENCE and other:
+            return None
+        return round(min(3.0, max(0.5, math.log((yes + 0.5) / (no * ratio + 0.5)) / 3)), 3)
 
     taken: set[str] = set()
     for p in sorted(heads, key=lambda p: (len(p), p)):
@@ -143,7 +158,7 @@ def learn(toxic: list[str], other: list[str], base: dict[str, float] | None = No
     if cuts and no:
         y, n = np.sort(yes), np.sort(no)
         right = len(y) - np.searchsorted(y, cuts)
-        wrong = (len(n) - np.searchsorted(n, cuts)) * ratio
+        wrong = (len(n) - np.searchsorted(n, cuts)) * len(y) / len(n)
         best = int(np.argmax(2 * right / (right + wrong + len(y))))
         below = max([s for s in (*yes, *no) if s < cuts[best]], default=0.0)
         found.threshold = (cuts[best] + below) / 2
