@@ -125,7 +125,7 @@ def fingerprint(brand: Column, name: Column, size_g: Column, product_type: Colum
 
 def is_placeholder(c: Column) -> Column:
     """Whether a name is null, blank, a stand-in or a licence number."""
-    return F.coalesce((F.trim(c) == "") | c.rlike(f"(?i){rules.PLACEHOLDER}") | F.trim(c).rlike(f"(?i){rules.LICENCE}"), F.lit(True))
+    return F.coalesce((F.trim(c) == "") | c.rlike(f"(?iU){rules.PLACEHOLDER}") | F.trim(c).rlike(f"(?i){rules.LICENCE}"), F.lit(True))
 
 
 def geocode_query(address: Column, city: Column, state: Column, zip_code: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,11 @@ def street_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stores(spark, sf_dir).select("id", number.alias("house_number"), key.alias("street_key"))
 
 
-@query(f"""SELECT doc_id, trim(s) = '' OR regexp_matches(s, '(?i){rules.PLACEHOLDER}') OR regexp_matches(trim(s), '(?i){rules.LICENCE}') AS placeholder, regexp_matches(lower(s), '\\b(?:edibles|thc|trash)\\b') AS trade
+#: DuckDB's word boundary knows ASCII only: said with the letters and digits of all scripts.
+_PLACEHOLDER = re.sub(r"\\b(.*?)\\b", r"(?:^|[^\\p{L}\\p{N}_])\1(?:$|[^\\p{L}\\p{N}_])", rules.PLACEHOLDER)
+
+
+@query(f"""SELECT doc_id, trim(s) = '' OR regexp_matches(s, '(?i){_PLACEHOLDER}') OR regexp_matches(trim(s), '(?i){rules.LICENCE}') AS placeholder, regexp_matches(lower(s), '\\b(?:edibles|thc|trash)\\b') AS trade
 FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '12.345-CL' WHEN doc_id % 13 = 0 THEN 'Test shop' ELSE text END AS s FROM documents) x""")
 def placeholder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
