@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -182,23 +183,75 @@ def parent_of_brand(brand: Column, aliases: list[tuple[str, str]]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def score_link(href: Column, label: Column, strong: str, medium: str, deny: str) -> Column:
-    """How much a link looks like one to a list: words in label and address, and kinds of document."""
-    h, t = F.lower(href), F.lower(F.coalesce(label, F.lit("")))
-    word = F.when(t.rlike(strong) | h.rlike(strong), 4).otherwise(F.when(t.rlike(medium), 2).otherwise(F.when(h.rlike(medium), 1).otherwise(0)))
-    document = F.when((word > 0) & h.rlike(r"\.(pdf|csv|xlsx?|kml)(\?|$)"), 3).otherwise(0)
-    maps = F.when(h.contains("map"), F.when(word > 0, 3).otherwise(1)).otherwise(0)
-    return F.when(t.rlike(deny) | h.rlike(deny), -1).otherwise(word + document + maps)
+DOCUMENTS, MAPS = (".csv", ".pdf", ".xls", ".xlsx"), ("/maps/d/", "arcgis", "socrata", "tableau", "webappviewer")
+
+
+def _any(cs: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, cs, F.lit(False))
+
+
+def score_link(href: Column, label: Column, strong: list[str], medium: list[str], deny: list[str]) -> Column:
+    """How much a link looks like one to a list: 4 for each strong phrase in the label, 2 for each medium word in it (1 if only in the address),
+    3 for a document or map that also has one of them, 1 for a map without. No label: 0; a denied word in the label: -1."""
+    h, t = F.lower(href), F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"\s+", " "))
+    some = _any([t.contains(w) for w in (*strong, *medium)] + [h.contains(w) for w in medium])
+    points = [F.when(t.contains(w), 4).otherwise(0) for w in strong] + [F.when(t.contains(w), 2).when(h.contains(w), 1).otherwise(0) for w in medium]
+    points.append(F.when(some & _any([h.endswith(e) for e in DOCUMENTS]), 3).otherwise(0))
+    points.append(F.when(_any([h.contains(m) for m in MAPS]), F.when(some, 3).otherwise(1)).otherwise(0))
+    return F.when(t == "", 0).when(_any([t.contains(w) for w in deny]), -1).otherwise(reduce(lambda a, b: a + b, points, F.lit(0)))
 
 
 def classify_url(c: Column) -> Column:
-    """What kind of resource an address leads to."""
+    """What kind of list an address leads to: pdf, csv (any sheet), kml, arcgis (any map application), lookup or html."""
     u = F.lower(c)
+    ends = lambda e: u.endswith(e) | u.contains(f"{e}?")
     return (
-        F.when(u.rlike(r"\.pdf(\?|$)"), "pdf")
-        .when(u.rlike(r"\.(csv|tsv)(\?|$)"), "csv")
-        .when(u.rlike(r"\.km[lz](\?|$)"), "kml")
-        .when(u.contains("arcgis"), "arcgis")
-        .when(u.rlike("lookup|search|verify"), "lookup")
+        F.when(ends(".pdf"), "pdf")
+        .when(_any([ends(e) for e in DOCUMENTS]), "csv")
+        .when(u.contains("kml") | u.contains("/maps/d/"), "kml")
+        .when(_any([u.contains(m) for m in MAPS]), "arcgis")
+        .when(u.rlike(r"^[a-z]+://search\.") | u.contains("lookup") | u.contains("verification") | u.contains("/search"), "lookup")
         .otherwise("html")
     )
+
+
+def classify_page(c: Column) -> Column:
+    """What kind of page a search result is: pdf, map, api or html."""
+    u = F.lower(c)
+    return F.when(u.endswith(".pdf") | u.contains(".pdf?"), "pdf").when(_any([u.contains(m) for m in ("/maps/d/", "kml", "maps.google")]), "map").when(_any([u.contains(m) for m in (".json", "/api/", "api.")]), "api").otherwise("html")
+
+
+def list_queries(name: Column, term: Column, agency: Column) -> Column:
+    """Searches for a jurisdiction's list."""
+    own = F.array(F.concat(name, F.lit(" "), term, F.lit(" licensed stores")), F.concat(name, F.lit(" "), term, F.lit(" store list site:gov")), F.when(agency != "", F.concat(agency, F.lit(" store list"))), F.concat(name, F.lit(" licensed retail site:gov")))
+    return F.array_compact(own)
+
+
+def homepage_queries(name: Column, state: Column, term: Column) -> Column:
+    """Searches for a company's own site, the most particular first."""
+    quoted = F.concat(F.lit('"'), F.trim(name), F.lit('" '))
+    return F.array_compact(F.array(F.concat(quoted, term, F.lit(" store "), state, F.lit(" official website")), F.concat(quoted, F.lit("store "), state), F.concat(quoted, term, F.lit(" store official website")), F.concat(F.trim(name), F.lit(" "), term)))
+
+
+def brand_tokens(name: Column, generic: list[str]) -> Column:
+    """The words of a name as keys, without generic ones."""
+    words = F.transform(F.split(F.translate(F.lower(name), "-/", "  "), " +"), brand_key)
+    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(generic)))
+
+
+def host_label(url: Column) -> Column:
+    """The second-level label of an address's host, as a key."""
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    return brand_key(F.coalesce(F.try_element_at(F.split(host, r"\."), F.lit(-2)), host))
+
+
+def numbers_of(json: Column) -> Column:
+    """The numeric members of a JSON object as a map; anything else gives an empty one."""
+    members = F.map_entries(F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    kept = F.filter(members, lambda e: e["value"].rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), e["value"].try_cast("double").alias("value"))))
+
+
+def name_in(json: Column) -> Column:
+    """A name that is published as plain text or as an object with ``name``."""
+    return clean(F.when(json.startswith("{"), F.get_json_object(json, "$.name")).otherwise(json))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names, set as the checkpoint folder; one under /tmp only where it names none."""
+    """The shared folder that the session names in spark.checkpoint.dir, set for checkpoints; one of its own only for a session within this process."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="shelfspark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or "/tmp/shelfspark-checkpoints")
-    return shared or sc.getCheckpointDir()
+        sc.setCheckpointDir(shared)
+    return shared
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from shelfspark.functions import text as X
 from shelfspark.operators import guards
 from shelfspark.sources import extract
 
-STRONG, MEDIUM, DENY = "store locator|where to buy|licensee list", "para|les|thon|locator|directory", "privacy|career|nt$"
+STRONG, MEDIUM, DENY = ["store locator", "where to buy", "para"], ["les", "thon", "ter", "directory"], ["privacy", "career", "ond"]
 EXCLUDED = ["example.net", "tracker."]
 ENDINGS = ["", "shop", "store", "co"]
 _LINKS = """(SELECT page_id, m.ord AS ordinal, regexp_extract(m.a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_extract(m.a, '>(.*)</a>', 1), '<[^>]*>', '', 'g')) AS label
@@ -21,11 +21,17 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.links(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
 
 
-_SCORE = f"""CASE WHEN regexp_matches(lower(label), '{DENY}') OR regexp_matches(lower(href), '{DENY}') THEN -1 ELSE
-  CASE WHEN regexp_matches(lower(label), '{STRONG}') OR regexp_matches(lower(href), '{STRONG}') THEN 4 WHEN regexp_matches(lower(label), '{MEDIUM}') THEN 2 WHEN regexp_matches(lower(href), '{MEDIUM}') THEN 1 ELSE 0 END END"""
+_HAS = " OR ".join([f"contains(t, '{w}')" for w in STRONG + MEDIUM] + [f"contains(h, '{w}')" for w in MEDIUM])
+_POINTS = " + ".join(
+    [f"CASE WHEN contains(t, '{w}') THEN 4 ELSE 0 END" for w in STRONG]
+    + [f"CASE WHEN contains(t, '{w}') THEN 2 WHEN contains(h, '{w}') THEN 1 ELSE 0 END" for w in MEDIUM]
+    + [f"CASE WHEN ({_HAS}) AND ({' OR '.join(f'ends_with(h, {e!r})' for e in X.DOCUMENTS)}) THEN 3 ELSE 0 END"]
+    + [f"CASE WHEN {' OR '.join(f'contains(h, {m!r})' for m in X.MAPS)} THEN CASE WHEN {_HAS} THEN 3 ELSE 1 END ELSE 0 END"]
+)
+_SCORE = f"""CASE WHEN t = '' THEN 0 WHEN {' OR '.join(f"contains(t, '{w}')" for w in DENY)} THEN -1 ELSE {_POINTS} END"""
 
 
-@query(f"SELECT page_id, href, score, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, ordinal) AS rn FROM (SELECT *, {_SCORE} AS score FROM {_LINKS} l) x) y WHERE rn = 1 AND score > 0")
+@query(f"SELECT page_id, href, score, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, ordinal) AS rn FROM (SELECT *, {_SCORE} AS score FROM (SELECT *, lower(href) AS h, trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) AS t FROM {_LINKS} l) m) x) y WHERE rn = 1 AND score > 0")
 def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best link to each address of a page, with its score."""
     scored = links(spark, sf_dir).withColumn("score", X.score_link(F.col("href"), F.col("label"), STRONG, MEDIUM, DENY))
@@ -33,15 +39,18 @@ def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("page_id", "href", "b.score", "b.label").filter("score > 0")
 
 
-_KIND = "CASE WHEN regexp_matches({u}, '\\.pdf(\\?|$)') THEN 'pdf' WHEN regexp_matches({u}, '\\.(csv|tsv)(\\?|$)') THEN 'csv' WHEN regexp_matches({u}, '\\.km[lz](\\?|$)') THEN 'kml' WHEN contains({u}, 'arcgis') THEN 'arcgis' WHEN regexp_matches({u}, 'lookup|search|verify') THEN 'lookup' ELSE 'html' END"
-_URL = "CASE page_id % 6 WHEN 0 THEN url || '.pdf' WHEN 1 THEN url || '/list.csv?x=1' WHEN 2 THEN url || '/map.KML' WHEN 3 THEN 'https://arcgis.example.com/' || page_id ELSE url END"
+_KIND = (
+    "CASE WHEN ends_with({u}, '.pdf') OR contains({u}, '.pdf?') THEN 'pdf' WHEN regexp_matches({u}, '\\.(csv|xlsx?)(\\?|$)') THEN 'csv' WHEN contains({u}, 'kml') OR contains({u}, '/maps/d/') THEN 'kml' "
+    "WHEN regexp_matches({u}, 'arcgis|socrata|tableau|webappviewer') THEN 'arcgis' WHEN regexp_matches({u}, '^[a-z]+://search\\.|lookup|verification|/search') THEN 'lookup' ELSE 'html' END"
+)
+_URL = "CASE page_id % 6 WHEN 0 THEN url || '.pdf' WHEN 1 THEN url || '/list.csv?x=1' WHEN 2 THEN url || '/map.KML' WHEN 3 THEN 'https://arcgis.example.com/' || page_id WHEN 4 THEN 'https://search.example.com/' || page_id ELSE url END"
 
 
 @query(f"SELECT page_id, {_KIND.format(u=f'lower({_URL})')} AS kind FROM pages")
 def link_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     k = F.pmod("page_id", F.lit(6))
-    url = F.when(k == 0, F.concat("url", F.lit(".pdf"))).when(k == 1, F.concat("url", F.lit("/list.csv?x=1"))).when(k == 2, F.concat("url", F.lit("/map.KML"))).when(k == 3, F.concat(F.lit("https://arcgis.example.com/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    url = F.when(k == 0, F.concat("url", F.lit(".pdf"))).when(k == 1, F.concat("url", F.lit("/list.csv?x=1"))).when(k == 2, F.concat("url", F.lit("/map.KML"))).when(k == 3, F.concat(F.lit("https://arcgis.example.com/"), F.col("page_id").cast("string"))).when(k == 4, F.concat(F.lit("https://search.example.com/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
     return p.select("page_id", X.classify_url(url).alias("kind"))
 
 

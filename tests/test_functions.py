@@ -173,8 +173,20 @@ def test_clean(spark):
 
 
 def test_links(spark):
-    kinds = ["http://x/a.PDF?x=1", "http://x/a.csv", "http://x/a.kml", "http://arcgis.x/", "http://x/lookup", "http://x/"]
-    assert run(spark, X.classify_url, kinds) == ["pdf", "csv", "kml", "arcgis", "lookup", "html"]
-    df = spark.createDataFrame([(0, "/list.pdf", "store locator"), (1, "/a", "directory"), (2, "/directory", "x"), (3, "/x", "store locator privacy"), (4, "/map", "x")], "i int, h string, t string")
-    s = [r.s for r in df.select("i", X.score_link(F.col("h"), F.col("t"), "store locator", "directory", "privacy").alias("s")).orderBy("i").collect()]
-    assert s == [7, 2, 1, -1, 1]
+    kinds = {"http://x/a.PDF?x=1": "pdf", "http://x/a.csv": "csv", "http://x/a.xlsx?d": "csv", "http://x/a.kml": "kml", "http://arcgis.x/": "arcgis", "http://x/lookup": "lookup", "http://search.x/": "lookup", "http://x/": "html"}
+    assert run(spark, X.classify_url, list(kinds)) == list(kinds.values())
+    assert run(spark, X.classify_page, ["http://x/a.pdf", "http://maps.google.x", "http://api.x", "http://x"]) == ["pdf", "map", "api", "html"]
+    rows = [("/list.pdf", "Store  Locator", 9), ("/a", "directory", 2), ("/directory", "x", 1), ("/x", "store locator privacy", -1), ("/tableau", "x", 1), ("/a", "", 0), ("/a.pdf", "x", 0), ("/directory/tableau", "a directory of store locator", 11)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, h string, t string, want int")
+    got = df.select("i", "want", X.score_link(F.col("h"), F.col("t"), ["store locator"], ["directory", "locator"], ["privacy"]).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [r.want for r in got]
+
+
+def test_small_parsers(spark):
+    assert run(spark, X.numbers_of, ['{"a": 1.5, "b": "x", "c": true, "d": -2}', "[1]", "x", None]) == [{"a": 1.5, "d": -2.0}, {}, {}, {}]
+    assert run(spark, X.name_in, ['{"name": " A "}', "B ", "", None]) == ["A", "B", None, None]
+    assert run(spark, X.host_label, ["https://www.zen-leaf.com/x", "http://shop.acme.co", "nonsense"]) == ["zenleaf", "acme", ""]
+    assert run(spark, lambda c: X.brand_tokens(c, ["dispensary"]), ["Zen-Leaf Dispensary", ""]) == [["zen", "leaf"], []]
+    q = run(spark, lambda c: X.homepage_queries(c, F.lit("PA"), F.lit("cannabis")), ["Acme"])[0]
+    assert len(q) == 4 and q[0].startswith('"Acme"') and q[-1] == "Acme cannabis"
+    assert len(run(spark, lambda c: X.list_queries(c, F.lit("cannabis"), F.lit("")), ["Ohio"])[0]) == 3

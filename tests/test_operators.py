@@ -235,3 +235,59 @@ def test_streams(spark, tmp_path):
     req = spark.createDataFrame([("a", i, at(i / 4), 1.0) for i in range(12)], "host string, event_id long, at timestamp, cost double")
     got = drain(spark, token_buckets(stream_of(spark, tmp_path, req, ["event_id < 5", "event_id >= 5"], "req"), 1 / 3600, 2.0), tmp_path, "grants")
     assert sorted((r.event_id, r.granted) for r in got.collect()) == sorted((r.event_id, r.granted) for r in states.token_bucket(req, 1 / 3600, 2.0).collect())
+
+
+def capture(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "content string")
+
+
+def test_registries(spark, tmp_path):
+    from shelfspark.sources import registries as R
+
+    (tmp_path / "a.csv").write_text("DBA,Facility Name , Street,City,Zip Code\nD,F,1 Main St,T,1\n,F2,,,\n,,x,,\n")
+    assert [(r.name, r.address) for r in R.trade_csv(R.csv_table(spark, str(tmp_path / "a.csv"))).collect()] == [("D", "1 Main St"), ("F2", None)]
+    df = spark.createDataFrame([("Retail", "Active ", "A", None, "9 Oak", "T", None, None, None, "40.1", "x"), ("Lab", "Active", "B", *[None] * 8), ("Retail", "Expired", "C", *[None] * 8)], "license_type string, license_status string, business_name string, address_1 string, physical_address_1 string, city string, physical_city string, zip_code string, physical_zip_code string, latitude string, longitude string")
+    assert [(r.name, r.address, r.latitude, r.longitude) for r in R.status_csv(df, ["Retail"]).collect()] == [("A", "9 Oak", 40.1, None)]
+    sheet = spark.createDataFrame([("A", "4 - 12 Main", "Floor 2", "T", "AB", None, None), ("B", "1 Main", None, "T", "SK", None, None)], "name string, address string, address2 string, city string, province string, zip_code string, phone string")
+    assert [(r.name, r.address) for r in R.province_sheet(sheet).collect()] == [("A", "12 Main, Floor 2")]
+    active = spark.createDataFrame([("A", "1 Main", "T", "N/A", "Active"), ("B", "1 Main", "T", "b.ca", "closed"), ("C", "2 Main", "T", "c.ca", "ACTIVE ")], "name string, address string, city string, website string, status string")
+    assert [(r.name, r.website) for r in R.active_sheet(active).orderBy("name").collect()] == [("A", None), ("C", "c.ca")]
+    assert [r.name for r in R.store_json(capture(spark, '[{"name": "A", "latitude": 50.1}, {"name": " "}]', "x")).collect()] == ["A"]
+    block = '<i data="{&quot;location&quot;:{&quot;addressTitle&quot;:&quot;A&quot;,&quot;addressLine1&quot;:&quot;1 Main&quot;,&quot;addressLine2&quot;:&quot;T, VA, 22030&quot;,&quot;markerLat&quot;:0,&quot;markerLng&quot;:0}}">'
+    assert [(r.name, r.city, r.zip_code, r.latitude) for r in R.map_blocks(capture(spark, block + block)).collect()] == [("A", "T", "22030", None)]
+    marks = '[{"name": "A", "lat": "40", "long": -75, "formattedAddress": "1 Main St, Town, PA 17011, USA"}, {"name": "B", "formattedAddress": "?"}]'
+    assert [(r.name, r.address, r.state) for r in R.markers_json(capture(spark, marks)).orderBy("name").collect()] == [("A", "1 Main St", "PA"), ("B", None, None)]
+    lic = '{"data": [{"businessLegalName": "L", "licenseStatus": "Active", "licenseType": "Commercial - Retailer"}, {"businessDbaName": "X", "licenseStatus": "Revoked", "licenseType": "Retailer"}]}'
+    assert [r.name for r in R.licence_search(capture(spark, lic, lic)).collect()] == ["L"]
+    pts = spark.createDataFrame([(i / 10, i / 10) for i in range(40)], "lat double, lng double")
+    boxes = R.quadrants(spark, pts, (0.0, 4.0, 0.0, 4.0), page=10).collect()
+    assert sum(b.lat0 <= i / 10 < b.lat1 and b.lng0 <= i / 10 < b.lng1 for b in boxes for i in range(40)) == 40
+    frames = spark.createDataFrame([(1, '<iframe src="https://a.org/x"></iframe><iframe src="https://www.youtube.com/y"></iframe>')], "id int, html string")
+    assert [r.src for r in R.content_frames(frames).collect()] == ["https://a.org/x"]
+    links = spark.createDataFrame([(1, "https://x.gov/a#b"), (2, "https://x.gov/a"), (3, "https://x.com"), (4, "mailto:x"), (5, "https://skip.us/")], "ordinal int, href string")
+    assert [(r.ordinal, r.page) for r in R.official_urls(links, skip=("skip",)).collect()] == [(1, "https://x.gov/a")]
+    fx = '{"observations": [{"d": "2024-01-04", "FXUSDCAD": {"v": "1.25"}}, {"d": "2024-01-05", "FXUSDCAD": {"v": ""}}]}'
+    assert [(str(r.rate_date), r.rate) for r in R.rates_json(capture(spark, fx)).collect()] == [("2024-01-04", 0.8)]
+    page = lambda more, n: '{"exceededTransferLimit": %s, "features": [%s]}' % (more, ",".join(["{}"] * n))
+    pages = spark.createDataFrame([("l", 0, page("true", 2)), ("l", 1, page("false", 1)), ("l", 2, page("true", 1)), ("m", 0, page("true", 0)), ("m", 1, page("true", 1))], "layer string, page int, content string")
+    assert sorted((r.layer, r.page) for r in R.feature_pages_done(pages).collect()) == [("l", 0), ("l", 1)]
+
+
+def test_discovery(spark):
+    from shelfspark.operators import discovery as D
+
+    scored = spark.createDataFrame([("https://a.gov/", 1, "https://a.gov/more", 5), ("https://a.gov/", 2, "https://a.gov/x", 5), ("https://a.gov/more", 1, "https://a.gov/l.pdf", 9), ("https://b.gov/", 1, "https://c.gov/y", 5), ("https://c.gov/y", 1, "https://c.gov/z.pdf", 9), ("https://d.gov/", 1, "https://d.gov/q", 2)], "page string, ordinal int, href string, score int")
+    land = spark.createDataFrame([("A", "https://a.gov/"), ("B", "https://b.gov/"), ("D", "https://d.gov/"), ("E", "https://e.gov/")], "abbr string, page string")
+    got = {r.abbr: (r.list_url, r.list_status) for r in D.find_lists(land, scored).collect()}
+    assert got == {"A": ("https://a.gov/l.pdf", "found"), "B": ("https://c.gov/y", "found"), "D": (None, "none"), "E": (None, "none")}
+    programs = spark.createDataFrame([("A", None, None, None, "u"), ("B", "https://o/x.csv", "s", "found", "u"), ("C", None, "https://s/", "found", "u"), ("D", None, None, "none", None)], "abbr string, override_url string, list_url string, list_status string, best_url string")
+    settled = {r.abbr: (r.list_url, r.status) for r in D.settle_lists(programs, D.find_lists(land, scored)).collect()}
+    assert settled == {"A": ("https://a.gov/l.pdf", "found"), "B": ("https://o/x.csv", "override"), "C": ("https://s/", "stored"), "D": (None, "no-landing")}
+    homes = spark.createDataFrame([("Zen Leaf", u) for u in ("http://zenleaf.com/a", "https://www.zenleaf.com/", "https://other.com", "https://zenleafdispensary.org/")], "name string, url string")
+    assert [r.url for r in D.rank_homepages(homes, ["dispensary"], ["", "dispensary"]).orderBy("rank").collect()] == ["https://www.zenleaf.com/", "https://zenleafdispensary.org/", "http://zenleaf.com/a"]
+    fold = spark.createDataFrame([("t", "b", "ok"), ("t", "a", "failed")], "target_key string, method string, status string")
+    cat = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "method string, cost_rank int")
+    steps = D.ladder(cat, fold, spark.createDataFrame([("t",), ("u",)], "target_key string")).orderBy("target_key", "step").collect()
+    assert [(r.target_key, r.method) for r in steps] == [("t", "b"), ("t", "a"), ("t", "c"), ("u", "a"), ("u", "b"), ("u", "c")]
+    live = spark.createDataFrame([("k", 2, "b", 200), ("k", 1, "a", 404)], "key string, ordinal int, url string, http_status int")
+    assert D.first_live(live).first().url == "b"

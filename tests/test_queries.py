@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import __spark_entry__
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = {k: f for k, f in __spark_entry__.queries().items() if not k.startswith("op") and k != "pipeline"}
+OWN = {k: f for k, f in __spark_entry__.queries().items() if not re.match(r"op\d+_", k) and k != "pipeline"}
 SQL = __spark_entry__.oracle_sql()
 
 
