@@ -11,13 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import bpe, decontam, langid, linededup, ngramjoin
-from shelfspark.llm._text import fresh
+from shelfspark.llm._text import fresh, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; ``lang`` becomes the language found. Rejected ones (null, wordless or of no known language) go."""
-    (predicted,) = fresh(docs, "predicted")
-    (rejected,) = fresh(docs, "rejected")
+    predicted, rejected = fresh(docs, "predicted", "rejected")
     found = langid.identify(docs)
     found = found.filter(f"not `{rejected}`")
     return found.select(*[found[predicted].alias("lang") if c == "lang" else found[f"`{c}`"] for c in docs.columns])
@@ -46,12 +45,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; each result but the last is written to the cluster's shared folder and read again."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "/tmp/shelfspark-checkpoints"
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # what the stage before left isn't needed any more
+            gone = path(f"{folder}/{k - 1}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return docs

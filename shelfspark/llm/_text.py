@@ -9,12 +9,13 @@ loops over characters or words in Python.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Ranges of the non-ASCII punctuation, symbols and spaces, for a regular expression's set.
@@ -149,6 +150,22 @@ def map_pieces(df: DataFrame, column: str, fn: Callable, schema, limit: int = 1
     return df.mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir (or that was set before), set for checkpoints.
+
+    Only a session with all its executors in this process gets one of its own if none is named; any other raises RuntimeError.
+    """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="shelfspark-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared.rstrip("/")
+
+
 def fresh(df: DataFrame | Iterable[str], *names: str) -> list[str]:
     """Each name, underscored until no column has it in any case."""
     taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}
