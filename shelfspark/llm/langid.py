@@ -169,8 +169,9 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = RO
     """
     h, v = fresh(docs, "text_hash", "rank")
     labelled = docs.filter((F.length(F.trim(label)) > 0) & (F.length(F.trim(text)) > 0) & (F.col(label) != UNKNOWN)).select(F.col(label).alias("lang"), F.xxhash64(text).alias(h))
-    # per language, the lowest hashes: partial aggregation keeps `rows` of them a task
-    low = labelled.groupBy("lang", h).agg(F.lit(1).alias("one")).withColumn(v, F.row_number().over(Window.partitionBy("lang").orderBy(h))).filter(F.col(v) <= rows).select("lang", h)
+    # each task keeps its lowest hashes of a language, so that few rows are shuffled; repeated texts share a rank
+    w = Window.partitionBy("lang").orderBy(h)
+    low = labelled.withColumn(v, F.dense_rank().over(w)).filter(F.col(v) <= rows).select("lang", h).distinct()
     picked = [(r["lang"], r[h]) for r in low.collect()]
     if not picked:
         return Model()
