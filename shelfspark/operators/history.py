@@ -142,3 +142,37 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], rules: dict[s
         "replace": lambda c: F.when(F.col("hit"), new(c)).otherwise(old(c)),
     }
     return t.join(u, keys, "full").select(*keys, *[how[r](c).alias(c) for c, r in rules.items()])
+
+
+def record_roster(records: DataFrame, state: str, source: str, as_of: str) -> DataFrame:
+    """Observations of locations out of a roster (name, address, city, zip_code, latitude, longitude, ordinal): a key each, the first record of a key, keyless ones left out."""
+    from shelfspark.functions import places as G
+
+    key = G.location_key(F.col("latitude"), F.col("longitude"), F.col("address"), F.col("zip_code"))
+    rows = records.withColumn("location_key", key).filter("location_key != ''")
+    first = rows.groupBy("location_key").agg(F.min_by(F.struct(F.col("name").alias("operator"), "address", "city", "zip_code", "latitude", "longitude"), "ordinal").alias("r"))
+    return first.select("location_key", F.lit(source).alias("source"), F.lit(state).alias("state"), "r.*", F.lit(as_of).cast("timestamp").alias("scraped_at"))
+
+
+def restore_geocodes(table: DataFrame, cache: DataFrame, key: str = "query") -> DataFrame:
+    """``table`` with coordinates (as a pair), postal code and city where it has none, from ``cache`` (query, latitude, longitude, zip_code, city)."""
+    c = cache.select(F.col("query").alias(key), F.struct("latitude", "longitude", "zip_code", "city").alias("_c"))
+    rows = table.join(c, key, "left")
+    pair = F.col("latitude").isNull() & F.col("_c.latitude").isNotNull() & F.col("_c.longitude").isNotNull()
+    some = lambda f: F.coalesce(F.col(f), F.when(F.length(F.col(f"_c.{f}")) > 0, F.col(f"_c.{f}")))
+    new = {"latitude": F.when(pair, F.col("_c.latitude")).otherwise(F.col("latitude")), "longitude": F.when(pair, F.col("_c.longitude")).otherwise(F.col("longitude")), "zip_code": some("zip_code"), "city": some("city")}
+    return rows.withColumns(new).drop("_c")
+
+
+def fold_locations(locations: DataFrame) -> DataFrame:
+    """locations (location_key, address_key) with ``folded``: a location known by address is the one known by coordinates if exactly one of those has its address."""
+    geo = locations.filter(F.col("location_key").startswith("@") & (F.col("address_key") != "")).groupBy("address_key").agg(F.count_distinct("location_key").alias("n"), F.min("location_key").alias("geo")).filter("n = 1")
+    rows = locations.join(geo.select("address_key", "geo"), "address_key", "left")
+    return rows.withColumn("folded", F.when(F.col("location_key").startswith("@"), F.col("location_key")).otherwise(F.coalesce("geo", "location_key"))).drop("geo")
+
+
+def relocations(events: DataFrame) -> DataFrame:
+    """(source, loc, from_loc, occurred_on) of events (source, loc, kind, occurred_on, operator, city): an opening that may be a closed store of the same operator and town, not before it closed."""
+    e = lambda kind, loc, day: events.filter(F.col("kind") == kind).select("source", "operator", F.lower(F.trim("city")).alias("town"), F.col("loc").alias(loc), F.col("occurred_on").alias(day))
+    met = e("closed", "from_loc", "closed_on").join(e("opened", "loc", "occurred_on"), ["source", "operator", "town"])
+    return met.filter((F.col("occurred_on") >= F.col("closed_on")) & (F.col("loc") != F.col("from_loc"))).select("source", "loc", "from_loc", "occurred_on")

@@ -75,7 +75,7 @@ def dedupe(stores: DataFrame) -> DataFrame:
     companies = companies.select("company_id", F.col("canonical").alias("operator"), F.size("store_names").alias("n_stores"), "company_name")
     operators = companies.select(F.col("company_id").alias("operator"), F.col("n_stores").alias("operator_stores"), F.col("company_name").alias("operator_name"))
     rows = rows.join(companies, "company_id", "left").join(operators, "operator", "left")
-    w = Window.partitionBy("grp")
+    w = Window.partitionBy(F.coalesce("grp", -1 - F.col("id")))  # rows without keys stay apart instead of meeting in one task
     rank = menu_rank(F.col("platform"), F.col("external_id"))
     survivor = F.min_by("id", F.struct(rank.alias("r"), F.when(F.col("company_id") == F.col("operator"), 0).otherwise(1).alias("o"), F.col("id").alias("i"))).over(w)
     located = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct("id", "latitude", "longitude"))
@@ -85,7 +85,19 @@ def dedupe(stores: DataFrame) -> DataFrame:
     kept = F.when(alone, F.col("id")).otherwise(F.col("k"))
     fill = lambda c: F.when(~alone & (F.col("id") == F.col("k")) & (F.col("latitude").isNull() | F.col("longitude").isNull()), F.coalesce(F.col("donor")[c], F.col(c))).otherwise(F.col(c))
     front = F.when(~alone & (F.col("id") == F.col("k")), F.coalesce(F.col("alias")["name"], F.col("operator_name")))
-    return out.select("id", "state", "company_id", "grp", "operator", kept.alias("kept"), fill("latitude").alias("latitude"), fill("longitude").alias("longitude"), front.alias("storefront"))
+    final = out.select("id", "state", "company_id", "grp", "operator", kept.alias("kept"), fill("latitude").alias("latitude"), fill("longitude").alias("longitude"), front.alias("storefront"), F.col("city").alias("_city"))
+    pins = pinned_aliases(final.filter((F.col("id") == F.col("kept")) & F.col("grp").isNotNull()).select("id", F.col("_city").alias("city"), "operator"), companies.join(operators, "operator"))
+    named = final.join(pins, "id", "left").withColumn("storefront", F.coalesce("pin", "storefront"))
+    return named.drop("pin", "_city")
+
+
+def pinned_aliases(kept: DataFrame, companies: DataFrame) -> DataFrame:
+    """(id, pin) of kept stores (id, city, operator) whose city stands in the name of another company of the operator's cluster that has at least as many stores
+    as the operator, if it is the only such store: a name that the operator's site redirects to. Of several names the lowest company's."""
+    alias = companies.filter((F.col("company_id") != F.col("operator")) & (F.col("n_stores") >= F.col("operator_stores"))).select("operator", "company_id", "company_name")
+    met = kept.join(alias, "operator").filter(X.city_in_name(F.col("city"), F.col("company_name")))
+    only = met.groupBy("company_id", "company_name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return only.groupBy("id").agg(F.min_by("company_name", "company_id").alias("pin"))
 
 
 def kept_handles(stores: DataFrame, *partition: str) -> DataFrame:

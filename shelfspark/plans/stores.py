@@ -11,7 +11,7 @@ from shelfspark import adapters, oracles, rules
 from shelfspark.catalog import query
 from shelfspark.functions import places as G
 from shelfspark.functions import text as X
-from shelfspark.operators import guards, resolve
+from shelfspark.operators import guards, history, resolve
 
 _STORES, _PROGRAMS, _LISTINGS = (f"({adapters.duckdb(n)})" for n in ("stores", "programs", "listings"))
 
@@ -183,13 +183,9 @@ FROM (SELECT *, {_Q} AS q FROM {_STORES} x) s LEFT JOIN (SELECT {_Q} AS q, min(l
 def geocode_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores with coordinates (as a pair), postal code and city filled in from a geocoder's cache."""
     stores = _stores(spark, sf_dir).withColumn("query", X.geocode_query(*(F.col(c) for c in ("address", "city", "state", "zip_code"))))
-    cache = stores.filter("id % 3 <> 0 or latitude is null").groupBy("query").agg(F.min("latitude").alias("c_lat"), F.min("longitude").alias("c_lng"), F.when(F.min("id") % 2 == 0, "").otherwise("00000").alias("c_zip"), F.lit("Cached").alias("c_city"))
-    pair = F.col("latitude").isNull() & F.col("c_lat").isNotNull() & F.col("c_lng").isNotNull()
-    some = lambda c, v: F.coalesce(c, F.when(F.length(v) > 0, F.col(v)))
-    return stores.join(cache, "query", "left").select(
-        "id", "query", F.when(pair, F.col("c_lat")).otherwise(F.col("latitude")).alias("latitude"), F.when(pair, F.col("c_lng")).otherwise(F.col("longitude")).alias("longitude"),
-        some("zip_code", "c_zip").alias("zip_code"), some("city", "c_city").alias("city"),
-    )
+    known = stores.filter("id % 3 <> 0 or latitude is null")
+    cache = known.groupBy("query").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"), F.when(F.min("id") % 2 == 0, "").otherwise("00000").alias("zip_code"), F.lit("Cached").alias("city"))
+    return history.restore_geocodes(stores, cache).select("id", "query", "latitude", "longitude", "zip_code", "city")
 
 
 _COMPARE = f"""FULL JOIN (SELECT DISTINCT state, {oracles.address_key('address', 'zip_code')} AS key FROM {_STORES} s WHERE source <> 'own') r ON o.state = r.state AND o.key = r.key"""

@@ -291,3 +291,25 @@ def test_discovery(spark):
     assert [(r.target_key, r.method) for r in steps] == [("t", "b"), ("t", "a"), ("t", "c"), ("u", "a"), ("u", "b"), ("u", "c")]
     live = spark.createDataFrame([("k", 2, "b", 200), ("k", 1, "a", 404)], "key string, ordinal int, url string, http_status int")
     assert D.first_live(live).first().url == "b"
+
+
+def test_rosters_and_folds(spark):
+    rec = spark.createDataFrame([("A", "1 Main St", "T", "17011", None, None, 1), ("B", "1 Main Street", "T", "17011", None, None, 0), ("C", "county", "T", "17011", None, None, 2), ("D", None, None, None, 40.0, -75.0, 3)], "name string, address string, city string, zip_code string, latitude double, longitude double, ordinal int")
+    assert sorted(r.operator for r in history.record_roster(rec, "PA", "roster", "2024-01-04").collect()) == ["B", "D"]
+    loc = spark.createDataFrame([("@1,2|x", "a"), ("a", "a"), ("@3,4|x", "b"), ("@5,6|x", "b"), ("b", "b"), ("c", "c")], "location_key string, address_key string")
+    assert {r.location_key: r.folded for r in history.fold_locations(loc).collect()} == {"@1,2|x": "@1,2|x", "a": "@1,2|x", "@3,4|x": "@3,4|x", "@5,6|x": "@5,6|x", "b": "b", "c": "c"}
+    d = lambda n: dt.date(2024, 1, n)
+    ev = spark.createDataFrame([("s", "x", "closed", d(2), "A", "Town"), ("s", "y", "opened", d(3), "A", "town "), ("s", "z", "opened", d(1), "A", "Town"), ("s", "w", "opened", d(3), "B", "Town")], "source string, loc string, kind string, occurred_on date, operator string, city string")
+    assert [(r.loc, r.from_loc) for r in history.relocations(ev).collect()] == [("y", "x")]
+
+
+def test_aliases_are_pinned(spark):
+    kept = spark.createDataFrame([(1, "York", 10), (2, "Erie", 10), (3, "York", 11)], "id long, city string, operator long")
+    companies = spark.createDataFrame([(10, 10, 2, 2, "Zen"), (20, 10, 2, 2, "Zen of York"), (21, 10, 1, 2, "Zen of Erie"), (22, 10, 3, 2, "Zen Yorkshire")], "company_id long, operator long, n_stores int, operator_stores int, company_name string")
+    assert [(r.id, r.pin) for r in resolve.pinned_aliases(kept, companies).collect()] == [(1, "Zen of York")]
+
+
+def test_schemas(spark):
+    from shelfspark import schemas
+
+    assert all(schemas.empty(spark, n).count() == 0 for n in schemas.TABLES) and "terpenes" in schemas.TABLES["listings"].names
