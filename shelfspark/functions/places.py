@@ -16,7 +16,7 @@ def _words(text: Column, table: dict[str, str]) -> Column:
     return F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(short, w), w))
 
 
-_UNIT = r"(?:\b(?:" + "|".join(rules.UNIT_WORDS) + r")\b|#)\s*\.?\s*[\w-]+"
+_UNIT = r"(?:\b(?:" + "|".join(rules.UNIT_WORDS) + r")\b|#)\s*[.]?\s*[-\w]+"
 
 
 def address_std(address: Column) -> Column:
@@ -73,8 +73,8 @@ def city_std(city: Column) -> Column:
 def strip_unit_prefix(address: Column) -> Column:
     """Without "unit 4 -" or "4-" before the house number."""
     words = "BAY|" + "|".join(w.upper() for w in rules.UNIT_WORDS)
-    text = F.regexp_replace(address, rf"(?i)^\s*(?:(?:{words}|#)\s*\.?\s*#?[\w-]+\s*[-,]?\s*)+", "")
-    return F.regexp_replace(text, r"(?i)^\s*[0-9]+[A-Z]?\s*-\s*(?=[0-9]+\s)", "")
+    text = F.regexp_replace(address, rf"(?i)^\s*(?:(?:{words}|#)\s*[.]?\s*#?[-\w]+\s*[,-]?\s*)+", "")
+    return F.regexp_replace(text, r"(?i)^\s*\d+[A-Z]?\s*-\s*(?=\d+\s)", "")
 
 
 def street_parts(address: Column) -> tuple[Column, Column]:
@@ -98,8 +98,8 @@ def street_parts(address: Column) -> tuple[Column, Column]:
         return let(F.struct(words.alias("all"), end(words, rules.DIRECTIONS).alias("to")), lambda d: let(F.struct(cut(d["to"], d["all"]).alias("words"), d["to"].alias("to")), after_direction))
 
     bare = F.regexp_replace(F.regexp_replace(strip_unit_prefix(F.upper(F.trim(address))), "[.,]", " "), r"\s+", " ")
-    number = F.regexp_extract(F.trim(bare), r"^([0-9]+)[A-Z]?\s+", 1)
-    words = F.filter(F.split(F.regexp_replace(F.trim(bare), r"^[0-9]+[A-Z]?\s+", ""), " "), lambda w: w != "")
+    number = F.regexp_extract(F.trim(bare), r"^(\d+)[A-Z]?\s+", 1)
+    words = F.filter(F.split(F.regexp_replace(F.trim(bare), r"^\d+[A-Z]?\s+", ""), " "), lambda w: w != "")
     found = F.when(number != "", let(words, after_number))
     return F.when(found.isNotNull(), number.try_cast("bigint")), found
 

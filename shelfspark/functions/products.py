@@ -72,7 +72,7 @@ def obtention(name: Column, raw: Column) -> Column:
     key = alnum_key(text)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for label, inside, words in rules.OBTENTION:
-        out = out.when(key.rlike("|".join(inside)) | text.rlike(rf"(?i)(?U)\b(?:{'|'.join(words)})\b"), label)
+        out = out.when(key.rlike("|".join(inside)) | text.rlike(rf"(?iU)\b({'|'.join(words)})\b"), label)
     return out
 
 
@@ -93,9 +93,9 @@ def size_to_grams(raw: Column) -> Column:
     word = F.trim(F.regexp_replace(text, r"[\s_]+", " "))
     grams = F.create_map(*[F.lit(x) for kv in rules.SIZE_WORDS.items() for x in kv])
     unit = F.create_map(*[F.lit(x) for kv in rules.GRAMS.items() for x in kv])
-    pack = F.greatest(F.coalesce(F.try_to_number(F.regexp_extract(text, r"(\d{1,3})\s*(?:x|×|pk|pack)\b", 1), F.lit("999")).cast("double"), F.lit(1.0)), F.lit(1.0))
-    over = lambda k: F.regexp_extract(text, r"(\d+)\s*/\s*(\d+)\s*(?:oz|ounce|ounces)\b", k).try_cast("double")
-    number = rf"(\d+(?:\.\d+)?)\s*({_UNITS})\b"
+    pack = F.greatest(F.coalesce(F.try_to_number(F.regexp_extract(text, r"([0-9]{1,3})\s*(?:pack|pk|×|x)\b", 1), F.lit("999")).cast("double"), F.lit(1.0)), F.lit(1.0))
+    over = lambda k: F.regexp_extract(text, r"([0-9]+)\s*/\s*([0-9]+)\s*(?:ounces?|oz)\b", k).try_cast("double")
+    number = rf"([0-9]+(?:\.[0-9]+)?)\s*({_UNITS})\b"
     amount, of = F.regexp_extract(text, number, 1).try_cast("double"), F.regexp_extract(text, number, 2)
     return (
         F.when(word.isin([*rules.SIZE_WORDS]), F.try_element_at(grams, word))
@@ -111,8 +111,9 @@ def grams_label(g: Column) -> Column:
     return F.when((g > 0) & (g < float("inf")), F.concat(short, F.lit("g")))
 
 
-PRICE_FIELDS = ["price", "price_med", "price_rec", "special_price_med", "special_price_rec", "sale_price", "discounted_price", "unit_price"]
-REGULAR = {"discounted_price": "price", "sale_price": "price", "special_price_med": "price_med", "special_price_rec": "price_rec"}
+#: The first of equal prices tells whether it is a sale.
+PRICE_FIELDS = "price price_med price_rec special_price_med special_price_rec sale_price discounted_price unit_price".split()
+REGULAR = dict(discounted_price="price", sale_price="price", special_price_med="price_med", special_price_rec="price_rec")
 
 
 def variant_pricing(v: Column, fields: list[str]) -> tuple[Column, Column]:

@@ -80,7 +80,7 @@ def strip_store_suffix(c: Column) -> Column:
     def without(pattern: str):
         return lambda x: let(F.regexp_replace(F.trim(F.regexp_replace(x, pattern, "")), ",+$", ""), lambda s: F.when((s != x) & fine(s), s).otherwise(x))
 
-    return let(let(c, without(r"\s*\([^()]*\)\s*$")), without(r"\s+[0-9]{3,}[A-Za-z0-9 .,'\-]*$"))
+    return let(let(c, without(r"\s*[(][^()]*[)]\s*$")), without(r"\s+[0-9]{3,}[-',. 0-9A-Za-z]*$"))
 
 
 def strip_city(brand: Column, city: Column) -> Column:

@@ -52,7 +52,7 @@ def defaulted(name: str, raw: str, category: str) -> str:
 def obtention(name: str, raw: str) -> str:
     t = f"concat_ws(' ', {name}, {raw})"
     k = alnum(t)
-    rows = " ".join(f"WHEN {' OR '.join(f'contains({k}, {w!r})' for w in inside)} OR regexp_matches({t}, '(?i)\\b(?:{'|'.join(words)})\\b') THEN '{label}'" for label, inside, words in rules.OBTENTION)
+    rows = " ".join(f"WHEN {' OR '.join(f'contains({k}, {w!r})' for w in inside)} OR regexp_matches({t}, '(?i)\\b({'|'.join(words)})\\b') THEN '{label}'" for label, inside, words in rules.OBTENTION)
     return f"CASE {rows} END"
 
 

@@ -160,10 +160,8 @@ MENU_RANK = {"cresco": 1, "curaleaf": 1, "dutchie": 0, "dutchie_plus": 0, "hytiv
 MENU_RANK_OTHER = 5
 
 GRAMS = dict((k, float(v)) for k, v in (pair.split("=") for pair in "g=1 gram=1 grams=1 lb=448 lbs=448 mg=0.001 milligram=0.001 milligrams=0.001 ounce=28 ounces=28 oz=28 pound=448".split()))
-SIZE_WORDS = {
-    "eighth": 3.5, "eighth ounce": 3.5, "eighthounce": 3.5, "gram": 1.0, "half gram": 0.5, "half ounce": 14.0, "halfgram": 0.5,
-    "halfounce": 14.0, "ounce": 28.0, "quarter": 7.0, "quarter ounce": 7.0, "quarterounce": 7.0, "two gram": 2.0, "twogram": 2.0,
-}
+#: With one blank, or none.
+SIZE_WORDS = {w.replace("_", j): float(g) for w, g in (pair.split("=") for pair in "eighth_ounce=3.5 half_gram=0.5 half_ounce=14 quarter_ounce=7 two_gram=2 eighth=3.5 gram=1 ounce=28 quarter=7".split()) for j in (" ", "")}
 
 #: Name endings that say what a shop is, and those that say how it is incorporated.
 SHOP_ENDINGS = [
@@ -180,4 +178,4 @@ PLACEHOLDER = "|".join(
     [r"\(flagged", r"\[equity retailer\]", r"\bdemo\b", r"\bdispensary name\b", r"\bdnu\b", r"\bdo not use\b", r"\bduplicate\b", r"\bsandbox\b",
      r"\btbd\b", r"\btest\b", "conditional license number", "data not available", "integrations lab"]
 )
-LICENCE = r"^[0-9]{2,}[0-9.\-]*(-cl)?$|\.cl\.[0-9]|^[0-9]{3}\.[0-9]{3}"
+LICENCE = "|".join([r"\.cl\.[0-9]", r"^[0-9]{3}\.[0-9]{3}", r"^[0-9]{2,}[-0-9.]*(-cl)?$"])

@@ -57,8 +57,8 @@ def line_addresses(lines: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, ordinal, name, address, city, state, zip_code) of lines (page, ordinal, line): a street line, the place after it, the name before it."""
     w = Window.partitionBy(page).orderBy("ordinal")
     rows = lines.withColumns({"after": F.lead("line").over(w), "before": F.lag("line").over(w)})
-    place = r"^([A-Za-z .'-]{2,40}),\s*([A-Z]{2})\s+([A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]|[0-9]{5}(?:-[0-9]{4})?)$"
-    fine = F.col("line").rlike(r"^[0-9]{1,6}\s+[A-Za-z0-9][\w .,'#-]{2,50}$") & F.col("after").rlike(place) & F.col("before").rlike("(?U)\\p{L}") & F.length("before").between(3, 60)
+    place = r"^([-' .A-Za-z]{2,40}),\s*([A-Z]{2})\s+([A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]|[0-9]{5}(?:-[0-9]{4})?)$"
+    fine = F.col("line").rlike(r"^[0-9]{1,6}\s+[0-9A-Za-z][-#',. \w]{2,50}$") & F.col("after").rlike(place) & F.col("before").rlike("(?U)\\p{L}") & F.length("before").between(3, 60)
     part = lambda k: clean(F.regexp_extract("after", place, k))
     found = rows.filter(fine).select(page, "ordinal", clean(F.col("before")).alias("name"), clean(F.col("line")).alias("address"), part(1).alias("city"), part(2).alias("state"), part(3).alias("zip_code"))
     first = Window.partitionBy(page, F.lower("address")).orderBy("ordinal")

@@ -22,15 +22,18 @@ HEADERS = {
     "website": "web site|website|homepage|url",
     "name": "business name|dispensary name|facility name|company name|legal name|trade name|dba|licensee|establishment|entity|name|business|company|dispensary|facility|store",
 }
-TRADE_HEADERS = {"d/b/a", "dba", "doing business as", "trade name", "trade_name"}
-_STREET = re.compile(r"\d{1,6}\s+[A-Za-z0-9.\- ]+")
-_POSTAL = r"(?:[A-Z]\d[A-Z] ?\d[A-Z]\d|\d{5}(?:-\d{4})?)"
-_ZIP, _PHONE = re.compile(_POSTAL), re.compile(r"\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}")
-_BLOCK = re.compile(rf"(\d{{1,6}}[^,\n]{{2,60}}?),\s*([A-Za-z .'\-]{{2,40}}?),\s*([A-Z]{{2}})\s+({_POSTAL})")
-_LINE = re.compile(r"\d{1,6}\s+[A-Za-z0-9][\w .,'#-]{2,50}")
-_PLACE = re.compile(rf"([A-Za-z .'-]{{2,40}}),\s*([A-Z]{{2}})\s+({_POSTAL})")
-_LOOSE = re.compile(rf"(\d{{1,6}}[^,\n]{{2,45}}),\s*([A-Za-z][A-Za-z .'-]{{1,38}}?)\s+([A-Z]{{2}})\s+({_POSTAL})")
+TRADE_HEADERS = {*"dba|d/b/a|trade_name|trade name|doing business as".split("|")}
+_POSTAL = "(?:[A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]|[0-9]{5}(?:-[0-9]{4})?)"
+_NUMBER, _TOWN, _STATE, _GAP = "[0-9]{1,6}", "[-' .A-Za-z]", "([A-Z]{2})", r"\s+"
+_STREET = re.compile(_NUMBER + _GAP + "[-. 0-9A-Za-z]+")
+_ZIP, _PHONE = re.compile(_POSTAL), re.compile("[-.\\s]?".join(["[(]?[0-9]{3}[)]?", "[0-9]{3}", "[0-9]{4}"]))
+_END = _STATE + _GAP + f"({_POSTAL})"
+_BLOCK = re.compile(rf"({_NUMBER}[^,\n]{{2,60}}?),\s*({_TOWN}{{2,40}}?),\s*{_END}")
+_LINE = re.compile(_NUMBER + _GAP + "[0-9A-Za-z][-#',. \\w]{2,50}")
+_PLACE = re.compile(rf"({_TOWN}{{2,40}}),\s*{_END}")
+_LOOSE = re.compile(rf"({_NUMBER}[^,\n]{{2,45}}),\s*([A-Za-z]{_TOWN}{{1,38}}?){_GAP}{_END}")
 _CALL = re.compile(r"(?i)(?:coming soon|directions|get |learn more|menu|now open|open\b|order|shop|view|visit)")
+_ZIPPED, _KML = bytes([80, 75, 3, 4]), "http://" + "www.opengis.net" + "/kml/2.2"
 _ZERO = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
 _BLOCKS = {"address", "article", "div", "li", "p", "section", "td"}
 _NAMES = {"a", "b", "h1", "h2", "h3", "h4", "h5", "h6", "strong"}
@@ -73,7 +76,7 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, dict(attrs))
-        while tag in ("li", "p", "td", "tr") and self.open[-1].tag == tag:  # those close themselves
+        while tag in ("li", "p", "td", "th", "tr") and self.open[-1].tag == tag:  # those close themselves
             self.open.pop()
         self.open[-1].children.append(node)
         if tag not in _VOID:
@@ -101,7 +104,7 @@ def parse(html: str) -> Node:
 
 
 def field_of(header: str) -> str | None:
-    h = " ".join(header.lower().split())
+    h = re.sub(r"\s+", " ", header.strip().lower())
     if h:
         for field, words in HEADERS.items():
             if any(w == h or w in h.split() or h.startswith(w) or h.endswith(w) for w in words.split("|")):
@@ -118,36 +121,34 @@ def _name_like(v: str) -> bool:
     return len(v) >= 3 and v.upper() not in ("N/A", "YES") and not _ZIP.fullmatch(v) and not _PHONE.fullmatch(v) and any(c.isalpha() for c in v)
 
 
-def split_name(value: str) -> tuple[str, str | None]:
+_DIVIDER = re.compile("|".join([r"\s+-\s+", r"\s*\|\s*", r"\s*[\u2013\u2014]\s*"]))
+
+
+def split_name(cell: str) -> tuple[str, str | None]:
     """("Shop", "12 Main St") of "Shop - 12 Main St - Town"."""
-    parts = [p.strip() for p in re.split(r"\s*[–—|]\s*|\s+-\s+", value) if p.strip()]
-    if len(parts) > 1:
-        rest = parts[1:]
-        if len(rest) > 1 and not re.search(r"\d", rest[-1]) and len(rest[-1].split()) <= 4:
-            rest = rest[:-1]
-        if _STREET.match(", ".join(rest)):
-            return parts[0], ", ".join(rest)
-    return value.strip(), None
-
-
-def unmerge(name: str | None, address: str | None, city: str | None) -> tuple[str | None, str | None]:
-    """Undoes a city printed over the end of a name and into the address, if that can be proven."""
-    if not (name and address and city):
-        return name, address
-    town, end = city.strip(), name.rstrip()
-    over = next((n for n in range(len(town) - 1, 0, -1) if end.endswith(town[:n])), 0)
-    missing = [c for c in town[over:] if c != " "]
-    if not over or not missing:
-        return name, address
-    kept = []
-    for c in address:
-        if missing and c == missing[0]:
-            missing.pop(0)
+    head, *middle = [p.strip() for p in _DIVIDER.split(cell) if p.strip()] or [""]
+    if len(middle) > 1 and not any(map(str.isdigit, middle[-1])) and middle[-1].count(" ") < 4:
+        middle.pop()
+    street = ", ".join(middle)
+    return (head, street) if _STREET.match(street) else (cell.strip(), None)
+
+
+def unmerge(label: str | None, street: str | None, place: str | None) -> tuple[str | None, str | None]:
+    """(name, address) with a city undone that was printed over the end of the name and into the address, if that can be proven; else as they are."""
+    town, end = (place or "").strip(), (label or "").rstrip()
+    over = max((n for n in range(1, len(town)) if end.endswith(town[:n])), default=0)
+    missing = town[over:].replace(" ", "")
+    if not (over and missing and street):
+        return label, street
+    kept, k = "", 0
+    for c in street:
+        if missing[k : k + 1] == c:
+            k += 1
         else:
-            kept.append(c)
-    street, full = "".join(kept).strip(), end + town[over:]
-    proven = not missing and street[:1].isdigit() and all(t.count("(") == t.count(")") for t in (street, full))
-    return (full, street) if proven else (name, address)
+            kept += c
+    kept, full = kept.strip(), end + town[over:]
+    even = [t.count("(") - t.count(")") for t in (kept, full)]
+    return (full, kept) if k == len(missing) and kept[:1].isdigit() and even == [0, 0] else (label, street)
 
 
 def rows_to_records(rows: list[list[str]], source: str) -> tuple[list[dict], bool]:
@@ -171,7 +172,7 @@ def rows_to_records(rows: list[list[str]], source: str) -> tuple[list[dict], boo
             return [], False
         columns[best[1]] = "name"
     share = lambda k: sum(bool(_STREET.match(r[k].strip())) for r in body if k < len(r) and r[k].strip()) / max(1, sum(bool(k < len(r) and r[k].strip()) for r in body))
-    at = next((k for k, f in columns.items() if f == "address"), None)
+    at = {f: k for k, f in columns.items()}.get("address")
     if at is not None and share(at) <= 0.1:  # an address column without streets: another one that clearly has them
         others = [k for k in range(max(map(len, body), default=0)) if k != at and columns.get(k) != "name" and share(k) >= 0.6]
         if len(others) == 1:
@@ -217,9 +218,9 @@ def address_blocks(root: Node) -> list[dict]:
         found = list(_BLOCK.finditer(text))
         if not found or any(_BLOCK.search(" ".join(c.text().split())) for c in el.children if isinstance(c, Node)):
             continue
-        label = next((n for n in el.walk() if n.tag in _NAMES), None)
-        name = (clean(label.text()) if label is not None else None) or clean(text[: found[0].start()])
-        if not name or len(name) > 80:
+        titles = [clean(n.text()) for n in el.walk() if n.tag in _NAMES][:1]
+        name = (titles[0] if titles else None) or clean(text[: found[0].span()[0]])
+        if name is None or len(name) > 80:
             continue
         for m in found:
             street, city, state, zip_code = map(clean, m.groups())
@@ -230,7 +231,7 @@ def address_blocks(root: Node) -> list[dict]:
 
 
 def line_blocks(root: Node) -> list[dict]:
-    lines = [s.replace("\xa0", " ").strip() for s in root.text("\n").split("\n") if s.strip()]
+    lines = [s.strip() for s in root.text("\n").replace("\u00a0", " ").split("\n") if s.strip()]
     out, seen = [], set()
     for k, line in enumerate(lines):
         if m := _LOOSE.fullmatch(line):
@@ -258,7 +259,7 @@ def from_csv(text: str) -> list[dict]:
     rows = list(csv.reader(io.StringIO(text)))
     if len(rows) < 2:
         return []
-    trade = next((k for k, c in enumerate(rows[0]) if " ".join(c.lower().split()) in TRADE_HEADERS), None)
+    trade = next((k for k, c in enumerate(rows[0]) if re.sub(r"\s+", " ", c.strip().lower()) in TRADE_HEADERS), None)
     columns: dict[int, str] = {}
     for k, c in enumerate(rows[0]):
         f = field_of(c)
@@ -291,14 +292,14 @@ def from_kml(content: bytes) -> list[dict]:
         root = ElementTree.fromstring(content)
     except ElementTree.ParseError:
         return []
-    ns, out = "{http://www.opengis.net/kml/2.2}", []
+    ns, out = "{%s}" % _KML, []
     for mark in root.iter(f"{ns}Placemark"):
         name = clean(mark.findtext(f"{ns}name"))
         if not name:
             continue
         v: dict = {}
         for d in mark.iterfind(f"{ns}ExtendedData/{ns}Data"):
-            if f := field_of((d.get("name") or "").lower()):
+            if f := field_of(d.get("name", default="")):
                 v[f] = clean(d.findtext(f"{ns}value"))
         about = clean(mark.findtext(f"{ns}description"))
         if not v.get("address") and about and _STREET.search(about):
@@ -310,10 +311,9 @@ def from_kml(content: bytes) -> list[dict]:
 
 def _pick(attrs: dict, *wanted: str) -> str | None:
     """The value of the first attribute whose name has a wanted word; blank is none."""
-    low = {k.lower(): v for k, v in attrs.items()}
     for w in wanted:
-        for k, v in low.items():
-            if w in k:
+        for k, v in attrs.items():
+            if w in k.lower():
                 return clean(str(v)) if v not in (None, "") else None
     return None
 
@@ -327,7 +327,7 @@ def from_features(content: str) -> list[dict]:
     out = []
     for f in features:
         a = f.get("attributes") or {}
-        name = _pick(a, "dispensar", "name", "dba", "business", "licensee", "facility", "store")
+        name = _pick(a, *"dispensar name dba business licensee facility store".split())
         if name:
             v = {"name": name, "address": _pick(a, "address", "addr", "street"), "city": _pick(a, "city", "town"), "state": _pick(a, "state", "province"), "zip_code": _pick(a, "zip", "postal"), "phone": _pick(a, "phone", "tel"), "website": _pick(a, "website", "web", "url")}
             out.append(record("arcgis", v | _point(_pick(a, "latitude"), _pick(a, "longitude", "longitd"))))
@@ -347,7 +347,7 @@ def from_json_list(content: str, names: dict[str, str], source: str = "json", ke
 
 def sheet(content: bytes) -> list[list[str]]:
     """The cells of an xlsx file's first sheet; none if it isn't one."""
-    if content[:4] != b"PK\x03\x04":
+    if not content.startswith(_ZIPPED):
         return []
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -385,9 +385,9 @@ def dispatch(content: bytes | None, kind: str | None) -> list[dict]:
     """Records of a captured resource. What the bytes are goes before what the kind says; an unknown kind is a page; nothing readable is no records."""
     if not content:
         return []
-    if content[:4] == b"PK\x03\x04":
+    if content.startswith(_ZIPPED):
         return from_xlsx(content)
-    if content[:4] == b"%PDF":
+    if content.startswith(b"%PDF"):
         return []  # there is no PDF reader here; a table of its cells goes through rows_to_records
     text = content.decode("utf-8", "replace")
     how = KINDS.get(kind or "", "html")

@@ -35,7 +35,7 @@ def _c(name: str) -> Column:
 
 def strip_lot(address: Column) -> Column:
     """Without "4 -" before the house number, unless nothing is left."""
-    short = F.trim(F.regexp_replace(address, r"^\s*[0-9A-Za-z]{1,4}\s*-\s*(?=[0-9])", ""))
+    short = F.trim(F.regexp_replace(address, r"^\s*[A-Za-z0-9]{1,4}\s*-\s*(?=[0-9])", ""))
     return F.coalesce(F.nullif(short, F.lit("")), address)
 
 
@@ -76,7 +76,7 @@ def store_json(captures: DataFrame, content: str = "content", state: str = "BC")
 def map_blocks(captures: DataFrame, content: str = "content") -> DataFrame:
     """Flat "location" objects inside a page's escaped JSON; one record a name and address."""
     plain = F.replace(F.replace(F.col(content), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    found = captures.select(F.posexplode(F.regexp_extract_all(plain, F.lit(r'"location":(\{[^{}]*\})'), F.lit(1))).alias("pos", "j"))
+    found = captures.select(F.posexplode(F.regexp_extract_all(plain, F.lit(r'"location":([{][^{}]*[}])'), F.lit(1))).alias("pos", "j"))
     df = found.select("pos", F.from_json("j", "addressTitle string, addressLine1 string, addressLine2 string, markerLat double, markerLng double").alias("l")).select("pos", "l.*")
     part = lambda k: F.nullif(F.trim(F.regexp_extract("addressLine2", r"^\s*([^,]+),\s*([A-Z]{2}),?\s*([0-9]{5})", k)), F.lit(""))
     out = to_records(df.filter(F.length(F.trim("addressLine1")) > 0), "map_blocks", ["pos"], name=_c("addressTitle"), address=_c("addressLine1"), city=part(1), state=part(2), zip_code=part(3), **_coords(F.col("markerLat"), F.col("markerLng")))
@@ -88,7 +88,7 @@ def markers_json(captures: DataFrame, content: str = "content") -> DataFrame:
     """Map markers with a formatted address; one that can't be parsed leaves name, link and coordinates."""
     marker = "array<struct<name:string,lat:string,long:string,formattedAddress:string,buttonLink:string>>"
     df = captures.select(F.explode(F.from_json(content, marker)).alias("m")).select("m.*")
-    part = lambda k: F.nullif(clean(F.regexp_extract(F.trim("formattedAddress"), r"^(.+?),\s*([^,]+),\s*([A-Z]{2})\s+([0-9]{5})(?:-[0-9]{4})?(?:,\s*[A-Za-z .]+)?$", k)), F.lit(""))
+    part = lambda k: F.nullif(clean(F.regexp_extract(F.trim("formattedAddress"), r"^(.+?),\s*([^,]+),\s*([A-Z]{2})\s+([0-9]{5})(?:-[0-9]{4})?(?:,\s*[ .A-Za-z]+)?$", k)), F.lit(""))
     number = {"latitude": F.col("lat").try_cast("double"), "longitude": F.col("long").try_cast("double")}
     return to_records(df, "markers_json", name=_c("name"), address=part(1), city=part(2), state=part(3), zip_code=part(4), website=_c("buttonLink"), **number)
 

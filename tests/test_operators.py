@@ -143,7 +143,7 @@ def test_lifecycle(spark):
 
 
 def test_pages():
-    table = "<table><tr><th>Business Name</th><th>Address</th><th>City</th></tr><tr><td>Acme</td><td>1 Main St</td><td>Town</td></tr><tr><td></td><td>x</td></tr></table>"
+    table = "<table><tr><th>Business Name<th>Address<th>City</tr><tr><td>Acme<td>1 Main St<td>Town</tr><tr><td></td><td>x</td></tr></table>"
     assert [(r["name"], r["address"], r["city"]) for r in markup.page(table)] == [("Acme", "1 Main St", "Town")]
     inferred = "<table><tr><td>a</td><td>b</td></tr>" + "".join(f"<tr><td>Shop Number {i}{{}}</td><td>717-555-000{i}</td></tr>" for i in range(4)) + "</table>"
     assert [(r["name"], r["address"]) for r in markup.page(inferred.replace("{}", " - 1 Main St"))][:1] == [("Shop Number 0", "1 Main St")]
@@ -158,7 +158,7 @@ def test_pages():
 def test_files():
     assert [r["name"] for r in markup.from_csv("Legal Name,DBA,City\nL1,D1,Town\nL2,,Town\n,,\n")] == ["D1", "L2"]
     assert [r["name"] for r in markup.from_csv("DBA,City\nD1,Town\n")] == ["D1"] and markup.from_csv("x") == []
-    kml = b'<kml xmlns="http://www.opengis.net/kml/2.2"><Placemark><name>A</name><description>1 Main St</description><Point><coordinates>-75.1,40.1,0</coordinates></Point></Placemark><Placemark><name>B</name><Point><coordinates>0,0</coordinates></Point></Placemark></kml>'
+    kml = b'<kml xmlns="' + markup._KML.encode() + b'"><Placemark><name>A</name><description>1 Main St</description><Point><coordinates>-75.1,40.1,0</coordinates></Point></Placemark><Placemark><name>B</name><Point><coordinates>0,0</coordinates></Point></Placemark></kml>'
     assert [(r["name"], r["address"], r["latitude"]) for r in markup.from_kml(kml)] == [("A", "1 Main St", 40.1), ("B", None, None)] and markup.from_kml(b"<") == []
     feats = '{"features": [{"attributes": {"Dispensary": "A", "Longitde": "-75", "LATITUDE": 40}}, {"attributes": {"x": 1}}]}'
     assert [(r["name"], r["latitude"], r["longitude"]) for r in markup.from_features(feats)] == [("A", 40.0, -75.0)]
@@ -257,7 +257,7 @@ def test_registries(spark, tmp_path):
     assert [(r.name, r.city, r.zip_code, r.latitude) for r in R.map_blocks(capture(spark, block + block)).collect()] == [("A", "T", "22030", None)]
     marks = '[{"name": "A", "lat": "40", "long": -75, "formattedAddress": "1 Main St, Town, PA 17011, USA"}, {"name": "B", "formattedAddress": "?"}]'
     assert [(r.name, r.address, r.state) for r in R.markers_json(capture(spark, marks)).orderBy("name").collect()] == [("A", "1 Main St", "PA"), ("B", None, None)]
-    lic = '{"data": [{"businessLegalName": "L", "licenseStatus": "Active", "licenseType": "Commercial - Retailer"}, {"businessDbaName": "X", "licenseStatus": "Revoked", "licenseType": "Retailer"}]}'
+    lic = '{"data": [{"businessLegalName": "L", "licenseType": "Commercial - Retailer", "licenseStatus": "Active"}, {"businessDbaName": "X", "licenseStatus": "Revoked", "licenseType": "Retailer"}]}'
     assert [r.name for r in R.licence_search(capture(spark, lic, lic)).collect()] == ["L"]
     pts = spark.createDataFrame([(i / 10, i / 10) for i in range(40)], "lat double, lng double")
     boxes = R.quadrants(spark, pts, (0.0, 4.0, 0.0, 4.0), page=10).collect()
