@@ -11,31 +11,31 @@ from shelfspark.llm._text import Tokens, map_pieces
 
 #: (licence, passage): notices and passages of public licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("LGPL", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("all-rights-reserved", "All rights reserved."),
+    ("MIT", 'Released under the MIT License.'),
+    ("MIT", 'Licensed under the MIT License.'),
+    ("MIT", 'This project is licensed under the MIT ' 'License'),
+    ("MIT", 'Permission is hereby granted, free of charge, ' 'to any person obtaining a copy of ' 'this software and associated documentation files (the ' '"Software"), to deal in the Software without ' 'restriction, including without limitation the rights to ' 'use, copy, modify, merge, publish, distribute, sublicense, ' 'and/or sell copies of the Software, and ' 'to permit persons to whom the Software ' 'is furnished to do so, subject to ' 'the following conditions'),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT ' 'WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, ' 'INCLUDING BUT NOT LIMITED TO THE WARRANTIES ' 'OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE ' 'AND NONINFRINGEMENT'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed ' 'to in writing, software distributed under the ' 'License is distributed on an "AS IS" ' 'BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY ' 'KIND, either express or implied. See the ' 'License for the specific language governing permissions ' 'and limitations under the License.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary ' 'forms, with or without modification, are permitted ' 'provided that the following conditions are met'),
+    ("BSD-3-Clause", 'Licensed under the BSD 3-Clause License'),
+    ("GPL-3.0", 'This work is licensed under the GNU ' 'General Public License, version 3.'),
+    ("GPL-3.0", 'Licensed under the GNU General Public License, ' 'version 3.'),
+    ("GPL", 'This program is free software: you can ' 'redistribute it and/or modify it under the ' 'terms of the GNU General Public License ' 'as published by the Free Software Foundation'),
+    ("LGPL", 'under the terms of the GNU Lesser ' 'General Public License as published by the ' 'Free Software Foundation'),
+    ("AGPL-3.0", 'under the terms of the GNU Affero ' 'General Public License as published by the ' 'Free Software Foundation'),
+    ("MPL-2.0", 'This Source Code Form is subject to ' 'the terms of the Mozilla Public License, ' 'v. 2.0.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute ' 'this software for any purpose with or ' 'without fee is hereby granted, provided that ' 'the above copyright notice and this permission ' 'notice appear in all copies.'),
+    ("CC-BY-4.0", 'Licensed under CC BY 4.0.'),
+    ("CC-BY-SA-4.0", 'Licensed under CC BY-SA 4.0.'),
+    ("CC-BY-NC-4.0", 'Licensed under CC BY-NC 4.0.'),
+    ("CC-BY-ND-4.0", 'Licensed under CC BY-ND 4.0.'),
+    ("CC-BY-4.0", 'This work is licensed under a Creative ' 'Commons Attribution 4.0 International License'),
+    ("CC-BY-NC-4.0", 'This work is licensed under a Creative ' 'Commons Attribution-NonCommercial 4.0 International License'),
+    ("CC0-1.0", 'To the extent possible under law, the ' 'author has waived all copyright and related ' 'or neighboring rights to this work'),
+    ("Unlicense", 'This is free and unencumbered software released ' 'into the public domain.'),
+    ("all-rights-reserved", 'All rights reserved.'),
 )
 #: Words of a match that counts, words that may lie between two matches of a chain, share of a passage that must be covered.
 LEAST, GAP, COVERED = 3, 8, 0.8

@@ -66,7 +66,7 @@ def test_automaton_gives_longest_matches():
         assert got == sorted((i + 1 - n, i + 1) for i, n in enumerate(lengths) if n >= 2 and (i == 39 or lengths[i + 1] <= n))
 
 
-# 1 ---------------------------------------------------------------------------------------------
+# operator 1
 
 
 def test_url_filter_on_held_out_urls():
@@ -90,7 +90,7 @@ def test_url_filter_rows(spark):
     assert m.probability(["http://a.bad/x"])[0] > 0.5 > m.probability(["http://b.good/y"])[0]
 
 
-# 2 ---------------------------------------------------------------------------------------------
+# operator 2
 
 
 def test_topk_is_exact(spark):
@@ -114,7 +114,7 @@ def test_topk_is_exact(spark):
     assert topk.top_k(df.filter("vec_id in (1, 2)"), k=10).count() == 2
 
 
-# 3 ---------------------------------------------------------------------------------------------
+# operator 3
 
 
 def test_bpe_equals_a_known_encoder():
@@ -144,7 +144,7 @@ def test_bpe_rows(spark):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
-# 4 ---------------------------------------------------------------------------------------------
+# operator 4
 
 
 def test_differencing():
@@ -177,7 +177,7 @@ def test_shards(spark):
     assert shard.assign_shards(df.limit(0)).count() == 0
 
 
-# 5 ---------------------------------------------------------------------------------------------
+# operator 5
 
 
 def test_toxicity_finds_folded_words(spark):
@@ -215,7 +215,7 @@ def test_toxicity_on_held_out_labels(spark, sf):
     assert np.mean(yes) > 0.7 and np.mean(no) < 0.02
 
 
-# 6 ---------------------------------------------------------------------------------------------
+# operator 6
 
 
 def test_language_on_held_out_documents(spark, sf):
@@ -244,7 +244,7 @@ def test_language_rows(spark):
     assert langid.identify(everything.limit(0)).count() == 0
 
 
-# 7 ---------------------------------------------------------------------------------------------
+# operator 7
 
 
 def brute_spans(text, items, length, coverage, floor):
@@ -289,7 +289,7 @@ def test_decontamination_equals_brute_force(spark):
         decontam.automaton_of(bench, most_words=3)
 
 
-# 8 ---------------------------------------------------------------------------------------------
+# operator 8
 
 
 def brute_lines(rows, documents, least):
@@ -342,7 +342,7 @@ def test_templates_generalise_fields():
     assert leaf.members == [[0, 1], [2]] and leaf.words[0][5] == -1
 
 
-# 9 ---------------------------------------------------------------------------------------------
+# operator 9
 
 
 def grams(text, n=ngramjoin.N):
@@ -434,7 +434,7 @@ def test_prefix_tree_equals_brute_force():
         assert sorted(ngramjoin.block_pairs(sets, t)) == want
 
 
-# 10 --------------------------------------------------------------------------------------------
+# operator 10
 
 
 def test_license_scan(spark):
