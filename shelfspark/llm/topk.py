@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 10
 #: Vectors of a group, of which a cell meets two; vectors of a tile.
@@ -18,18 +19,18 @@ FAN_IN = 8
 _SLACK = 1e-4
 
 
-def _tile_top(q: np.ndarray, qn: np.ndarray, qid: np.ndarray, s: np.ndarray, sn: np.ndarray, sid: np.ndarray, k: int):
-    """(query row, id, score) of each query's best k of a shard tile: a 32-bit product selects, 64 bits decide."""
-    near = qn.astype(np.float32) @ sn.astype(np.float32).T
-    near[qid[:, None] == sid[None, :]] = -np.inf
-    if near.shape[1] > k:
-        bound = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - _SLACK
+def _tile_top(q: np.ndarray, q32: np.ndarray, qid: np.ndarray, s: np.ndarray, s32: np.ndarray, sid: np.ndarray, k: int, least: np.ndarray):
+    """(query row, id, score) of each query's best k of a shard tile, as far as they reach ``least``: a 32-bit product selects, 64 bits decide."""
+    near = q32 @ s32.T
+    if np.intersect1d(qid, sid).size:
+        near[qid[:, None] == sid[None, :]] = -np.inf
+    rows, columns = np.nonzero(near >= (least - _SLACK)[:, None])
+    if len(rows) > 4 * k * len(q) and near.shape[1] > k:
+        bound = np.maximum(np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k], least) - _SLACK
         rows, columns = np.nonzero(near >= bound[:, None])
-    else:
-        rows, columns = np.nonzero(near > -np.inf)
     fine = near[rows, columns] > -np.inf
     rows, columns = rows[fine], columns[fine]
-    exact = np.concatenate([(qn[rows[a : a + 65536]] * sn[columns[a : a + 65536]]).sum(1) for a in range(0, len(rows), 65536)] or [np.zeros(0)])
+    exact = np.concatenate([(q[rows[a : a + 65536]] * s[columns[a : a + 65536]]).sum(1) for a in range(0, len(rows), 65536)] or [np.zeros(0)])
     return _best(rows, sid[columns], exact, k)
 
 
@@ -40,21 +41,27 @@ def _best(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
     return rows[rank < k], ids[rank < k], score[rank < k]
 
 
-def _cell(pdf: pd.DataFrame, k: int, dimension: int) -> pd.DataFrame:
+def _cell(pdf: pd.DataFrame, k: int, dimension: int, kind: str) -> pd.DataFrame:
     pdf = pdf.sort_values("id", kind="stable")
     parts = []
     for query in (True, False):
         own = pdf[pdf["query"] == query]
-        v = np.frombuffer(b"".join(own["v"]), np.float64).reshape(-1, dimension) if len(own) else np.zeros((0, dimension))
-        parts.append((own["id"].to_numpy(), v))
-    (qid, q), (sid, s) = parts
+        v = np.frombuffer(b"".join(own["v"]), kind).reshape(-1, dimension).astype(np.float64)
+        v /= np.abs(v).max(1, initial=0)[:, None]  # so that no square vanishes or overflows
+        v /= np.sqrt((v * v).sum(1))[:, None]
+        parts.append((own["id"].to_numpy(), v, v.astype(np.float32)))
+    (qid, q, q32), (sid, s, s32) = parts
     ids, lists = [], []
     for a in range(0, len(q), TILE):
         qt, qi = q[a : a + TILE], qid[a : a + TILE]
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = np.full(len(qt), -np.inf)
         for b in range(0, len(s), TILE):
-            new = _tile_top(qt, qt, qi, s[b : b + TILE], s[b : b + TILE], sid[b : b + TILE], k)
+            new = _tile_top(qt, q32[a : a + TILE], qi, s[b : b + TILE], s32[b : b + TILE], sid[b : b + TILE], k, least)
             found = _best(*(np.concatenate(x) for x in zip(found, new)), k)
+            at = np.searchsorted(found[0], np.arange(len(qt) + 1))
+            full = np.flatnonzero(np.diff(at) == k)
+            least[full] = found[2][at[full + 1] - 1]
         rows, near, score = found
         at = np.searchsorted(rows, np.arange(len(qt) + 1))
         for j in range(len(qt)):
@@ -91,10 +98,11 @@ def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str
         return vectors.sparkSession.createDataFrame([], out)
     dimension, groups = sizes["d"], max(1, math.ceil(sizes["count"] / group))
 
+    kind = "<f4" if vectors.schema[embedding].dataType == T.ArrayType(T.FloatType()) else "<f8"
+
     def pack(batches):
         for pdf in batches:
-            m = np.array(pdf["e"].tolist(), np.float64).reshape(-1, dimension)
-            m /= np.sqrt((m * m).sum(1))[:, None]
+            m = np.array(pdf["e"].tolist(), kind).reshape(-1, dimension)
             yield pd.DataFrame({"id": pdf["id"], "v": [x.tobytes() for x in m]})
 
     one = v.filter(F.size("e") == dimension).groupBy("id").agg(F.min("e").alias("e"))
@@ -102,8 +110,8 @@ def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str
     other = F.explode(F.expr(f"sequence(0L, {groups - 1}L)"))
     queries = packed.select("id", "v", F.col("g").alias("high"), other.alias("low"), F.lit(True).alias("query"))
     shards = packed.select("id", "v", other.alias("high"), F.col("g").alias("low"), F.lit(False).alias("query"))
-    kind = "array<struct<score:double,id:bigint>>"
-    lists = queries.union(shards).groupBy("high", "low").applyInPandas(lambda pdf: _cell(pdf, k, dimension), f"id long, part long, top {kind}")
+    top = "array<struct<score:double,id:bigint>>"
+    lists = queries.union(shards).groupBy("high", "low").applyInPandas(lambda pdf: _cell(pdf, k, dimension, kind), f"id long, part long, top {top}")
     while groups > 1:
         groups = math.ceil(groups / FAN_IN)
         lists = lists.groupBy("id", F.floor(F.col("part") / FAN_IN).alias("part")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
