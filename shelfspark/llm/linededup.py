@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm._text import U64, Tokens, fresh, map_pieces, mix, replace
 
-#: A template is dropped once it is in so many documents.
-DOCUMENTS = 5
+#: A template is dropped once it is in so many documents; one of over LONG words once it is in LONG_DOCUMENTS.
+DOCUMENTS, LONG, LONG_DOCUMENTS = 5, 50, 2
 #: Lines of fewer words are left alone.
 WORDS = 3
 #: Leading words below the level of word counts.
@@ -112,17 +113,18 @@ class Leaf:
             self.by.setdefault((p, w), []).append(k)
 
 
-def _templates(batches, documents: int, alike: float):
+def _templates(batches, documents: int, alike: float, long: int, long_documents: int):
     """Recurring lines of batches sorted by leaf and line: (line, keeper)."""
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table):
         leaf = table["leaf"].to_numpy()
         line, n, first = table["line"].to_numpy(), table["n"].to_numpy(), table["first"].to_numpy()
+        floor = np.where(pc.binary_length(table["words"]).to_numpy() > 2 * long, min(documents, long_documents), documents)
         at = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
         totals = np.add.reduceat(n, at[:-1])
         lines, keepers = [], []
-        for g in np.flatnonzero(totals >= documents):
+        for g in np.flatnonzero(totals >= np.minimum.reduceat(floor, at[:-1])):
             rows = range(at[g], at[g + 1])
             if len(rows) == 1:
                 groups = [list(rows)]
@@ -133,7 +135,7 @@ def _templates(batches, documents: int, alike: float):
                     by_size.setdefault(len(w), Leaf(len(w), alike)).add(w, k)
                 groups = [m for x in by_size.values() for m in x.members]
             for m in groups:
-                if n[m].sum() >= documents:
+                if n[m].sum() >= floor[m[0]]:
                     lines.extend(line[m].tolist())
                     keepers.extend([int(first[m].min())] * len(m))
         return pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(keepers, pa.int64())], names=["line", "keeper"])
@@ -154,8 +156,8 @@ def _templates(batches, documents: int, alike: float):
         yield done(pa.Table.from_batches(held))
 
 
-def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, words: int = WORDS, alike: float = ALIKE, flags: bool = False) -> DataFrame:
-    """``docs`` without lines whose template recurs in at least ``documents`` documents.
+def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, words: int = WORDS, alike: float = ALIKE, flags: bool = False, long: int = LONG, long_documents: int = LONG_DOCUMENTS) -> DataFrame:
+    """``docs`` without lines whose template recurs in at least ``documents`` documents, or in ``long_documents`` if it has over ``long`` words.
 
     The tree has a level for the number of words and one for each of the first
     ``LEADING`` words, words with digits counting as one variable field. In a
@@ -178,7 +180,7 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
     slim = keyed.select(key, text)
     lines = _scan(slim, key, text, words, True).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.min("words").alias("words"))
     sorted_ = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
-    recurring = sorted_.mapInArrow(lambda it: _templates(it, documents, alike), "line long, keeper long")
+    recurring = sorted_.mapInArrow(lambda it: _templates(it, documents, alike, long, long_documents), "line long, keeper long")
     lists = (
         _scan(slim, key, text, words, False)
         .join(recurring.hint("shuffle_hash"), "line")

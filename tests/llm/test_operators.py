@@ -331,6 +331,21 @@ def test_line_dedup(spark):
     assert all(r.n_chars == len(r.text) for r in out.collect() if r.doc_id and r.doc_id >= 100)
 
 
+def test_long_lines_go_from_two_documents_on(spark):
+    rng = random.Random(11)
+    long, least, two = english(rng, 80), english(rng, linededup.LONG + 1), english(rng, linededup.LONG)
+    near = long.split()
+    near[40] = "otherwise"
+    rows = [(100 + i, f"{english(rng, 12)}\n{s}\n{english(rng, 70)}") for i, s in enumerate([long, long, " ".join(near), least, least, two, two, two, two])]
+    got = {r.doc_id: r.text for r in linededup.drop_lines(awkward(spark, rows)).collect()}
+    kept = [s in got[i].split("\n") for (i, _), s in zip(rows, [long, long, " ".join(near), least, least, two, two, two, two])]
+    assert sum(kept[:3]) == 1 and sum(kept[3:5]) == 1  # over LONG words: one document keeps it, also a near copy
+    assert all(kept[5:])  # shorter ones stay below DOCUMENTS
+    for i, t in rows:
+        assert got[i].split("\n")[0] == t.split("\n")[0] and got[i].split("\n")[-1] == t.split("\n")[-1]
+    assert linededup.drop_lines(awkward(spark)).exceptAll(awkward(spark)).count() == 0  # a repeated row is its own keeper
+
+
 def test_templates_generalise_fields():
     leaf = linededup.Leaf(10, 0.7)
     base = np.arange(10).astype(np.uint16)
