@@ -114,7 +114,12 @@ class Leaf:
 
 
 def _templates(batches, documents: int, alike: float, long: int, long_documents: int):
-    """Recurring lines of batches sorted by leaf and line: (line, keeper)."""
+    """Recurring lines of batches sorted by leaf and line: (line, keeper, template, floor).
+
+    ``template`` is null where the counts and first documents of lines show
+    that it recurs; elsewhere its documents have to be counted against ``floor``.
+    """
+    names = ["line", "keeper", "template", "floor"]
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table):
@@ -123,7 +128,7 @@ def _templates(batches, documents: int, alike: float, long: int, long_documents:
         floor = np.where(pc.binary_length(table["words"]).to_numpy() > 2 * long, min(documents, long_documents), documents)
         at = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
         totals = np.add.reduceat(n, at[:-1])
-        lines, keepers = [], []
+        lines, keepers, templates, floors = [], [], [], []
         for g in np.flatnonzero(totals >= np.minimum.reduceat(floor, at[:-1])):
             rows = range(at[g], at[g + 1])
             if len(rows) == 1:
@@ -135,10 +140,16 @@ def _templates(batches, documents: int, alike: float, long: int, long_documents:
                     by_size.setdefault(len(w), Leaf(len(w), alike)).add(w, k)
                 groups = [m for x in by_size.values() for m in x.members]
             for m in groups:
-                if n[m].sum() >= floor[m[0]]:
+                need, most = int(floor[m[0]]), n[m].max()
+                if n[m].sum() < need:
+                    continue
+                sure = most >= need or len(np.unique(first[m])) >= need
+                if sure or most > 1:  # lines of one document each have no more documents than first ones
                     lines.extend(line[m].tolist())
                     keepers.extend([int(first[m].min())] * len(m))
-        return pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(keepers, pa.int64())], names=["line", "keeper"])
+                    templates.extend([None if sure else int(line[m[0]])] * len(m))
+                    floors.extend([need] * len(m))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (lines, keepers, templates, floors)], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -171,22 +182,29 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
     whatever their names; ``n_chars``, if there, follows the text. With
     ``flags`` no row goes, but ``dropped_lines`` and ``emptied`` are added.
 
+    A document counts once a template, however many of its lines belong to it.
+
     Two shuffles of lines (hash, key and 16 bits a word; a line's occurrences
-    are combined before the first), one of the lines' keys, and one of docs
-    against the lists of lines to drop.
+    are combined before the first), one of the lines' keys, two of the keys of
+    recurring lines, and one of docs against the lists of lines to drop.
     """
     key, drop = fresh(docs, "row_key", "drop_lines")
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", text)]))
     slim = keyed.select(key, text)
     lines = _scan(slim, key, text, words, True).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.min("words").alias("words"))
     sorted_ = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
-    recurring = sorted_.mapInArrow(lambda it: _templates(it, documents, alike, long, long_documents), "line long, keeper long")
+    recurring = sorted_.mapInArrow(lambda it: _templates(it, documents, alike, long, long_documents), "line long, keeper long, template long, floor long")
+    hits = _scan(slim, key, text, words, False).join(recurring.hint("shuffle_hash"), "line").filter("template is not null or doc != keeper")
+    # by template where its documents are to be counted, by document elsewhere; a document's rows all have all of its lines
+    apart = hits.withColumn("alone", F.expr("if(template is null, doc, null)")).repartition("template", "alone")
+    own = apart.groupBy("template", "alone", "doc").agg(F.count(F.lit(1)).alias("n"), F.collect_set("line").alias("lines"), F.first("keeper").alias("keeper"), F.first("floor").alias("floor"))
+    counted = own.groupBy("template", "alone").agg(F.sum(F.expr("n div size(lines)")).alias("documents"), F.collect_list(F.struct("doc", "lines", "keeper")).alias("own"), F.first("floor").alias("floor"))
     lists = (
-        _scan(slim, key, text, words, False)
-        .join(recurring.hint("shuffle_hash"), "line")
-        .filter(F.col("doc") != F.col("keeper"))
+        counted.filter("template is null or documents >= floor")
+        .select("template", F.inline("own"))
+        .filter("template is null or doc != keeper")
         .groupBy(F.col("doc").alias(key))
-        .agg(F.collect_set("line").alias(drop))
+        .agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias(drop))
     )
     joined = keyed.join(lists.hint("shuffle_hash"), key, "left").drop(key)
     added = fresh(docs, "dropped_lines", "emptied")

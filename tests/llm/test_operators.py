@@ -346,6 +346,27 @@ def test_long_lines_go_from_two_documents_on(spark):
     assert linededup.drop_lines(awkward(spark)).exceptAll(awkward(spark)).count() == 0  # a repeated row is its own keeper
 
 
+def test_templates_count_documents_not_lines(spark):
+    line = lambda head, x: f"{head} beta gamma delta epsilon zeta eta theta iota {x}"
+    texts = {
+        100: [line("one", x) for x in "abcd"],  # a template of five lines in two documents
+        101: [line("one", "e")],
+        110: [line("two", x) for x in "abcd"],  # the same, a line being in both
+        111: [line("two", "a")],
+        120: [line("three", "a"), line("three", "b")],  # two lines in five documents
+        **{121 + k: [line("three", x)] for k, x in enumerate("aabb")},
+        130: [line("four", "a"), line("four", "b")],  # two lines in four documents, one of them twice
+        **{131 + k: [line("four", x)] for k, x in enumerate("abb")},
+    }
+    rows = [(i, "\n".join([f"only in {'abcdefghijklmnopqrstuvwxyz'[k]} stands this", *x])) for k, (i, x) in enumerate(texts.items())]
+    rows.append(next(r for r in rows if r[0] == 131))
+    got = {r.doc_id: r.text.split("\n")[1:] for r in linededup.drop_lines(awkward(spark, rows), documents=5).filter("doc_id >= 100").collect()}
+    assert all(got[i] == texts[i] for i in (100, 101, 110, 111))
+    for low in (120, 130):
+        left = [i for i in range(low, low + 10) if got.get(i)]
+        assert len(left) == 1 and got[left[0]] == texts[left[0]]
+
+
 def test_templates_generalise_fields():
     leaf = linededup.Leaf(10, 0.7)
     base = np.arange(10).astype(np.uint16)
