@@ -91,8 +91,8 @@ class SuffixAutomaton:
                 state, n = to, n + 1
             yield n, state
 
-    def matches(self, h: np.ndarray, cut: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
-        """Matches of ``least`` (2 or more) words that can't be lengthened to the right, as (text, first, end, state)."""
+    def walks(self, h: np.ndarray, cut: np.ndarray, least: int) -> Iterator[tuple[int, int, Iterator[tuple[int, int]]]]:
+        """(text, first, statistics) of each run of words in which alone matches of ``least`` (2 or more) can be."""
         if len(h) < least or least < 2:
             return
         known = np.zeros(len(h) + 1, bool)
@@ -103,11 +103,31 @@ class SuffixAutomaton:
         long = ends - firsts >= least
         for first, end in zip(firsts[long].tolist(), ends[long].tolist()):
             text = int(np.searchsorted(cut, first, "right")) - 1
-            base, before, state_before = first - int(cut[text]), 0, 0
-            for k, (n, state) in enumerate(self.statistics(h[first:end].tolist())):
+            yield text, first - int(cut[text]), self.statistics(h[first:end].tolist())
+
+    def matches(self, h: np.ndarray, cut: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
+        """Matches of ``least`` (2 or more) words that can't be lengthened to the right, as (text, first, end, state)."""
+        for text, at, found in self.walks(h, cut, least):
+            before, state_before = 0, 0
+            for at, (n, state) in enumerate(found, at):
                 if n <= before >= least:
-                    yield text, base + k - before, base + k, state_before
+                    yield text, at - before, at, state_before
                 before, state_before = n, state
             if before >= least:
-                k = end - first
-                yield text, base + k - before, base + k, state_before
+                yield text, at + 1 - before, at + 1, state_before
+
+    def covered(self, h: np.ndarray, cut: np.ndarray, length: int, coverage: float, floor: int) -> Iterator[tuple[int, int, int]]:
+        """(text, first, end) of the longest match at each end that has ``length`` words, or ``floor`` and ``coverage`` of a sequence.
+
+        A match too short for the sequences that hold it may end in a shorter
+        one, on the suffix links, that is enough of a shorter sequence.
+        """
+        least = min(length, floor)
+        for text, at, found in self.walks(h, cut, least):
+            for end, (n, state) in enumerate(found, at + 1):
+                while n >= least:
+                    if n >= length or n >= coverage * self.shortest[state]:
+                        yield text, end - n, end
+                        break
+                    state = self.link[state]
+                    n = self.length[state]

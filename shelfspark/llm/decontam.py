@@ -31,17 +31,15 @@ def automaton_of(benchmark: DataFrame, text: str = "text", most_words: int = MOS
 def spans(a: SuffixAutomaton, tokens: Tokens, length: int, coverage: float, floor: int) -> dict[int, list[list[int]]]:
     """By text, the merged word spans to remove."""
     out: dict[int, list[list[int]]] = {}
-    for text, first, end, state in a.matches(tokens.h, tokens.cut, min(length, floor)):
-        n = end - first
-        if n >= length or n >= coverage * a.shortest[state]:
-            own = out.setdefault(text, [])
-            if own and first <= own[-1][1]:
-                own[-1] = [min(own[-1][0], first), max(own[-1][1], end)]
-                while len(own) > 1 and own[-1][0] <= own[-2][1]:
-                    low, high = own.pop()
-                    own[-1] = [min(own[-1][0], low), max(own[-1][1], high)]
-            else:
-                own.append([first, end])
+    for text, first, end in a.covered(tokens.h, tokens.cut, length, coverage, floor):
+        own = out.setdefault(text, [])
+        if own and first <= own[-1][1]:
+            own[-1] = [min(own[-1][0], first), max(own[-1][1], end)]
+            while len(own) > 1 and own[-1][0] <= own[-2][1]:
+                low, high = own.pop()
+                own[-1] = [min(own[-1][0], low), max(own[-1][1], high)]
+        else:
+            own.append([first, end])
     return out
 
 
@@ -60,7 +58,7 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` without passages of ``benchmark``.
 
-    Every maximal match between a text's words and an item's is found. A match
+    Every match between a text's words and an item's is found. A match
     of ``length`` words goes, and so does one of ``floor`` words that is at
     least ``coverage`` of the shortest item holding it; overlapping matches go
     as one span. A document that would lose ``share`` of its words goes whole.

@@ -289,6 +289,29 @@ def test_decontamination_equals_brute_force(spark):
         decontam.automaton_of(bench, most_words=3)
 
 
+def test_short_items_inside_longer_matches_are_found():
+    def same(items, texts):
+        t = Tokens(texts)
+        found = decontam.spans(SuffixAutomaton([h for i in items if len(h := Tokens([i]).h)]), t, decontam.LENGTH, decontam.COVERAGE, decontam.FLOOR)
+        for k, text in enumerate(texts):
+            hit = brute_spans(text, items, decontam.LENGTH, decontam.COVERAGE, decontam.FLOOR)
+            assert [any(a <= w < b for a, b in found.get(k, ())) for w in range(len(hit))] == hit
+        return found
+
+    short, long = "in the year of the dragon", "it was in the year of the dragon that she came to the house by the river"
+    assert same([short, long], [f"born was {short} somewhere", f"born {short} that somewhere"]) == {0: [[2, 8]], 1: [[1, 7]]}
+    rng = random.Random(12)
+    for _ in range(150):
+        word = lambda: rng.choice("abc")
+        items = [" ".join(word() for _ in range(rng.choice((5, 6, 7, 8, 20, 40)))) for _ in range(4)]
+        texts = []
+        for _ in range(6):
+            own = rng.choice(items).split()
+            a = rng.randrange(len(own))
+            texts.append(" ".join([*(word() for _ in range(9)), *own[a : a + rng.randrange(4, 9)], *(word() for _ in range(9))]))
+        same(items, texts)
+
+
 # operator 8
 
 
