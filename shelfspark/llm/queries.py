@@ -83,10 +83,9 @@ WITH words AS (
   FROM grams a JOIN grams b ON a.gram = b.gram AND a.rep < b.rep AND least(a.n, b.n) >= {ngramjoin.THRESHOLD} * greatest(a.n, b.n) - 1e-9
   GROUP BY a.rep, b.rep
 )
-SELECT a AS doc_a, b AS doc_b, c::DOUBLE / (na + nb - c) AS jaccard, x.docs AS docs_a, y.docs AS docs_b
-FROM common JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE c >= {ngramjoin.THRESHOLD} * (na + nb - c) - 1e-9
+SELECT a AS doc_a, b AS doc_b, c::DOUBLE / (na + nb - c) AS jaccard FROM common WHERE c >= {ngramjoin.THRESHOLD} * (na + nb - c) - 1e-9
 UNION ALL
-SELECT docs[1], docs[2], 1.0::DOUBLE, docs, docs FROM classes WHERE len(docs) > 1
+SELECT rep, unnest(docs[2:]), 1.0::DOUBLE FROM classes
 """
 
 OP2_SQL = f"""

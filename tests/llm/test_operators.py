@@ -426,18 +426,38 @@ def near_documents(rng):
 def test_join_equals_brute_force(spark):
     rows = near_documents(random.Random(11))
     df = awkward(spark, rows)
-    out = ngramjoin.similar_pairs(df).collect()
+    pairs = ngramjoin.similar_pairs(df)
+    out = pairs.collect()
     own = {i: grams(t) for i, t in rows}
     own = {i: g for i, g in own.items() if g}
     want = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= ngramjoin.THRESHOLD * len(own[a] | own[b])}
-    got = {(min(a, b), max(a, b)) for r in out for a in r.docs_a for b in r.docs_b if a != b and a >= 100}
-    assert got <= want and len(got) >= 0.99 * len(want)
+    spelled = [(r.doc_a, r.doc_b) for r in ngramjoin.all_pairs(pairs).collect()]
+    assert sorted(spelled) == sorted(want)
+    assert {i for r in out for i in (r.doc_a, r.doc_b)} == {i for w in want for i in w}
     for r in out:
-        if r.doc_a >= 100:
-            assert abs(r.jaccard - len(own[r.doc_a] & own[r.doc_b]) / len(own[r.doc_a] | own[r.doc_b])) < 1e-9
+        assert r.doc_a < r.doc_b and abs(r.jaccard - len(own[r.doc_a] & own[r.doc_b]) / len(own[r.doc_a] | own[r.doc_b])) < 1e-9
     assert ngramjoin.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_each_copy_is_in_a_row(spark):
+    rng = random.Random(16)
+    texts = [english(rng, 40) for _ in range(3)]
+    rows = [(100 + k, texts[k % 3]) for k in range(30)] + [(300, english(rng, 40)), (301, texts[0] + " and one more")] + [(101, texts[1])] * 2
+    out = [(r.doc_a, r.doc_b) for r in ngramjoin.similar_pairs(awkward(spark, rows)).filter("doc_a >= 100").collect()]
+    assert len(out) == len(set(out)) == 28
+    assert {i for r in out for i in r} == {*range(100, 130), 301} and (100, 301) in out
+
+
+def test_contained_sets_are_met_as_often_as_stated():
+    """Of pairs of which one set holds the other, of twice the size, (1 - 0.5) ** keys share no gram that is among both lists of lowest ones."""
+    rng = np.random.default_rng(17)
+    missed, tries = 0, 20_000
+    for _ in range(tries):
+        all_ = rng.permutation(400)  # ranks of the larger set's grams; the smaller one has 200 of them
+        missed += not {*np.sort(all_[:200])[: ngramjoin.KEYS].tolist()} & {*range(ngramjoin.KEYS)}
+    assert missed / tries < 1.5 * 0.5**ngramjoin.KEYS
+
+
 def test_large_blocks_are_met_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "CHUNK", 3)
     rows = near_documents(random.Random(12))
@@ -446,6 +466,8 @@ def test_large_blocks_are_met_in_chunks(spark, monkeypatch):
     small = key(ngramjoin.similar_pairs(df))
     monkeypatch.setattr(ngramjoin, "CHUNK", 4096)
     assert small == key(ngramjoin.similar_pairs(df))
+    monkeypatch.setattr(ngramjoin, "CHUNK_GRAMS", 100)
+    assert small == key(ngramjoin.similar_pairs(df))
 
 
 def test_one_of_each_group_stays(spark):
