@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pkgutil
+import re
+from bisect import bisect_left
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -9,102 +14,111 @@ from pyspark.sql import types as T
 from shelfspark.llm._automaton import SuffixAutomaton
 from shelfspark.llm._text import Tokens, map_pieces
 
-#: (licence, passage): notices and passages of public licences.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", 'Released under the MIT License.'),
-    ("MIT", 'Licensed under the MIT License.'),
-    ("MIT", 'This project is licensed under the MIT ' 'License'),
-    ("MIT", 'Permission is hereby granted, free of charge, ' 'to any person obtaining a copy of ' 'this software and associated documentation files (the ' '"Software"), to deal in the Software without ' 'restriction, including without limitation the rights to ' 'use, copy, modify, merge, publish, distribute, sublicense, ' 'and/or sell copies of the Software, and ' 'to permit persons to whom the Software ' 'is furnished to do so, subject to ' 'the following conditions'),
-    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT ' 'WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, ' 'INCLUDING BUT NOT LIMITED TO THE WARRANTIES ' 'OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE ' 'AND NONINFRINGEMENT'),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0'),
-    ("Apache-2.0", 'Unless required by applicable law or agreed ' 'to in writing, software distributed under the ' 'License is distributed on an "AS IS" ' 'BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY ' 'KIND, either express or implied. See the ' 'License for the specific language governing permissions ' 'and limitations under the License.'),
-    ("BSD-3-Clause", 'Redistribution and use in source and binary ' 'forms, with or without modification, are permitted ' 'provided that the following conditions are met'),
-    ("BSD-3-Clause", 'Licensed under the BSD 3-Clause License'),
-    ("GPL-3.0", 'This work is licensed under the GNU ' 'General Public License, version 3.'),
-    ("GPL-3.0", 'Licensed under the GNU General Public License, ' 'version 3.'),
-    ("GPL", 'This program is free software: you can ' 'redistribute it and/or modify it under the ' 'terms of the GNU General Public License ' 'as published by the Free Software Foundation'),
-    ("LGPL", 'under the terms of the GNU Lesser ' 'General Public License as published by the ' 'Free Software Foundation'),
-    ("AGPL-3.0", 'under the terms of the GNU Affero ' 'General Public License as published by the ' 'Free Software Foundation'),
-    ("MPL-2.0", 'This Source Code Form is subject to ' 'the terms of the Mozilla Public License, ' 'v. 2.0.'),
-    ("ISC", 'Permission to use, copy, modify, and/or distribute ' 'this software for any purpose with or ' 'without fee is hereby granted, provided that ' 'the above copyright notice and this permission ' 'notice appear in all copies.'),
-    ("CC-BY-4.0", 'Licensed under CC BY 4.0.'),
-    ("CC-BY-SA-4.0", 'Licensed under CC BY-SA 4.0.'),
-    ("CC-BY-NC-4.0", 'Licensed under CC BY-NC 4.0.'),
-    ("CC-BY-ND-4.0", 'Licensed under CC BY-ND 4.0.'),
-    ("CC-BY-4.0", 'This work is licensed under a Creative ' 'Commons Attribution 4.0 International License'),
-    ("CC-BY-NC-4.0", 'This work is licensed under a Creative ' 'Commons Attribution-NonCommercial 4.0 International License'),
-    ("CC0-1.0", 'To the extent possible under law, the ' 'author has waived all copyright and related ' 'or neighboring rights to this work'),
-    ("Unlicense", 'This is free and unencumbered software released ' 'into the public domain.'),
-    ("all-rights-reserved", 'All rights reserved.'),
-)
 #: Words of a match that counts, words that may lie between two matches of a chain, share of a passage that must be covered.
 LEAST, GAP, COVERED = 3, 8, 0.8
+#: Words from which a passage is a long one, whose matches count from LEAST_LONG words on.
+LONG, LEAST_LONG = 25, 6
+#: Words of a paragraph of a licence text that is a passage.
+PARAGRAPH = 12
+#: The licences whose texts lie in licenses/, public texts as their authors publish them; notices.txt holds notices by licence.
+FULL = (
+    "Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
+)
+
+
+def templates() -> list[tuple[str, str]]:
+    """(licence, passage): the notices, and each paragraph of ``PARAGRAPH`` words of the full texts. A passage of several licences is named after all."""
+    read = lambda name: (pkgutil.get_data(__package__, f"licenses/{name}.txt") or b"").decode()
+    found = [tuple(x.split("\t")) for x in read("notices").splitlines()]
+    found += [(name, own) for name in FULL for own in re.split(r"\n\s*\n", read(name)) if len(Tokens([own]).h) >= PARAGRAPH]
+    by: dict[bytes, tuple[dict[str, None], str]] = {}
+    for name, own in found:
+        by.setdefault(Tokens([own]).h.tobytes(), ({}, own))[0][name] = None
+    return [("/".join(sorted(names)), own) for names, own in by.values()]
+
+
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES):
-        own = [(name, h) for name, text in templates if len(h := Tokens([text]).h)]
+    """Automata of the short and of the long passages."""
+
+    def __init__(self, passages: Iterable[tuple[str, str]], least: int = LEAST, least_long: int = LEAST_LONG):
+        own = [(name, h) for name, text in passages if len(h := Tokens([text]).h)]
         self.names, self.words = [n for n, _ in own], [len(h) for _, h in own]
-        self.automaton = SuffixAutomaton([h for _, h in own], places=True)
+        parts = [([k for k, n in enumerate(self.words) if (n >= LONG) == long], least_long if long else least) for long in (False, True)]
+        self.parts = [(which, SuffixAutomaton([own[k][1] for k in which], places=True), n) for which, n in parts if which]
 
-    def scan(self, tokens: Tokens, least: int = LEAST, gap: int = GAP, covered: float = COVERED) -> dict[int, list[tuple[int, int, int, int]]]:
+    def scan(self, tokens: Tokens, gap: int = GAP, covered: float = COVERED) -> dict[int, list[tuple[int, int, int, int]]]:
         """By text, spans (first, end, passage, words covered) that don't overlap, best first taken."""
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for text, first, end, state in self.automaton.matches(tokens.h, tokens.cut, least):
-            by.setdefault(text, []).append((first, end, state))
-        return {t: spans for t, found in by.items() if (spans := self._spans(found, gap, covered))}
-
-    def _spans(self, found: list[tuple[int, int, int]], gap: int, covered: float) -> list[tuple[int, int, int, int]]:
-        chains: dict[int, list[list[int]]] = {}  # by passage: open or ended [first, end, place's end, covered]
-        for first, end, state in sorted(found):
-            for k, place in self.automaton.places[state]:
-                begin = place - (end - first)
-                own = chains.setdefault(k, [])
-                best = None
-                for c in reversed(own[-64:]):  # chains are in order of their ends; older ones are out of reach
-                    if first - c[1] > gap:
-                        break
-                    over = max(0, c[1] - first, c[2] - begin)
-                    if c[0] < first and c[2] <= begin + over and place > c[2] and begin - c[2] <= gap and (best is None or c[3] > best[3]):
-                        best = c
-                if best is not None:
-                    over = max(0, best[1] - first, best[2] - begin)
-                    new = [best[0], end, place, best[3] + max(0, end - first - over)]
-                else:
-                    new = [first, end, place, end - first]
-                at = len(own)
-                while at and own[at - 1][1] > end:
-                    at -= 1
-                own.insert(at, new)
+        chains: dict[int, dict[int, list[list[int]]]] = {}
+        for which, automaton, least in self.parts:
+            by: dict[int, list[tuple[int, int, int]]] = {}
+            for text, first, end, state in automaton.matches(tokens.h, tokens.cut, least):
+                by.setdefault(text, []).append((first, end, state))
+            for text, found in by.items():
+                chains.setdefault(text, {}).update((which[k], own) for k, own in _chains(found, automaton, gap).items())
+        return {t: spans for t, own in chains.items() if (spans := self._spans(own, covered))}
+
+    def _spans(self, chains: dict[int, list[list[int]]], covered: float) -> list[tuple[int, int, int, int]]:
         # a longer passage first, then the better covered one
         good = sorted((-c[3], -c[3] / self.words[k], c[0], c[1], k) for k, own in chains.items() for c in own if c[3] >= covered * self.words[k])
-        taken: list[tuple[int, int, int, int]] = []
-        ends: list[tuple[int, int]] = []
+        taken: list[tuple[int, int, int, int]] = []  # in order, as they don't overlap
         for n, _, first, end, k in good:
-            if all(end <= a or b <= first for a, b in ends):
-                ends.append((first, end))
-                taken.append((first, end, k, -n))
-        return sorted(taken)
-
-
-def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, least: int = LEAST, gap: int = GAP, covered: float = COVERED) -> DataFrame:
-    """(doc_id, license, first_word, end_word, covered_words, coverage) of each span that a licence passage covers.
-
-    Matches of ``least`` words are chained in order, at most ``gap`` words apart
-    in text and passage; a chain that covers the share ``covered`` of a passage
-    is a span. Of overlapping spans the one with most covered words stays (ties:
-    the better covered, then the earlier). Null and empty texts have none; a
-    null doc_id stays null; repeated rows each give their spans. Other columns
-    aren't read. No templates: no spans. One pass, nothing is shuffled; the
-    templates are a parameter of fixed size.
+            at = bisect_left(taken, (end,))
+            if not at or taken[at - 1][1] <= first:
+                taken.insert(at, (first, end, k, -n))
+        return taken
+
+
+def _chains(found: list[tuple[int, int, int]], automaton: SuffixAutomaton, gap: int) -> dict[int, list[list[int]]]:
+    """By passage, chains [first, end, place's end, covered] of matches, in order of their ends."""
+    chains: dict[int, list[list[int]]] = {}
+    for first, end, state in sorted(found):
+        for k, place in automaton.places[state]:
+            begin = place - (end - first)
+            own = chains.setdefault(k, [])
+            best = None
+            for c in reversed(own):
+                if first - c[1] > gap:
+                    break
+                over = max(0, c[1] - first, c[2] - begin)
+                if c[0] < first and c[2] <= begin + over and place > c[2] and begin - c[2] <= gap and (best is None or c[3] > best[3]):
+                    best = c
+            if best is not None:
+                over = max(0, best[1] - first, best[2] - begin)
+                new = [best[0], end, place, best[3] + max(0, end - first - over)]
+            else:
+                new = [first, end, place, end - first]
+            at = len(own)
+            while at and own[at - 1][1] > end:
+                at -= 1
+            own.insert(at, new)
+    return chains
+
+
+def scan_licenses(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passages: Iterable[tuple[str, str]] | None = None, least: int = LEAST, gap: int = GAP, covered: float = COVERED, least_long: int = LEAST_LONG
+) -> DataFrame:
+    """(doc_id, license, first_word, end_word, covered_words, coverage) of each span that a licence passage (of ``templates`` if None) covers.
+
+    Matches of ``least`` words (2 or more; ``least_long`` in passages of
+    ``LONG`` words) are chained in order, at most ``gap`` words apart in text
+    and passage; a chain that covers the share ``covered`` of a passage is a
+    span. Of overlapping spans the one with most covered words stays (ties: the
+    better covered, then the earlier, then the passage named first). Null and
+    empty texts have none; very long ones are scanned whole; a null doc_id
+    stays null; repeated rows each give their spans. Other columns aren't read,
+    whatever their names. No passages or an empty table: no spans. One pass,
+    nothing is shuffled; the passages are a parameter of fixed size.
     """
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates))
+    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates() if passages is None else passages, least, least_long))
     names = ["doc_id", "license", "first_word", "end_word", "covered_words", "coverage"]
     kinds = [docs.schema[doc_id].dataType, T.StringType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType()]
 
     def run(part: pa.RecordBatch, texts: list) -> pa.RecordBatch | None:
         s = scanner.value
-        found = s.scan(Tokens(texts), least, gap, covered)
+        found = s.scan(Tokens(texts), gap, covered)
         rows = [(t, s.names[k], a, b, n, n / s.words[k]) for t in sorted(found) for a, b, k, n in found[t]]
         if not rows:
             return None
