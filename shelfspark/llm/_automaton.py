@@ -92,21 +92,32 @@ class SuffixAutomaton:
             yield n, state
 
     def walks(self, h: np.ndarray, cut: np.ndarray, least: int) -> Iterator[tuple[int, int, Iterator[tuple[int, int]]]]:
-        """(text, first, statistics) of each run of words in which alone matches of ``least`` (2 or more) can be."""
-        if len(h) < least or least < 2:
+        """(text, first, statistics) of each run of words in which alone matches of ``least`` (1 or more) can be."""
+        if least < 1:
+            raise ValueError("a match has a word at least")
+        if not len(h) or len(h) < least:
             return
         known = np.zeros(len(h) + 1, bool)
-        known[1:-1] = self.pairs[pair_code(h)]
+        if least == 1:
+            inside = np.zeros(len(h) + 2, bool)
+            inside[1:-1] = np.isin(h, np.fromiter(self.next[0], np.uint64, len(self.next[0])))
+            known[1:-1] = inside[1:-2] & inside[2:-1]
+        else:
+            known[1:-1] = self.pairs[pair_code(h)]
         known[cut] = False  # no pair spans two texts
-        edges = np.flatnonzero(known[1:] != known[:-1])
-        firsts, ends = edges[::2], edges[1::2] + 1
+        if least == 1:  # a run of words, each of which is known with the one before it
+            firsts = np.flatnonzero(inside[1:-1] & ~known[:-1])
+            ends = np.flatnonzero(inside[1:-1] & ~known[1:]) + 1
+        else:
+            edges = np.flatnonzero(known[1:] != known[:-1])
+            firsts, ends = edges[::2], edges[1::2] + 1
         long = ends - firsts >= least
         for first, end in zip(firsts[long].tolist(), ends[long].tolist()):
             text = int(np.searchsorted(cut, first, "right")) - 1
             yield text, first - int(cut[text]), self.statistics(h[first:end].tolist())
 
     def matches(self, h: np.ndarray, cut: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
-        """Matches of ``least`` (2 or more) words that can't be lengthened to the right, as (text, first, end, state)."""
+        """Matches of ``least`` (1 or more) words that can't be lengthened to the right, as (text, first, end, state)."""
         for text, at, found in self.walks(h, cut, least):
             before, state_before = 0, 0
             for at, (n, state) in enumerate(found, at):

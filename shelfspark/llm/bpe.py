@@ -113,7 +113,8 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pa
     Every text is encoded whole, and its ids are decoded again; ``round_trip``
     says whether that gave the text back, as it does for a vocabulary with all
     256 bytes. Null text: null ids, 0 tokens, null round_trip. Empty text: no
-    ids, true. Rows are independent, repeated ones get the same ids. Names in
+    ids, true. Very long texts are encoded whole. Equal ranks (ties) merge from
+    the left. An empty table gives no rows. Rows are independent, repeated ones get the same ids. Names in
     use are underscored. The vocabulary (fixed, some hundred kB) is read once,
     on the driver, and broadcast; nothing is shuffled.
     """
@@ -140,7 +141,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pa
 
 
 def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, name: str = "text") -> DataFrame:
-    """``encoded`` with column ``name``: the text of the ids; null for null ids, "" for none. Ids outside the vocabulary raise IndexError."""
+    """``encoded`` with column ``name`` (underscored if taken): the text of the ids; null for null ids, "" for none; long lists whole, repeated rows alike, no rows of an empty table. Ids outside the vocabulary raise IndexError."""
     ranks = encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     (name,) = fresh(encoded, name)
     schema = T.StructType([*encoded.schema, T.StructField(name, T.StringType())])

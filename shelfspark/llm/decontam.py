@@ -11,35 +11,41 @@ from pyspark.sql import types as T
 from shelfspark.llm._automaton import SuffixAutomaton
 from shelfspark.llm._text import WORD, Tokens, fresh, map_pieces, replace
 
-#: The benchmark may have so many words; its automaton is broadcast.
+#: Words of an automaton; larger benchmarks have several, all of them broadcast.
 MOST_WORDS = 5_000_000
 LENGTH, COVERAGE, FLOOR, SHARE = 8, 0.8, 5, 0.8
 
 
-def automaton_of(benchmark: DataFrame, text: str = "text", most_words: int = MOST_WORDS) -> SuffixAutomaton:
-    """The automaton of the items' words. Raises ValueError for a benchmark of over ``most_words`` words.
-
-    The items' total size is asked before anything is collected.
-    """
-    words = benchmark.agg(F.sum(F.size(F.split(F.col(text), r"\s+")).cast("long"))).first()[0] or 0
-    if words > most_words:
-        raise ValueError(f"the benchmark has {words} words, over {most_words}: split it and chain the calls")
-    seen = {r[0] for r in benchmark.select(text).distinct().collect() if r[0]}
-    return SuffixAutomaton([h for t in sorted(seen) if len(h := Tokens([t]).h)])
+def automata_of(benchmark: DataFrame, text: str = "text", most_words: int = MOST_WORDS) -> list[SuffixAutomaton]:
+    """Automata of the items' words, each of about ``most_words`` words at most; any item is whole in one."""
+    items = sorted({r[0] for r in benchmark.select(text).distinct().toLocalIterator() if r[0]})
+    parts: list[list[np.ndarray]] = [[]]
+    size = 0
+    for t in items:
+        h = Tokens([t]).h
+        if len(h):
+            if parts[-1] and size + len(h) > most_words:
+                parts.append([])
+                size = 0
+            parts[-1].append(h)
+            size += len(h)
+    return [SuffixAutomaton(p) for p in parts]
 
 
-def spans(a: SuffixAutomaton, tokens: Tokens, length: int, coverage: float, floor: int) -> dict[int, list[list[int]]]:
+def spans(automata: list[SuffixAutomaton], tokens: Tokens, length: int, coverage: float, floor: int) -> dict[int, list[list[int]]]:
     """By text, the merged word spans to remove."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for a in automata:
+        for text, first, end in a.covered(tokens.h, tokens.cut, length, coverage, floor):
+            found.setdefault(text, []).append((first, end))
     out: dict[int, list[list[int]]] = {}
-    for text, first, end in a.covered(tokens.h, tokens.cut, length, coverage, floor):
-        own = out.setdefault(text, [])
-        if own and first <= own[-1][1]:
-            own[-1] = [min(own[-1][0], first), max(own[-1][1], end)]
-            while len(own) > 1 and own[-1][0] <= own[-2][1]:
-                low, high = own.pop()
-                own[-1] = [min(own[-1][0], low), max(own[-1][1], high)]
-        else:
-            own.append([first, end])
+    for text, own in found.items():
+        merged = out.setdefault(text, [])
+        for first, end in sorted(own):
+            if merged and first <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([first, end])
     return out
 
 
@@ -59,11 +65,13 @@ def decontaminate(
     """``docs`` without passages of ``benchmark``.
 
     Every match between a text's words and an item's is found. A match
-    of ``length`` words goes, and so does one of ``floor`` words that is at
-    least ``coverage`` of the shortest item holding it; overlapping matches go
-    as one span. A document that would lose ``share`` of its words goes whole.
+    of ``length`` words goes, and so does one of ``floor`` words (1 or more)
+    that is at least ``coverage`` of the shortest item holding it; overlapping
+    matches go as one span, so that ties don't arise. A document that would
+    lose ``share`` of its words (or more) goes whole.
 
-    Null and empty texts have no words: they stay as they are. Empty benchmark:
+    Null and empty texts have no words: they stay as they are. Texts of any
+    length are read whole. An empty table gives no rows. Empty benchmark:
     nothing goes. Items that are null, empty, or repeated count once or not at
     all. Repeated documents are each handled. All columns are kept, also ones
     of other names; ``n_chars``, if there, follows the text. With ``flags`` no
@@ -71,10 +79,10 @@ def decontaminate(
     ``contaminated`` and ``dropped`` are added (underscored if taken), and a
     dropped document's text is null.
 
-    One pass over docs, nothing is shuffled; the benchmark's automaton is
-    broadcast, its size being checked against ``MOST_WORDS``.
+    One pass over docs, nothing is shuffled; the benchmark's automata, of
+    ``MOST_WORDS`` words each, are broadcast.
     """
-    a = docs.sparkSession.sparkContext.broadcast(automaton_of(benchmark, item_text))
+    a = docs.sparkSession.sparkContext.broadcast(automata_of(benchmark, item_text))
     added = fresh(docs, "matched_words", "longest_match", "words", "contaminated", "dropped")
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.BooleanType(), T.BooleanType()]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(n, k) for n, k in zip(added, kinds)] * flags)

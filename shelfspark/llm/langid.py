@@ -26,6 +26,8 @@ FAMILIES = {
 FAMILY_OF = {x: f for f, own in FAMILIES.items() for x in own}
 #: Labelled rows a language that a model is fitted on, at most.
 ROWS = 250
+#: Rows of all languages that a model is fitted on, at most: they are held as rows of features on the driver.
+TOTAL = 5000
 #: A text is rejected if less than this share of its character trigrams occurs in the sample of its language.
 KNOWN = 0.5
 UNKNOWN = "und"
@@ -161,7 +163,7 @@ def train(texts: list, labels: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = ROWS) -> Model:
-    """A model from at most ``rows`` rows a language, those whose text hashes lowest.
+    """A model from at most ``rows`` rows a language, those whose text hashes lowest; fewer (``TOTAL`` in all) where there are many languages.
 
     Null or empty labels and texts are not used. The texts' hashes pick the
     rows, so a repeated row changes nothing and the sample is the same however
@@ -172,7 +174,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = RO
     # each task keeps its lowest hashes of a language, so that few rows are shuffled; repeated texts share a rank
     w = Window.partitionBy("lang").orderBy(h)
     low = labelled.withColumn(v, F.dense_rank().over(w)).filter(F.col(v) <= rows).select("lang", h).distinct()
-    picked = [(r["lang"], r[h]) for r in low.collect()]
+    by: dict[str, list[int]] = {}
+    for r in low.collect():
+        by.setdefault(r["lang"], []).append(r[h])
+    most = max(1, min(rows, TOTAL // max(1, len(by))))
+    picked = [(lang, x) for lang, own in by.items() for x in sorted(own)[:most]]
     if not picked:
         return Model()
     wanted = docs.sparkSession.createDataFrame(picked, T.StructType([T.StructField("lang", T.StringType()), T.StructField(h, T.LongType())]))
@@ -188,11 +194,13 @@ def identify(docs: DataFrame, text: str = "text", label: str = "lang", rows: int
     each pair of languages has a machine, and most votes win (ties: the greater
     summed margin). A text is rejected, its language being "und", if it is null,
     has no letters, or has under ``known`` of its character trigrams among those
-    of its language's sample; so is every text if no row is labelled. Whole
-    texts are used. Names in use are underscored; repeated rows are each
-    answered alike.
+    of its language's sample; so is every text if no row is labelled, or there
+    is no column ``label``. Texts of any length are used whole. Names in use are
+    underscored; repeated rows are each answered alike. An empty table gives no
+    rows.
     """
-    model = fit(docs, text, label, rows) if model is None else model
+    if model is None:
+        model = fit(docs, text, label, rows) if label in docs.columns else Model()
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = fresh(docs, "predicted", "family", "margin", "known_share", "rejected")
     kinds = [T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]

@@ -15,7 +15,7 @@ from shelfspark.llm._text import U64, Tokens, fresh, map_pieces, mix, replace
 DOCUMENTS, LONG, LONG_DOCUMENTS = 5, 50, 2
 #: Lines of fewer words are left alone.
 WORDS = 3
-#: Leading words below the level of word counts.
+#: Leading words below the level of word counts; variable fields are passed over, so that lines that open with numbers part.
 LEADING = 3
 #: Share of a line's words that equal the template's, place by place.
 ALIKE = 0.7
@@ -42,9 +42,12 @@ class Lines:
             np.cumsum(mix(words + place.astype(np.uint64) * U64(0xD1B54A32D192ED03)), out=sums[1:])
             self.whole = mix(sums[self.cut[1:]] - sums[self.cut[:-1]] + self.n.astype(np.uint64))
             leaf = self.n.astype(np.uint64)
+            fixed = np.flatnonzero(words != _FIELD)
+            line = np.repeat(np.arange(len(self.n)), self.n)[fixed]
+            rank = np.arange(len(fixed)) - np.searchsorted(line, line)
             for k in range(LEADING):
-                has = self.n > k
-                leaf[has] = mix(leaf[has] * U64(0x9FB21C651E98DF25) + words[self.cut[:-1][has] + k])
+                at = np.flatnonzero(rank == k)
+                leaf[line[at]] = mix(leaf[line[at]] * U64(0x9FB21C651E98DF25) + words[fixed[at]])
             self.leaf = leaf
 
 
@@ -171,13 +174,15 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
     """``docs`` without lines whose template recurs in at least ``documents`` documents, or in ``long_documents`` if it has over ``long`` words.
 
     The tree has a level for the number of words and one for each of the first
-    ``LEADING`` words, words with digits counting as one variable field. In a
+    ``LEADING`` fixed words, words with digits being variable fields. In a
     leaf, lines of which a share ``alike`` of the words equals a template's
     belong to it. A recurring template stays in one document, the one whose
     key (a hash of the row) is lowest, and goes from all others; a document
     nothing is left of goes. Lines of fewer than ``words`` words stay.
 
-    Null and empty texts stay. A repeated row is a document more with the same
+    Null and empty texts stay; very long ones are lines like any, and of a text
+    that loses a line NULs become blanks. Ties of the lowest key can only be
+    between repeated rows. An empty table gives no rows. A repeated row is a document more with the same
     key, so copies of the keeper keep the template too. All columns stay,
     whatever their names; ``n_chars``, if there, follows the text. With
     ``flags`` no row goes, but ``dropped_lines`` and ``emptied`` are added.
@@ -194,7 +199,7 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
     lines = _scan(slim, key, text, words, True).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.min("words").alias("words"))
     sorted_ = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
     recurring = sorted_.mapInArrow(lambda it: _templates(it, documents, alike, long, long_documents), "line long, keeper long, template long, floor long")
-    hits = _scan(slim, key, text, words, False).join(recurring.hint("shuffle_hash"), "line").filter("template is not null or doc != keeper")
+    hits = _scan(slim, key, text, words, False).join(recurring, "line").filter("template is not null or doc != keeper")
     # by template where its documents are to be counted, by document elsewhere; a document's rows all have all of its lines
     apart = hits.withColumn("alone", F.expr("if(template is null, doc, null)")).repartition("template", "alone")
     own = apart.groupBy("template", "alone", "doc").agg(F.count(F.lit(1)).alias("n"), F.collect_set("line").alias("lines"), F.first("keeper").alias("keeper"), F.first("floor").alias("floor"))
@@ -206,7 +211,7 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
         .groupBy(F.col("doc").alias(key))
         .agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias(drop))
     )
-    joined = keyed.join(lists.hint("shuffle_hash"), key, "left").drop(key)
+    joined = keyed.join(lists, key, "left").drop(key)
     added = fresh(docs, "dropped_lines", "emptied")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(added, (T.LongType(), T.BooleanType())))][: len(docs.columns) + 2 * flags])
 

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a shard, groups of a bucket that is partitioned by itself, buckets that are combined at once.
-SHARD_BYTES, BUCKET, FAN_IN = 64 << 20, 20_000, 64
+#: Bytes of a shard, groups of a bucket that is partitioned by itself, buckets that are combined at once, parts that a step divides into.
+SHARD_BYTES, BUCKET, FAN_IN, PARTS = 64 << 20, 20_000, 64, 256
 
 
 class Partial:
@@ -73,7 +73,7 @@ def partition(sizes: list[int], k: int) -> tuple[list[int], np.ndarray]:
 def _local(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["bytes", "grp"], ascending=[False, True], kind="stable")
     of, _ = partition(pdf["bytes"].tolist(), k)
-    return pd.DataFrame({"bucket": pdf["bucket"], "grp": pdf["grp"], "bytes": pdf["bytes"], "part": of})
+    return pd.DataFrame({"whole": pdf["whole"], "bucket": pdf["bucket"], "grp": pdf["grp"], "bytes": pdf["bytes"], "part": of})
 
 
 def _combined(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -82,36 +82,62 @@ def _combined(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     for _, own in pdf.sort_values(["bucket", "bytes", "part"], ascending=[True, False, True], kind="stable").groupby("bucket", sort=True):
         partials.append(Partial(own["bytes"].to_numpy(np.int64), list(own.index)))
     of = {i: j for j, part in enumerate(difference(partials, k).parts) for i in leaves(part)}
-    return pdf.assign(into=[of[i] for i in pdf.index])[["up", "bucket", "part", "bytes", "into"]]
+    return pdf.assign(into=[of[i] for i in pdf.index])[["whole", "up", "bucket", "part", "bytes", "into"]]
 
 
-def assign_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: list[str] | None = None, shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET) -> DataFrame:
+def _divide(groups: DataFrame, k: int, buckets: int) -> DataFrame:
+    """groups (whole, grp, bytes) with ``part``, in which of ``k`` parts of its whole each is: differenced in ``buckets`` buckets, then the buckets' partial partitions."""
+    bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64("grp", "whole"), F.lit(buckets)))
+    local = bucketed.groupBy("whole", "bucket").applyInPandas(lambda pdf: _local(pdf, k), "whole long, bucket long, grp long, bytes long, part long")
+    parts = local.groupBy("whole", "bucket", "part").agg(F.sum("bytes").alias("bytes"))
+    placed = local
+    while buckets > 1:
+        buckets = math.ceil(buckets / FAN_IN)
+        up = parts.withColumn("up", F.floor(F.col("bucket") / FAN_IN)).groupBy("whole", "up").applyInPandas(lambda pdf: _combined(pdf, k), "whole long, up long, bucket long, part long, bytes long, into long")
+        placed = placed.join(up.select("whole", "bucket", "part", "up", "into"), ["whole", "bucket", "part"]).select("whole", "grp", "bytes", F.col("up").alias("bucket"), F.col("into").alias("part"))
+        parts = up.groupBy("whole", F.col("up").alias("bucket"), F.col("into").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    return placed.select("whole", "grp", "bytes", "part")
+
+
+def steps_of(k: int, most: int = PARTS) -> list[int]:
+    """Factors of at most ``most``, whose product is ``k`` or little more."""
+    n = 1
+    while most**n < k:
+        n += 1
+    factor = next(f for f in range(1, most + 1) if f**n >= k)
+    out, left = [], k
+    for _ in range(n):
+        out.append(min(factor, left))
+        left = math.ceil(left / out[-1])
+    return out
+
+
+def assign_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: list[str] | None = None, shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET, most: int = PARTS) -> DataFrame:
     """(doc_id, bytes, shard): shards of about ``shard_bytes`` bytes of UTF-8 text, no group being divided.
 
     A group is the documents that agree in the columns ``group``; by default
     those of equal text, so that copies share a shard. There are
-    ceil(total / shard_bytes) shards. Groups fall by hash into buckets of about
-    ``bucket``; a bucket is partitioned by differencing, and the buckets'
-    partial partitions are differenced in turn, ``FAN_IN`` at a time, which
-    evens out what imbalance they have. Shards are numbered by falling bytes
-    (of equal ones, the order is fixed by the groups' hashes).
-
-    Null and empty texts have 0 bytes and are assigned like others; null group
+    ceil(total / shard_bytes) shards (beyond ``most`` up to a few more): the
+    table is divided in steps of at most ``most`` parts, each part of a step
+    being divided in the next, so that no task combines more parts than that
+    and those of a step run side by side. In a step groups fall by hash into
+    buckets of about ``bucket``; a bucket is partitioned by differencing, and
+    the buckets' partial partitions are differenced in turn, ``FAN_IN`` at a
+    time, which evens out what imbalance they have. Parts of a step are
+    numbered by falling bytes (ties: the order is fixed by the groups' hashes).
+
+    Null and empty texts have 0 bytes and are assigned like others; very long
+    ones too, and one of over ``shard_bytes`` makes a larger shard; null group
     columns are equal to each other. Repeated rows are all assigned, and counted.
-    An empty table gives no rows. Other columns aren't read.
+    An empty table gives no rows. Other columns aren't read, whatever their names.
 
     Two scans; groups, not texts, are shuffled.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(*([F.col(c) for c in group] if group else [F.coalesce(F.col(text), F.lit(""))])).alias("grp"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
     groups = own.groupBy("grp").agg(F.sum("bytes").alias("bytes"))
     total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    k, buckets = max(1, math.ceil(total / shard_bytes)), max(1, math.ceil(n / bucket))
-    local = groups.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: _local(pdf, k), "bucket long, grp long, bytes long, part long")
-    parts = local.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
-    placed = local.select("grp", "bucket", "part")
-    while buckets > 1:
-        buckets = math.ceil(buckets / FAN_IN)
-        up = parts.withColumn("up", F.floor(F.col("bucket") / FAN_IN)).groupBy("up").applyInPandas(lambda pdf: _combined(pdf, k), "up long, bucket long, part long, bytes long, into long")
-        placed = placed.join(up.select("bucket", "part", "up", "into").hint("shuffle_hash"), ["bucket", "part"]).select("grp", F.col("up").alias("bucket"), F.col("into").alias("part"))
-        parts = up.groupBy(F.col("up").alias("bucket"), F.col("into").alias("part")).agg(F.sum("bytes").alias("bytes"))
-    return own.join(placed.hint("shuffle_hash"), "grp").select("doc_id", "bytes", F.col("part").alias("shard"))
+    wholes, placed = 1, groups.select(F.lit(0).cast("long").alias("whole"), "grp", "bytes")
+    for k in steps_of(max(1, math.ceil(total / shard_bytes)), most):
+        divided = _divide(placed, k, max(1, math.ceil(n / wholes / bucket)))
+        placed, wholes = divided.select((F.col("whole") * k + F.col("part")).alias("whole"), "grp", "bytes"), wholes * k
+    return own.join(placed.select("grp", F.col("whole").alias("shard")), "grp").select("doc_id", "bytes", "shard")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -38,12 +39,17 @@ _FOLD |= {ord(a): b for a, b in zip("αοειкρτυνχβγ", "aoeikptuvxby")}
 _FOLD |= {0xFF41 + k: chr(97 + k) for k in range(26)} | {0xFF10 + k: _FOLD.get(48 + k, str(k)) for k in range(10)}
 _FOLD |= dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _FOLD |= {ord("|"): "i", ord("l"): "i", 0xFF4C: "i", 0x131: "i", ord("ł"): "i"}
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f]+")
+#: Letters of scripts that set no blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 _INNER = re.compile(r"(?<=[^\W_])[@$!](?=[^\W_])")
 _INNER_TO = {"@": "a", "$": "s", "!": "i"}
 
 
 def fold(text: str) -> str:
-    """Lower case; look-alikes of other scripts, full-width letters, digits and signs inside words as the letters they stand for; l and 1 as i."""
+    """Lower case without accents; look-alikes of other scripts, full-width and mathematical letters, digits and signs inside words as the letters they stand for; l and 1 as i."""
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower().translate(_FOLD)
     if "@" in text or "$" in text or "!" in text:
         text = _INNER.sub(lambda m: _INNER_TO[m[0]], text)
@@ -88,9 +94,17 @@ def hits(a: ahocorasick.Automaton, folded: str) -> list[float]:
     return [w for f, e, w in out if not any(x <= f and e <= y for x, y in free)] if free else [w for _, _, w in out]
 
 
+def word_count(text: str) -> int:
+    """Words that blanks part; each letter of a script without blanks is one more, and twenty characters are a word at least, however they are joined."""
+    words = len(text.split())
+    if words and not text.isascii():
+        words += sum(1 for _ in _UNSPACED.finditer(text))
+    return max(words, len(text.strip()) // 20)
+
+
 def score(a: ahocorasick.Automaton, text: str) -> tuple[float, int, int]:
     """(weight of matches in a hundred words, matches, words)."""
-    words = len(text.split())
+    words = word_count(text)
     found = hits(a, fold(text))
     return (100 * sum(found) / words if words else 0.0), len(found), words
 
@@ -185,11 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all but the text if None) with ``words``, ``hits``, ``toxicity`` and ``toxic``.
 
-    ``toxicity`` is the matches' summed weight in a hundred words (words are
-    what blanks part); a text is toxic from the lexicon's threshold on. Null
-    texts have null in all four but ``toxic``, false; empty ones score 0. Whole
-    texts are matched. Rows are independent, repeated ones score alike. Names
-    in use are underscored. One pass, nothing is shuffled; the lexicon, bounded
+    ``toxicity`` is the matches' summed weight in a hundred words, as
+    ``word_count`` counts them; a text is toxic from the lexicon's threshold on
+    (ties: toxic). Null texts have null in all four but ``toxic``, false; empty
+    ones score 0. Texts of any length are matched whole. Rows are independent,
+    repeated ones score alike. An empty table gives no rows. Names in use are
+    underscored. One pass, nothing is shuffled; the lexicon, bounded
     by the sample it is learned from, is broadcast.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep

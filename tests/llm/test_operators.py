@@ -201,7 +201,11 @@ def test_differencing():
 def test_shards(spark):
     rng = random.Random(6)
     more = [(100 + i, "t%d " % (i % 150) * (1 + (i % 150) * 7 % 90)) for i in range(400)]
-    df = awkward(spark, more).filter("doc_id is null or doc_id > 4 or doc_id < 3")
+    awkward_rows = awkward(spark, more)
+    everything = shard.assign_shards(awkward_rows, shard_bytes=4000, bucket=20).collect()
+    assert Counter(r.doc_id for r in everything) == Counter(r.doc_id for r in awkward_rows.collect())
+    assert len({r.shard for r in everything if r.doc_id == 5}) == 1 and next(r.bytes for r in everything if r.doc_id == 4) == 2_500_000
+    df = awkward_rows.filter("doc_id is null or doc_id > 4 or doc_id < 3")
     out = shard.assign_shards(df, shard_bytes=4000, bucket=20).collect()
     assert len(out) == df.count()
     text = {i: t for i, t in more}
@@ -214,16 +218,27 @@ def test_shards(spark):
         sums[r.shard] += r.bytes
     biggest = max(Counter({t: sum(len(x) for _, x in more if x == t) for t in text.values()}).values())
     assert max(sums.values()) - min(sums.values()) <= max(biggest, 50)
+    steps = Counter()
+    for r in shard.assign_shards(df, shard_bytes=4000, bucket=20, most=5).collect():
+        steps[r.shard] += r.bytes
+    assert len(sums) <= len(steps) <= len(sums) + 5 and sum(steps.values()) == sum(sums.values())
+    assert max(steps.values()) - min(steps.values()) <= 2 * max(biggest, 50)
     assert shard.assign_shards(df.limit(0)).count() == 0
 
 
+def test_steps_of_shards():
+    for k in (1, 2, 14, 255, 256, 257, 1000, 65_536, 65_537, 1_600_000):
+        steps = shard.steps_of(k)
+        assert max(steps) <= shard.PARTS and k <= np.prod(steps) <= k + 2 * np.prod(steps[:-1])
+
+
 # operator 5
 
 
 def test_toxicity_finds_folded_words(spark):
     lex = toxicity.Lexicon({"moron": 1.0, "vequ*": 1.0, "trash": 1.0})
     a = lex.automaton()
-    for t in ("you MORON", "m0r0n!", "mоrоn", "vequance", "$trash ｔｒａｓｈ", "mo​ron"):
+    for t in ("you MORON", "m0r0n!", "mоrоn", "vequance", "$trash ｔｒａｓｈ", "mo​ron", "môròn", "𝐦𝐨𝐫𝐨𝐧", "ⓜoron"):
         assert toxicity.hits(a, toxicity.fold(t)), t
     for t in ("oxymoron", "moronic", "a trash can", "advequ", "", "M O R O N"):
         assert not toxicity.hits(a, toxicity.fold(t)), t
@@ -231,6 +246,26 @@ def test_toxicity_finds_folded_words(spark):
     by = {r.doc_id: r for r in rows}
     assert by[9].toxic and not by[10].toxic and by[10].hits == 1 and by[9].words_ == 3
     assert not by[None].toxic and toxicity.toxicity(awkward(spark).limit(0), lex).count() == 0
+    assert toxicity.word_count("two words") == 2 and toxicity.word_count("これは長い文章です") > 5 and toxicity.word_count("x" * 2000) == 100 and toxicity.word_count("  ") == 0
+
+
+def test_toxicity_equals_a_slow_search():
+    rng = random.Random(20)
+    lex = toxicity.Lexicon({"moron": 1.0, "vequ*": 0.5, "vequa": 2.0, "trash": 1.0, "ana": 0.25})
+    a = lex.automaton()
+    for _ in range(400):
+        text = "".join(rng.choice(["moron", "vequ", "vequa", "trash", " can", "trash can", "ana", " ", "-", "s", "x", ". "]) for _ in range(rng.randrange(1, 12)))
+        f = toxicity.fold(text)
+
+        def found(own, stem):
+            ends = lambda i: stem or not f[i + len(own) : i + len(own) + 1].isalnum()
+            return [(i, i + len(own)) for i in range(len(f)) if f.startswith(own, i) and (not i or not f[i - 1].isalnum()) and ends(i)]
+
+        free = [x for p in lex.exceptions for x in found(toxicity.fold(p), False)]
+        want = []
+        for w, weight in lex.weights.items():
+            want += [weight for i, j in found(toxicity.fold(w.rstrip("*")), w.endswith("*")) if not any(x <= i and j <= y for x, y in free)]
+        assert sorted(toxicity.hits(a, f)) == sorted(want), text
 
 
 def test_toxicity_learns_words_and_stems():
@@ -325,14 +360,25 @@ def test_decontamination_equals_brute_force(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - sum(r.dropped for r in out.values())
     assert decontam.decontaminate(df, bench.limit(0)).exceptAll(df).count() == 0
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
-    with pytest.raises(ValueError, match="over 3"):
-        decontam.automaton_of(bench, most_words=3)
+    parts = decontam.automata_of(bench, most_words=3)  # an automaton an item
+    whole = decontam.automata_of(bench)
+    t = Tokens(texts)
+    args = (decontam.LENGTH, decontam.COVERAGE, decontam.FLOOR)
+    assert len(parts) == 4 and len(whole) == 1 and decontam.spans(parts, t, *args) == decontam.spans(whole, t, *args)
+
+
+def test_items_of_one_word(spark):
+    items, texts = ["alpha", "beta gamma"], ["x alpha y beta gamma", "beta", "gamma beta alpha", "", "z"]
+    found = decontam.spans([SuffixAutomaton([Tokens([i]).h for i in items])], Tokens(texts), 8, 0.8, 1)
+    assert found == {0: [[1, 2], [3, 5]], 2: [[2, 3]]}
+    with pytest.raises(ValueError, match="a word at least"):
+        [*SuffixAutomaton([Tokens(["a"]).h]).walks(Tokens(["a"]).h, np.array([0, 1]), 0)]
 
 
 def test_short_items_inside_longer_matches_are_found():
     def same(items, texts):
         t = Tokens(texts)
-        found = decontam.spans(SuffixAutomaton([h for i in items if len(h := Tokens([i]).h)]), t, decontam.LENGTH, decontam.COVERAGE, decontam.FLOOR)
+        found = decontam.spans([SuffixAutomaton([h for i in items if len(h := Tokens([i]).h)])], t, decontam.LENGTH, decontam.COVERAGE, decontam.FLOOR)
         for k, text in enumerate(texts):
             hit = brute_spans(text, items, decontam.LENGTH, decontam.COVERAGE, decontam.FLOOR)
             assert [any(a <= w < b for a, b in found.get(k, ())) for w in range(len(hit))] == hit
@@ -394,6 +440,11 @@ def test_line_dedup(spark):
     assert all(r.n_chars == len(r.text) for r in out.collect() if r.doc_id and r.doc_id >= 100)
 
 
+def test_lines_that_open_with_numbers_part_by_their_words():
+    x = linededup.Lines(["1 22 333 alpha beta gamma delta\n7 8 9 alpha beta gamma omega\n1 2 3 rho beta gamma delta\n1 2 3 4", None, "5 6"])
+    assert x.leaf[0] == x.leaf[1] != x.leaf[2] and len({*x.leaf[2:].tolist()}) == len(x.leaf[2:])
+
+
 def test_long_lines_go_from_two_documents_on(spark):
     rng = random.Random(11)
     long, least, two = english(rng, 80), english(rng, linededup.LONG + 1), english(rng, linededup.LONG)
