@@ -23,18 +23,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines, as ``linededup.drop_lines``; those of which nothing is left go. Null and empty texts stay."""
     return linededup.drop_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, as ``ngramjoin.drop_near_copies``. Texts without words stay, repeated rows once."""
     return ngramjoin.drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark, as ``decontam.decontaminate``; those that consist of them go. Null and empty texts stay."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, round_trip) of each document, as ``bpe.encode``. Null texts have null ids, empty ones none."""
     return bpe.encode(docs, keep=["doc_id"])
 
 
@@ -44,15 +48,25 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result but the last is written to the cluster's shared folder and read again."""
+    """The stages applied to documents; each result is written to the cluster's shared folder and read again.
+
+    What the stage before left is deleted once the next is written, and all of
+    it if a stage fails; the last table stays, as the result is read from it.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def delete(at: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:  # what the stage before left isn't needed any more
-            gone = path(f"{folder}/{k - 1}")
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                delete(f"{folder}/{k - 1}")
+    except BaseException:
+        delete(folder)
+        raise
     return docs
