@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark import rules
-from shelfspark.functions.text import alnum_key
+from shelfspark.functions.text import alnum_key, let
 
 
 def _first(key: Column, table: list[tuple[str, list[str]]], otherwise: Column | None = None) -> Column:
@@ -19,61 +19,83 @@ def _first(key: Column, table: list[tuple[str, list[str]]], otherwise: Column |
     return out.otherwise(otherwise if otherwise is not None else F.lit(None).cast("string"))
 
 
-def _override(name: Column, base: Column) -> Column:
-    key, at = alnum_key(F.coalesce(name, F.lit(""))), F.coalesce(base, F.lit(""))
+def _override(key: Column, base: Column, table) -> Column:
+    at = F.coalesce(base, F.lit(""))
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for label, words, may in rules.CATEGORY_OVERRIDES:
+    for label, words, may in table:
         out = out.when(at.isin(may) & (at != label) & key.rlike("|".join(words)), label)
     return out
 
 
-def category_base(raw: Column) -> Column:
-    key = alnum_key(raw)
-    return F.when(F.length(key) > 0, _first(key, rules.CATEGORY, F.lit("Other")))
+# Keys are bound once (``let``): a rule names its key many times, and rules build on each other.
 
 
-def category_std(raw: Column, name: Column) -> Column:
+def category_base(raw: Column, table=None) -> Column:
+    return let(alnum_key(raw), lambda key: F.when(F.length(key) > 0, _first(key, rules.CATEGORY if table is None else table, F.lit("Other"))))
+
+
+def _overriding(raw: Column, name: Column, table, overrides, f) -> Column:
+    overrides = rules.CATEGORY_OVERRIDES if overrides is None else overrides
+    both = F.struct(category_base(raw, table).alias("base"), alnum_key(F.coalesce(name, F.lit(""))).alias("key"))
+    return let(both, lambda s: f(_override(s["key"], s["base"], overrides), s["base"]))
+
+
+def category_std(raw: Column, name: Column, table=None, overrides=None) -> Column:
     """The category of a platform's own one, corrected by forms that the name tells; null if both tell nothing."""
-    base = category_base(raw)
-    return F.coalesce(_override(name, base), base)
+    return _overriding(raw, name, table, overrides, lambda told, base: F.coalesce(told, base))
 
 
-def category_overridden(raw: Column, name: Column) -> Column:
-    return _override(name, category_base(raw)).isNotNull()
+def category_overridden(raw: Column, name: Column, table=None, overrides=None) -> Column:
+    return _overriding(raw, name, table, overrides, lambda told, base: told.isNotNull())
 
 
-def _type_key(name: Column, raw: Column) -> Column:
-    return alnum_key(F.concat_ws(" ", name, raw))
+def _typed(name: Column, raw: Column, category: Column, f) -> Column:
+    return let(F.struct(alnum_key(F.concat_ws(" ", name, raw)).alias("key"), category.alias("category")), lambda s: f(s["key"], s["category"]))
 
 
-def product_type(name: Column, raw: Column, category: Column) -> Column:
+def product_type(name: Column, raw: Column, category: Column, table=None, defaults=None) -> Column:
     """The kind within a category, its default, "Unspecified", or null for a category without kinds."""
-    key = _type_key(name, raw)
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for c, table in rules.PRODUCT_TYPE.items():
-        out = out.when(category == c, _first(key, table, F.lit(rules.PRODUCT_TYPE_DEFAULT.get(c, rules.UNSPECIFIED))))
-    return out
+    table, defaults = rules.PRODUCT_TYPE if table is None else table, rules.PRODUCT_TYPE_DEFAULT if defaults is None else defaults
+
+    def kind(key: Column, category: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for c, own in table.items():
+            out = out.when(category == c, _first(key, own, F.lit(defaults.get(c, rules.UNSPECIFIED))))
+        return out
+
+    return _typed(name, raw, category, kind)
 
 
 def product_type_defaulted(name: Column, raw: Column, category: Column) -> Column:
     """Whether the kind is a category's default because no keyword told one."""
-    key = _type_key(name, raw)
-    told = [(category == c) & ~key.rlike("|".join(w for _, words in rules.PRODUCT_TYPE[c] for w in words)) for c in rules.PRODUCT_TYPE_DEFAULT]
-    return F.coalesce(reduce(lambda a, b: a | b, told), F.lit(False))
+
+    def told(key: Column, category: Column) -> Column:
+        each = [(category == c) & ~key.rlike("|".join(w for _, words in rules.PRODUCT_TYPE[c] for w in words)) for c in rules.PRODUCT_TYPE_DEFAULT]
+        return F.coalesce(reduce(lambda a, b: a | b, each), F.lit(False))
+
+    return _typed(name, raw, category, told)
 
 
-def strain_type(raw: Column) -> Column:
-    return _first(alnum_key(raw), rules.STRAIN)
+def strain_type(raw: Column, table=None) -> Column:
+    return let(alnum_key(raw), lambda key: _first(key, rules.STRAIN if table is None else table))
 
 
-def obtention(name: Column, raw: Column) -> Column:
+def obtention(name: Column, raw: Column, table=None) -> Column:
     """How a product was obtained: keywords within the joined letters, or whole words of the text."""
+
+    def told(s: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for label, inside, words in rules.OBTENTION if table is None else table:
+            fine = F.lit(False)
+            if inside:
+                fine = fine | s["key"].rlike("|".join(inside))
+            if words:
+                fine = fine | s["text"].rlike(rf"(?iU)\b({'|'.join(words)})\b")
+            out = out.when(fine, label)
+        return out
+
     text = F.concat_ws(" ", name, raw)
-    key = alnum_key(text)
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for label, inside, words in rules.OBTENTION:
-        out = out.when(key.rlike("|".join(inside)) | text.rlike(rf"(?iU)\b({'|'.join(words)})\b"), label)
-    return out
+    return let(F.struct(text.alias("text"), alnum_key(text).alias("key")), told)
 
 
 def terpene_name(raw: Column) -> Column:
@@ -89,7 +111,10 @@ def _plausible(g: Column) -> Column:
 
 def size_to_grams(raw: Column) -> Column:
     """Grams of a size label: a word, a fraction of an ounce, or a number with a unit, times the pieces of a pack."""
-    text = F.lower(F.trim(raw))
+    return let(F.lower(F.trim(raw)), _grams_of)
+
+
+def _grams_of(text: Column) -> Column:
     word = F.trim(F.regexp_replace(text, r"[\s_]+", " "))
     grams = F.create_map(*[F.lit(x) for kv in rules.SIZE_WORDS.items() for x in kv])
     unit = F.create_map(*[F.lit(x) for kv in rules.GRAMS.items() for x in kv])
@@ -195,3 +220,16 @@ def dominant_terpene(std: Column) -> Column:
     """The name of the greatest value; of equal ones the first."""
     top = F.array_max(F.transform(std, lambda x: x["value"]))
     return F.filter(std, lambda x: x["value"] == top)[0]["name"]
+
+
+def by_value(std: Column) -> Column:
+    """A profile's (name, value) from the greatest value down; of equal ones by name."""
+    down = F.array_sort(F.transform(std, lambda x: F.struct((-x["value"]).alias("minus"), x["name"].alias("name"))))
+    return F.transform(down, lambda x: F.struct(x["name"].alias("name"), (-x["minus"]).alias("value")))
+
+
+def enrich_record(df, variants: str = "variants", terpenes: str = "terpenes", fields: list[str] | None = None):
+    """Listings (category_std, thc, cbd, variants, terpenes) with their sizes, prices a gram, terpene profile and potency flag, as one step."""
+    out = df.withColumn(variants, enrich_variants(F.col(variants), F.col("category_std"), fields or [f for f in PRICE_FIELDS if f in df.schema[variants].dataType.elementType.names]))
+    out = fold_column(out.withColumn("size_g", smallest_size(F.col(variants))), terpenes, "terpenes")
+    return out.withColumnRenamed("terpenes_total", "terp_total").withColumn("potency_implausible", potency_implausible(F.col("category_std"), F.col("thc"), F.col("cbd")))

@@ -54,17 +54,14 @@ def let(c: Column, f) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
-def strip_legal_entity(c: Column, rounds: int = 4) -> Column:
-    """Without endings of incorporation, as long as a brand is left; ``rounds`` endings at most."""
+def strip_legal_entity(c: Column) -> Column:
+    """Without endings of incorporation, as long as a brand is left; an ending is a word at least, so as many steps as words come to the end."""
 
-    def step(now: Column) -> Column:
+    def step(now: Column, _word: Column) -> Column:
         shorter = F.regexp_replace(F.regexp_replace(now, _LEGAL, ""), r"^[ ,.]+|[ ,.]+$", "")
         return let(shorter, lambda s: F.when(keeps_brand(s) & ~is_bare_generic(s), s).otherwise(now))
 
-    now = F.trim(c)
-    for _ in range(rounds):
-        now = let(now, step)
-    return now
+    return let(F.trim(c), lambda n: F.aggregate(F.split(n, r"[,\s]+"), n, step))
 
 
 def _last_word(c: Column) -> Column:
@@ -177,6 +174,48 @@ def parent_of_banner(name: Column, parents: Mapping[str, str], generic: list[str
     return F.when(key.isin(generic) | (key == ""), None).otherwise(F.coalesce(lookup(key, parents), name))
 
 
+def operator_key(name: Column, parents: Mapping[str, str], generic: list[str], fold_spelling: bool = False) -> Column:
+    """By what an operator is counted: its parent, or its own name (its key, if spellings are to be folded); null if the name names nobody."""
+    parent = parent_of_banner(name, parents, generic)
+    return parent if not fold_spelling else F.when(lookup(alnum_key(name), parents).isNotNull(), parent).otherwise(alnum_key(parent))
+
+
+def reason_not_an_identity(name: Column, reasons: Mapping[str, str]) -> Column:
+    """Why a name can't stand for one company; null if it can."""
+    return lookup(alnum_key(name), reasons)
+
+
+def is_corporate_identity(name: Column, reasons: Mapping[str, str]) -> Column:
+    return F.coalesce(F.length(name) > 0, F.lit(False)) & reason_not_an_identity(name, reasons).isNull()
+
+
+def address_or_null(c: Column) -> Column:
+    """Null for a date in an address's place."""
+    return F.when(~c.rlike(r"^\s*[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\s*$"), c)
+
+
+def cell_text(c: Column) -> Column:
+    """A spreadsheet's cell as text: numbers (as Java prints them) without their fraction."""
+    number = F.trim(c).rlike(r"^-?[0-9]+(\.[0-9]*)?([eE]\+?[0-9]+)?$")
+    return F.when(number, F.trim(c).try_cast("double").cast("bigint").cast("string")).otherwise(clean(c))
+
+
+def only_terms(only: str) -> list[str] | None:
+    """The terms of a list with commas, lower-case; None if there are none."""
+    return sorted({t.strip().lower() for t in only.split(",") if t.strip()}) or None
+
+
+def in_scope(c: Column, only: str) -> Column:
+    """Whether a text holds one of the terms; everything does if there are none."""
+    terms = only_terms(only)
+    return F.lit(True) if terms is None else F.coalesce(_any([F.contains(F.lower(c), F.lit(t)) for t in terms]), F.lit(False))
+
+
+def day_of(iso: Column) -> Column:
+    """The date that an ISO text begins with."""
+    return F.try_to_date(F.substr(iso, F.lit(1), F.lit(10)), "yyyy-MM-dd")
+
+
 def parent_of_brand(brand: Column, aliases: list[tuple[str, str]]) -> Column:
     """Parent of the first alias, in the list's order, that stands in the brand as whole words."""
     found = [F.when(F.lower(brand).rlike(rf"(?<![a-z0-9]){alias}(?![a-z0-9])"), F.lit(parent)) for alias, parent in aliases]

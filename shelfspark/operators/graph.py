@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +23,40 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return shared
 
 
-def components(edges: DataFrame) -> DataFrame:
+def once(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the cluster's shared folder, its lineage cut off."""
+    checkpoint_folder(df.sparkSession)
+    df = df.persist(StorageLevel.DISK_ONLY)  # for the second of the two jobs of a checkpoint
+    try:
+        return df.checkpoint()
+    finally:
+        df.unpersist()
+
+
+def components(edges: DataFrame, turns: int = 2) -> DataFrame:
     """(node, root) of each node of ``edges`` (a, b), in a component with the least node root.
 
-    Large-star and small-star turns until the edges stay as they are. An edge
-    from a node to itself makes it a component of its own; nulls are left out.
+    Large-star and small-star turns, ``turns`` between two checkpoints, until
+    the edges stay as they are. An edge from a node to itself makes it a
+    component of its own; nulls are left out.
     """
-    checkpoint_folder(edges.sparkSession)
-    fine = edges.filter("a is not null and b is not null").select("a", "b").checkpoint()
-    e = fine.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    fine = once(edges.filter("a is not null and b is not null").select("a", "b"))
     w, before = Window.partitionBy("u"), None
+
+    def turn(e: DataFrame) -> DataFrame:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least("u", F.min("v").over(w))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.withColumn("m", F.min("v").over(w))
+        return small.select("u", F.col("m").alias("v")).union(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+
+    e = fine.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     while True:
-        e = e.checkpoint()
+        for _ in range(turns):
+            e = turn(e)
+        e = once(e)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
         before = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(w))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(w))
-        e = small.select("u", F.col("m").alias("v")).union(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
     nodes = fine.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark import rules
 from shelfspark.functions import places as G
 from shelfspark.functions import text as X
-from shelfspark.operators.graph import components
+from shelfspark.operators.graph import components, once
 
 MERGE_M, CELL = 100.0, 0.002
 
@@ -58,16 +58,16 @@ def pick_canonical(members: DataFrame) -> DataFrame:
 
 def dedupe(stores: DataFrame) -> DataFrame:
     """Each store row with ``grp`` (least id of its physical store; null without any key), ``operator`` (company that stands for its cluster),
-    ``kept`` (row that stands for the store; itself without keys), ``latitude`` and ``longitude`` filled in from the first located sibling, and ``storefront``.
+    ``kept`` (row that stands for the store; itself without keys), ``latitude`` and ``longitude`` (and a blank ``address`` or ``zip_code``) filled in from the first located sibling, and ``storefront``.
 
     Ties that the rules leave open go to the lower id.
     """
-    keys = store_keys(stores)
+    keys = once(store_keys(stores))
     first = keys.withColumn("a", F.min("id").over(Window.partitionBy("state", "key"))).select("a", F.col("id").alias("b"))
     keyed = keys.select("id").distinct()
     near = near_pairs(stores.join(keyed, "id", "left_semi"))
     groups = components(first.union(near)).select(F.col("node").alias("id"), F.col("root").alias("grp"))
-    rows = stores.join(groups, "id", "left")
+    rows = once(stores.join(groups, "id", "left"))
     links = rows.filter("grp is not null").withColumn("a", F.min("company_id").over(Window.partitionBy("grp"))).select("a", F.col("company_id").alias("b"))
     clusters = components(links.union(stores.select(F.col("company_id").alias("a"), F.col("company_id").alias("b")))).select(F.col("node").alias("company_id"), F.col("root").alias("cluster"))
     per = stores.groupBy("company_id").agg(F.max_by("canonical_name", "id").alias("company_name"), F.sort_array(F.collect_list(F.coalesce("name", F.lit("")))).alias("store_names"))
@@ -78,14 +78,16 @@ def dedupe(stores: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.coalesce("grp", -1 - F.col("id")))  # rows without keys stay apart instead of meeting in one task
     rank = menu_rank(F.col("platform"), F.col("external_id"))
     survivor = F.min_by("id", F.struct(rank.alias("r"), F.when(F.col("company_id") == F.col("operator"), 0).otherwise(1).alias("o"), F.col("id").alias("i"))).over(w)
-    located = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct("id", "latitude", "longitude"))
+    located = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct("id", "latitude", "longitude", "address", "zip_code"))
     smaller = F.when((F.col("company_id") != F.col("operator")) & (F.col("n_stores") < F.col("operator_stores")), F.struct(F.col("n_stores").alias("n"), F.col("company_id").alias("c"), F.col("company_name").alias("name")))
     out = rows.withColumns({"k": survivor, "donor": F.min(located).over(w), "alias": F.min(smaller).over(w)})
     alone = F.col("grp").isNull()
     kept = F.when(alone, F.col("id")).otherwise(F.col("k"))
     fill = lambda c: F.when(~alone & (F.col("id") == F.col("k")) & (F.col("latitude").isNull() | F.col("longitude").isNull()), F.coalesce(F.col("donor")[c], F.col(c))).otherwise(F.col(c))
+    blank = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) == 0
+    fill_blank = lambda c: F.when(~alone & (F.col("id") == F.col("k")) & (F.col("latitude").isNull() | F.col("longitude").isNull()) & blank(c), F.coalesce(F.col("donor")[c], F.col(c))).otherwise(F.col(c))
     front = F.when(~alone & (F.col("id") == F.col("k")), F.coalesce(F.col("alias")["name"], F.col("operator_name")))
-    final = out.select("id", "state", "company_id", "grp", "operator", kept.alias("kept"), fill("latitude").alias("latitude"), fill("longitude").alias("longitude"), front.alias("storefront"), F.col("city").alias("_city"))
+    final = out.select("id", "state", "company_id", "grp", "operator", kept.alias("kept"), fill("latitude").alias("latitude"), fill("longitude").alias("longitude"), fill_blank("address").alias("address"), fill_blank("zip_code").alias("zip_code"), front.alias("storefront"), F.col("city").alias("_city"))
     pins = pinned_aliases(final.filter((F.col("id") == F.col("kept")) & F.col("grp").isNotNull()).select("id", F.col("_city").alias("city"), "operator"), companies.join(operators, "operator"))
     named = final.join(pins, "id", "left").withColumn("storefront", F.coalesce("pin", "storefront"))
     return named.drop("pin", "_city")
