@@ -122,23 +122,32 @@ def segment_lengths(pts: Column) -> Column:
 
 def point_along(pts: Column, share: Column, inset: float = 50.0, offset: float = 18.0, side: Column | None = None) -> Column:
     """The point at a share of a polyline's length, kept ``inset`` (a quarter of the length at most) from the ends and ``offset`` to a side."""
-    lengths = segment_lengths(pts)
-    total = F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x)
-    edge = F.least(F.lit(inset), total / 4)
-    goal = edge + F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (total - 2 * edge)
-    begin = F.struct(F.lit(0.0).alias("done"), F.lit(-1).alias("i"), F.lit(0).alias("k"))
-    walk = F.aggregate(
-        lengths,
-        begin,
-        lambda s, x: F.when((s["i"] < 0) & ((s["done"] + x >= goal) | (s["k"] == F.size(lengths) - 1)), F.struct(s["done"].alias("done"), s["k"].alias("i"), (s["k"] + 1).alias("k")))
-        .when(s["i"] < 0, F.struct((s["done"] + x).alias("done"), s["i"].alias("i"), (s["k"] + 1).alias("k")))
-        .otherwise(s),
-    )
-    a, b, n = F.get(pts, walk["i"]), F.get(pts, walk["i"] + 1), F.get(lengths, walk["i"])
-    part = F.when(n > 0, (goal - walk["done"]) / n).otherwise(0.0)
     sign = F.when(side == "l", 1.0).when(side == "r", -1.0).otherwise(0.0) if side is not None else F.lit(0.0)
-    dx, dy = F.when(n > 0, (b["x"] - a["x"]) / n).otherwise(0.0), F.when(n > 0, (b["y"] - a["y"]) / n).otherwise(0.0)
-    return F.struct((a["x"] + part * (b["x"] - a["x"]) - sign * offset * dy).alias("x"), (a["y"] + part * (b["y"] - a["y"]) + sign * offset * dx).alias("y"))
+
+    def measured(s: Column) -> Column:
+        edge = F.least(F.lit(inset), s["total"] / 4)
+        goal = edge + F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (s["total"] - 2 * edge)
+        return let(F.struct(s["lengths"].alias("lengths"), goal.alias("goal")), walked)
+
+    def walked(s: Column) -> Column:
+        lengths, goal = s["lengths"], s["goal"]
+        begin = F.struct(F.lit(0.0).alias("done"), F.lit(-1).alias("i"), F.lit(0).alias("k"))
+        walk = F.aggregate(
+            lengths,
+            begin,
+            lambda s, x: F.when((s["i"] < 0) & ((s["done"] + x >= goal) | (s["k"] == F.size(lengths) - 1)), F.struct(s["done"].alias("done"), s["k"].alias("i"), (s["k"] + 1).alias("k")))
+            .when(s["i"] < 0, F.struct((s["done"] + x).alias("done"), s["i"].alias("i"), (s["k"] + 1).alias("k")))
+            .otherwise(s),
+        )
+        return let(walk, lambda w: placed(F.get(pts, w["i"]), F.get(pts, w["i"] + 1), F.get(lengths, w["i"]), goal - w["done"]))
+
+    def placed(a: Column, b: Column, n: Column, rest: Column) -> Column:
+        part = F.when(n > 0, rest / n).otherwise(0.0)
+        dx, dy = F.when(n > 0, (b["x"] - a["x"]) / n).otherwise(0.0), F.when(n > 0, (b["y"] - a["y"]) / n).otherwise(0.0)
+        return F.struct((a["x"] + part * (b["x"] - a["x"]) - sign * offset * dy).alias("x"), (a["y"] + part * (b["y"] - a["y"]) + sign * offset * dx).alias("y"))
+
+    # lengths are bound once: an expression that a lambda names would be evaluated at every step
+    return let(segment_lengths(pts), lambda lengths: measured(F.struct(lengths.alias("lengths"), F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x).alias("total"))))
 
 
 #: Lambert conformal conic (standard parallels 49 and 77, origin 63.390675, -91.866667) on GRS 80.

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfspark.functions.text import brand_key, day_of, fingerprint
 
 CHANGED_HOURS, RETAIN, MENU_RETAIN, HANDLE_RETAIN = 48.0, 0.5, 0.5, 0.8
 
@@ -19,32 +24,91 @@ def identities(log: DataFrame, keys: list[str], at: str = "scraped_at") -> DataF
     return log.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
 
 
-def changed(fields: list[str], previous: str = "previous") -> Column:
-    """Whether a field differs from the previous row's; nulls are equal, and so are null and an empty list."""
+def settled(df: DataFrame, field: str, prefix: str = "") -> Column:
+    """A field in a form that compares: maps as sorted entries; empty maps and lists as null."""
+    kind, c = df.schema[field].dataType, F.col(f"{prefix}{field}")
+    if isinstance(kind, T.MapType):
+        return F.when(F.size(c) > 0, F.array_sort(F.map_entries(c)))
+    return F.when(F.size(c) > 0, c) if isinstance(kind, T.ArrayType) else c
+
+
+def changed(df: DataFrame, fields: list[str], previous: str = "previous") -> Column:
+    """Whether a field of ``df`` differs from the previous row's (settled) one; nulls are equal, and so are null and an empty list or map."""
     out = F.lit(False)
     for f in fields:
-        out = out | ~F.col(f).eqNullSafe(F.col(f"{previous}.{f}"))
+        out = out | ~settled(df, f).eqNullSafe(F.col(f"{previous}.{f}"))
     return out
 
 
 def to_append(log: DataFrame, keys: list[str], fields: list[str], at: str = "scraped_at", tie: str = "id") -> DataFrame:
     """Rows to write, with the ``reason``: the first of a key, the first of a UTC day, a change. The session's time zone must be UTC."""
     w = Window.partitionBy(*keys).orderBy(at, tie)
-    rows = log.withColumn("previous", F.lag(F.struct(at, *fields)).over(w))
+    rows = log.withColumn("previous", F.lag(F.struct(at, *[settled(log, f).alias(f) for f in fields])).over(w))
     day = F.to_date(F.col(f"previous.{at}")) != F.to_date(at)
-    reason = F.when(F.col("previous").isNull(), "first").when(day, "new_day").when(changed(fields), "changed")
+    reason = F.when(F.col("previous").isNull(), "first").when(day, "new_day").when(changed(log, fields), "changed")
     return rows.withColumn("reason", reason).filter("reason is not null").drop("previous")
 
 
 def append_batch(stored: DataFrame, batch: DataFrame, keys: list[str], fields: list[str], at: str = "scraped_at", tie: str = "id") -> DataFrame:
     """Rows of a batch (its last of each key) that change the stored log."""
     now = latest(batch, keys, at, tie)
-    known = latest(stored, keys, at, tie).select(*keys, F.struct(at, *fields).alias("previous"))
+    return _news(stored, now, keys, fields, at, tie)
+
+
+def _news(stored: DataFrame, now: DataFrame, keys: list[str], fields: list[str], at: str, tie: str) -> DataFrame:
+    known = latest(stored, keys, at, tie).select(*keys, F.struct(at, *[settled(stored, f).alias(f) for f in fields]).alias("previous"))
     rows = now.join(known, keys, "left")
-    new = F.col("previous").isNull() | (F.to_date(F.col(f"previous.{at}")) != F.to_date(at)) | changed(fields)
+    new = F.col("previous").isNull() | (F.to_date(F.col(f"previous.{at}")) != F.to_date(at)) | changed(now, fields)
     return rows.filter(new).drop("previous")
 
 
+#: Categories whose goods are observed over time, and what of an observation can change.
+OBSERVED = ("Flower", "Pre-Roll", "Vape", "Concentrate", "Edible", "Beverage", "Tincture", "Topical", "Capsule")
+OBSERVED_FIELDS = ["price", "thc", "cbd", "thc_mg", "cbd_mg", "terp_total", "terpenes_std", "cannabinoids_std"]
+
+
+def observed(records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Records (store_key, brand, name, category_std, product_type_std, size_g, ...) of observed categories with their ``fingerprint``: of a product that a store lists twice the last, by ``ordinal``; none without a name."""
+    key = fingerprint(*(F.col(c) for c in ("brand", "name", "size_g", "product_type_std", "thc_mg", "cbd_mg")))
+    own = records.filter(F.col("category_std").isin(*OBSERVED)).withColumn("fingerprint", key).filter("fingerprint is not null")
+    rest = [c for c in own.columns if c not in ("store_key", "fingerprint")]
+    return own.groupBy("store_key", "fingerprint").agg(F.max_by(F.struct(*rest), ordinal).alias("r")).select("store_key", "fingerprint", "r.*")
+
+
+def observed_products(products: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
+    """Identities of ``products`` (fingerprint, brand, ..., first_seen, last_seen) with those of ``records``: what is known stays as it was, but for ``last_seen``."""
+    now = F.lit(as_of).cast("timestamp")
+    own = ["category_std", "product_type_std", "obtention_std", "strain_type_std", "size_g"]
+    seen = records.groupBy("fingerprint").agg(F.max_by(F.struct(brand_key(F.coalesce("brand", F.lit(""))).alias("brand"), "name", *own), F.struct("store_key", "ordinal")).alias("r"))
+    new = seen.select("fingerprint", "r.*", now.alias("first_seen"), now.alias("last_seen"))
+    return upsert(products, new, ["fingerprint"], {**dict.fromkeys(["brand", "name", *own, "first_seen"], "old"), "last_seen": "greatest"})
+
+
+def record_observations(stored: DataFrame, records: DataFrame, as_of: str, fields: list[str] | None = None) -> DataFrame:
+    """Rows to append to ``stored`` (store_key, fingerprint, scraped_at, fields): of ``observed(records)`` those that are new at their store, the day's first, or changed."""
+    now = observed(records).withColumn("scraped_at", F.lit(as_of).cast("timestamp"))
+    return _news(stored.withColumn("_tie", F.lit(0)), now, ["store_key", "fingerprint"], fields or OBSERVED_FIELDS, "scraped_at", "_tie")
+
+
+LOCATION_FIELDS = ["operator", "storefront_name", "platform", "external_id", "address", "city"]
+
+
+def upsert_locations(locations: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
+    """Identities of places: first_seen stays, last_seen and the attributes follow the batch."""
+    now = F.lit(as_of).cast("timestamp")
+    own = ["state", "latitude", "longitude", "address", "city", "zip_code"]
+    new = batch.select("location_key", *own, now.alias("first_seen"), now.alias("last_seen")).dropDuplicates(["location_key"])
+    known = locations.select("location_key", F.struct("first_seen").alias("old"))
+    kept = locations.join(new.select("location_key"), "location_key", "left_anti").select("location_key", *own, "first_seen", "last_seen")
+    return kept.unionByName(new.join(known, "location_key", "left").select("location_key", *own, F.coalesce("old.first_seen", "first_seen").alias("first_seen"), "last_seen"))
+
+
+def record_locations(stored: DataFrame, batch: DataFrame, source: str, as_of: str) -> DataFrame:
+    """Rows to append to ``stored`` (location_key, source, observed_at, ``LOCATION_FIELDS``): of a batch's places those that are new to the source, the day's first, or changed."""
+    now = batch.withColumns({"source": F.lit(source), "observed_at": F.lit(as_of).cast("timestamp")}).dropDuplicates(["location_key"])
+    return _news(stored.filter(F.col("source") == source).withColumn("_tie", F.lit(0)), now, ["location_key", "source"], LOCATION_FIELDS, "observed_at", "_tie")
+
+
 def currency(country: Column) -> Column:
     return F.when(country == "CA", "CAD").otherwise("USD")
 
@@ -58,6 +122,41 @@ def forward_fill(rates: DataFrame, extra_days: int = 0) -> DataFrame:
     return filled.select("rate_date", "base_ccy", "quote_ccy", F.round(F.last("rate", ignorenulls=True).over(w), 6).alias("rate"), F.col("rate").isNull().alias("is_carried"))
 
 
+def fill_between(rates: DataFrame, first: Column, last: Column) -> DataFrame:
+    """``forward_fill`` from ``first`` to ``last``, expressions over nothing: rates of before fill the first days; days before any rate have no row."""
+    until = rates.filter(F.col("rate_date") <= last)
+    span = until.groupBy("base_ccy", "quote_ccy").agg(F.min("rate_date").alias("a"))
+    days = span.select("base_ccy", "quote_ccy", F.explode(F.sequence(F.least("a", last), last)).alias("rate_date"))
+    w = Window.partitionBy("base_ccy", "quote_ccy").orderBy("rate_date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = days.join(until.select("base_ccy", "quote_ccy", "rate_date", "rate"), ["base_ccy", "quote_ccy", "rate_date"], "left")
+    out = filled.select("rate_date", "base_ccy", "quote_ccy", F.round(F.last("rate", ignorenulls=True).over(w), 6).alias("rate"), F.col("rate").isNull().alias("is_carried"))
+    return out.filter((F.col("rate_date") >= first) & F.col("rate").isNotNull())
+
+
+def backfill_start(*priced: DataFrame, at: str = "scraped_at"):
+    """The earliest day with a price in any of the tables; None if there is none. ``at`` may be a time or an ISO text."""
+    days = [df.filter("price is not null").agg(F.min(day_of(F.col(at).cast("string"))).alias("d")) for df in priced]
+    return reduce(DataFrame.unionByName, days).agg(F.min("d")).first()[0]
+
+
+def refresh_rates(stored: DataFrame, fetched: DataFrame, listings: DataFrame, observations: DataFrame, programs: DataFrame, today: str, since: str | None = None) -> DataFrame:
+    """``stored`` rates with those of ``fetched`` from the first priced day (or ``since``) to ``today``, carried over days without one; ``stored`` as it is if no price is in another currency."""
+    where = programs.select(F.col("abbr").alias("state"), "country")
+    foreign = listings.filter("price is not null").join(where, "state").filter(currency(F.col("country")) != "USD")
+    if not foreign.take(1):
+        return stored
+    start = since or backfill_start(listings, observations) or today
+    # a week of rates from before the window: its first days may have to be carried
+    near = fetched.filter(F.col("rate_date") >= F.date_sub(F.lit(str(start)).cast("date"), 7))
+    new = fill_between(near, F.lit(str(start)).cast("date"), F.lit(today).cast("date"))
+    return upsert(stored, new, ["rate_date", "base_ccy", "quote_ccy"], {"rate": "new", "is_carried": "new"})
+
+
+def latest_rate(rates: DataFrame) -> DataFrame:
+    """The last known rate of each pair of currencies."""
+    return rates.groupBy("base_ccy", "quote_ccy").agg(F.max("rate_date").alias("rate_date"), F.max_by("rate", "rate_date").alias("rate"))
+
+
 def with_usd(observations: DataFrame, programs: DataFrame, rates: DataFrame) -> DataFrame:
     """Observations with currency, the rate of their own day (never a neighbouring one) and the price in US dollars."""
     where = programs.select(F.col("abbr").alias("state"), "country")
@@ -114,10 +213,11 @@ def lifecycle(seen: DataFrame, missed: int = 2, usable: float = 0.9) -> DataFram
     fine = fine.withColumns({"first_usable": F.min("day").over(Window.partitionBy("source")), "later_cycles": F.count(F.lit(1)).over(w.rowsBetween(1, Window.unboundedFollowing))}).select("source", "day", "first_usable", "later_cycles")
     per = seen.groupBy("source", "loc").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     opened = per.join(fine.withColumnRenamed("day", "first_day"), ["source", "first_day"]).filter("first_day > first_usable").select("source", "loc", F.lit("opened").alias("kind"), F.col("first_day").alias("occurred_on"))
-    # usable cycles after a day: those of the source sorted once, counted by a search in the array
-    days = fine.groupBy("source").agg(F.sort_array(F.collect_list("day")).alias("days"))
-    absent = F.size(F.filter("days", lambda d: d > F.col("last_day")))
-    closed = per.join(days, "source").filter(absent >= missed).select("source", "loc", F.lit("closed").alias("kind"), F.col("last_day").alias("occurred_on"))
+    # usable cycles after a day: those days and the places' last days in one order, counted from the end
+    marks = per.select("source", F.col("last_day").alias("day"), F.lit(0).alias("n")).distinct().unionByName(fine.select("source", "day", F.lit(1).alias("n")))
+    absent = F.sum("n").over(w.rowsBetween(1, Window.unboundedFollowing))
+    after = marks.groupBy("source", "day").agg(F.sum("n").alias("n")).withColumn("absent", F.coalesce(absent, F.lit(0)))
+    closed = per.join(after.select("source", F.col("day").alias("last_day"), "absent"), ["source", "last_day"]).filter(F.col("absent") >= missed).select("source", "loc", F.lit("closed").alias("kind"), F.col("last_day").alias("occurred_on"))
     return opened.union(closed)
 
 
@@ -176,3 +276,9 @@ def relocations(events: DataFrame) -> DataFrame:
     e = lambda kind, loc, day: events.filter(F.col("kind") == kind).select("source", "operator", F.lower(F.trim("city")).alias("town"), F.col("loc").alias(loc), F.col("occurred_on").alias(day))
     met = e("closed", "from_loc", "closed_on").join(e("opened", "loc", "occurred_on"), ["source", "operator", "town"])
     return met.filter((F.col("occurred_on") >= F.col("closed_on")) & (F.col("loc") != F.col("from_loc"))).select("source", "loc", "from_loc", "occurred_on")
+
+
+def confidence(events: DataFrame, cycles: DataFrame, high: int = 3) -> DataFrame:
+    """Lifecycle events (source, occurred_on, ...) with ``confidence``: "high" if ``high`` usable cycles (source, day) or more come after them, else "low"."""
+    after = events.select("source", "occurred_on").distinct().join(cycles.select("source", "day").distinct(), "source").groupBy("source", "occurred_on").agg(F.count_if(F.col("day") > F.col("occurred_on")).alias("n"))
+    return events.join(after, ["source", "occurred_on"], "left").withColumn("confidence", F.when(F.col("n") >= high, "high").otherwise("low")).drop("n")

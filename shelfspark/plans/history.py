@@ -144,9 +144,14 @@ def rewalk_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.select("target_key", "method", F.round(S.age_probability(age, 10.0, 20.0), 6).alias("probability"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE w AS (SELECT regexp_replace(regexp_extract(resource_url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host, seq, cast(seq % 40 AS DOUBLE) AS age, cast(seq * 37 % 100 AS DOUBLE) / 100 AS u, row_number() OVER (PARTITION BY regexp_replace(regexp_extract(resource_url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') ORDER BY seq) AS k FROM {_ATTEMPTS} a WHERE resource_url IS NOT NULL),
+c AS (SELECT *, CASE WHEN age < 25 THEN 0.0 WHEN age >= 35 THEN 1.0 ELSE 0.6 * (age - 25) / 10 END AS p FROM w),
+r AS (SELECT host, seq, k, u < p AS admitted, CASE WHEN u < p THEN 1 ELSE 0 END AS n FROM c WHERE k = 1
+  UNION ALL SELECT c.host, c.seq, c.k, c.u < c.p * f.f, r.n + CASE WHEN c.u < c.p * f.f THEN 1 ELSE 0 END FROM r JOIN c ON c.host = r.host AND c.k = r.k + 1, LATERAL (SELECT CASE WHEN r.n >= 8 THEN 0.0 WHEN r.n >= 3 THEN 1.0 - (r.n - 2) / 6.0 ELSE 1.0 END AS f) f)
+SELECT host, seq, admitted FROM r""")
 def rewalk_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which walks a governor admits, in order: an ordered fold for each host (no SQL equivalent without recursion)."""
+    """Which walks a governor admits, in order: an ordered fold for each host."""
     a = attempts(spark, sf_dir).filter("resource_url is not null")
     walks = a.select(S.host_of(F.col("resource_url")).alias("host"), "seq", (F.pmod(F.col("seq"), F.lit(40)).cast("double")).alias("age"), (F.pmod(F.col("seq") * 37, F.lit(100)) / 100).alias("u"))
     return S.admit(walks)
@@ -170,12 +175,6 @@ def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.enqueue(j.filter("id % 2 = 0"), j.filter("id % 2 = 1"))
 
 
-@query(f"SELECT count(*) FILTER (WHERE status = 'done' AND scheduled_at < TIMESTAMP '1996-01-01' - INTERVAL 168 HOUR) AS pruned, count(*) FILTER (WHERE status = 'claimed') AS live FROM {_JOBS} j")
-def queue_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = F.col("scheduled_at") < F.lit("1996-01-01").cast("timestamp") - F.expr("interval 168 hours")
-    return jobs(spark, sf_dir).agg(F.count_if((F.col("status") == "done") & old).alias("pruned"), F.count_if(F.col("status") == "claimed").alias("live"))
-
-
 @query(f"""
 WITH RECURSIVE r AS (SELECT user_id AS host, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id, epoch_us(ts) / 1e6 AS t, 1.0::DOUBLE + event_id % 2 AS cost FROM events),
 b AS (SELECT host, n, event_id, t AS last, CASE WHEN 3 >= cost THEN 3 - cost ELSE 3 END AS tokens, 3 >= cost AS granted FROM r WHERE n = 1

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.catalog import query
 from shelfspark.functions import text as X
-from shelfspark.operators import guards
+from shelfspark.operators import discovery, guards
 from shelfspark.sources import extract
 
-STRONG, MEDIUM, DENY = ["store locator", "where to buy", "para"], ["les", "thon", "ter", "directory"], ["privacy", "career", "ond"]
 EXCLUDED = ["example.net", "tracker."]
 ENDINGS = ["", "shop", "store", "co"]
 _LINKS = """(SELECT page_id, m.ord AS ordinal, regexp_extract(m.a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_extract(m.a, '>(.*)</a>', 1), '<[^>]*>', '', 'g')) AS label
@@ -21,22 +20,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.links(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
 
 
-_HAS = " OR ".join([f"contains(t, '{w}')" for w in STRONG + MEDIUM] + [f"contains(h, '{w}')" for w in MEDIUM])
-_POINTS = " + ".join(
-    [f"CASE WHEN contains(t, '{w}') THEN 4 ELSE 0 END" for w in STRONG]
-    + [f"CASE WHEN contains(t, '{w}') THEN 2 WHEN contains(h, '{w}') THEN 1 ELSE 0 END" for w in MEDIUM]
-    + [f"CASE WHEN ({_HAS}) AND ({' OR '.join(f'ends_with(h, {e!r})' for e in X.DOCUMENTS)}) THEN 3 ELSE 0 END"]
-    + [f"CASE WHEN {' OR '.join(f'contains(h, {m!r})' for m in X.MAPS)} THEN CASE WHEN {_HAS} THEN 3 ELSE 1 END ELSE 0 END"]
-)
-_SCORE = f"""CASE WHEN t = '' THEN 0 WHEN {' OR '.join(f"contains(t, '{w}')" for w in DENY)} THEN -1 ELSE {_POINTS} END"""
-
-
-@query(f"SELECT page_id, href, score, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, ordinal) AS rn FROM (SELECT *, {_SCORE} AS score FROM (SELECT *, lower(href) AS h, trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) AS t FROM {_LINKS} l) m) x) y WHERE rn = 1 AND score > 0")
-def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best link to each address of a page, with its score."""
-    scored = links(spark, sf_dir).withColumn("score", X.score_link(F.col("href"), F.col("label"), STRONG, MEDIUM, DENY))
-    best = scored.groupBy("page_id", "href").agg(F.max_by(F.struct("score", "label"), F.struct("score", -F.col("ordinal"))).alias("b"))
-    return best.select("page_id", "href", "b.score", "b.label").filter("score > 0")
+@query(f"SELECT page_id, cast(ordinal AS BIGINT) AS ordinal, href, label FROM {_LINKS} l")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors of captured pages, by an HTML parser; these pages are plain enough for an expression to find the same."""
+    return links(spark, sf_dir).select("page_id", "ordinal", "href", "label")
 
 
 _KIND = (
@@ -67,18 +54,19 @@ def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.bool_or("excluded").alias("excluded"), F.bool_or("is_brand").alias("is_brand"))
 
 
-@query(f"""SELECT brand, url, score FROM (SELECT brand, url, score, row_number() OVER (PARTITION BY brand ORDER BY score DESC, length(rtrim(path, '/')), CASE WHEN starts_with(url, 'https:') THEN 0 ELSE 1 END, url) AS rn
-  FROM (SELECT b.brand, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, CASE WHEN contains({_HOST}, b.brand) THEN 100 ELSE 0 END AS score FROM pages, (SELECT unnest(['thonth', 'theror', 'tionsh']) AS brand) b) x) y WHERE rn <= 3 AND score >= 2""")
+_LABEL = f"string_split({_HOST}, '.')[-2]"
+_RANK = f"""SELECT name, url, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, length(rtrim(path, '/')), CASE WHEN starts_with(url, 'https:') THEN 0 ELSE 1 END, CASE WHEN ends_with(host, '.com') THEN 0 ELSE 1 END, url) AS rank FROM (
+  SELECT name, url, host, path, CASE WHEN label = key OR (starts_with(label, key) AND label[len(key) + 1:] IN ('shop', 'co')) OR (len(key) >= 5 AND contains(label, key)) THEN 100 + n ELSE list_sum(list_transform(tokens, lambda t: CASE WHEN len(t) >= 5 AND contains(label, t) THEN 1 ELSE 0 END)) END AS score
+  FROM (SELECT DISTINCT regexp_replace(url, '(thth|ther|tion|example)', 'acme\\1', 'g') AS url FROM pages WHERE url IS NOT NULL) p, LATERAL (SELECT regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path) h, LATERAL (SELECT coalesce(string_split(host, '.')[-2], host) AS label) l,
+  (SELECT 'Acme-Example' AS name, 'acmeexample' AS key, ['acme', 'example'] AS tokens, 2 AS n UNION ALL SELECT 'Example Shop', 'exampleshop', ['example'], 1 UNION ALL SELECT 'Ex', 'ex', ['ex'], 1) b) x"""
+
+
+@query(f"SELECT name, url, cast(score AS INTEGER) AS score, cast(rank AS INTEGER) AS rank FROM ({_RANK}) r WHERE rank <= 3 AND score >= 1")
 def domain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best homepages of each brand: the host that has its name, then the shortest path, secure first."""
-    brands = spark.createDataFrame([("thonth",), ("theror",), ("tionsh",)], "brand string")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url")
-    host = F.regexp_replace(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")), r"^www\.", "")
-    score = F.when(host.contains(F.col("brand")), 100).otherwise(0)
-    path = F.coalesce(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit(""))
-    scored = pages.join(F.broadcast(brands), host.contains(F.col("brand"))).withColumns({"score": score, "path": F.length(F.rtrim(path, F.lit("/")))})
-    w = Window.partitionBy("brand").orderBy(F.desc("score"), "path", F.when(F.col("url").startswith("https:"), 0).otherwise(1), "url")
-    return scored.withColumn("rn", F.row_number().over(w)).filter("rn <= 3 and score >= 2").select("brand", "url", "score")
+    """The three best homepages of each brand: its own domain, then domains with its words, then the shortest path, secure first, .com first."""
+    brands = spark.createDataFrame([("Acme-Example",), ("Example Shop",), ("Ex",)], "name string")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("url is not null").select(F.regexp_replace("url", "(thth|ther|tion|example)", "acme$1").alias("url")).distinct()
+    return discovery.rank_homepages(pages.crossJoin(brands), ["shop"], ["shop", "co"], cap=3, least=1)
 
 
 @query()

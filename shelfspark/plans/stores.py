@@ -11,7 +11,7 @@ from shelfspark import adapters, oracles, rules
 from shelfspark.catalog import query
 from shelfspark.functions import places as G
 from shelfspark.functions import text as X
-from shelfspark.operators import guards, history, resolve
+from shelfspark.operators import geocode, guards, history, resolve
 
 _STORES, _PROGRAMS, _LISTINGS = (f"({adapters.duckdb(n)})" for n in ("stores", "programs", "listings"))
 
@@ -202,41 +202,17 @@ def compare_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(roster, ["state", "key"], "full").groupBy("state", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def point_lookup(addresses: DataFrame, points: DataFrame) -> DataFrame:
-    """addresses (id, city_key, house_number, street_key) with the first point of the same address; else, if only one has it but for the direction, that."""
-    first = points.groupBy("city_key", "house_number", "street_key").agg(F.min_by(F.struct("x", "y"), "ordinal").alias("p"))
-    loose = F.regexp_extract("street_key", r"^(.*)\|[^|]*$", 1)
-    only = first.withColumn("loose", loose).groupBy("city_key", "house_number", "loose").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("q")).filter("n = 1").drop("n")
-    hit = addresses.withColumn("loose", loose).join(first, ["city_key", "house_number", "street_key"], "left").join(only, ["city_key", "house_number", "loose"], "left")
-    p = F.coalesce("p", "q")
-    return hit.select("id", p["x"].alias("x"), p["y"].alias("y"), F.when(F.col("p").isNotNull(), "exact").when(p.isNotNull(), "no_direction").alias("how"))
-
-
 @query(f"""
 WITH a AS (SELECT s.id, s.city, t.house_number, t.street_key FROM {_STORES} s JOIN ({_STREET}) t USING (id)),
 pts AS (SELECT DISTINCT ON (coalesce(upper(city), ''), house_number, street_key) coalesce(upper(city), '') AS ck, house_number AS h, street_key AS k, cast(id AS DOUBLE) AS x, cast(id % 7 AS DOUBLE) AS y FROM a WHERE id % 4 = 0 ORDER BY coalesce(upper(city), ''), house_number, street_key, id),
 loose AS (SELECT ck, h, regexp_extract(k, '^(.*)\\|[^|]*$', 1) AS l, any_value(x) AS x, any_value(y) AS y FROM pts GROUP BY ALL HAVING count(*) = 1)
 SELECT a.id, coalesce(p.x, l.x) AS x, coalesce(p.y, l.y) AS y, CASE WHEN p.x IS NOT NULL THEN 'exact' WHEN l.x IS NOT NULL THEN 'no_direction' END AS how
-FROM a LEFT JOIN pts p ON p.ck = coalesce(upper(a.city), '') AND p.h = a.house_number AND p.k = a.street_key LEFT JOIN loose l ON l.ck = coalesce(upper(a.city), '') AND l.h = a.house_number AND l.l = regexp_extract(a.street_key, '^(.*)\\|[^|]*$', 1)""".replace("GROUP BY ALL HAVING", "GROUP BY 1, 2, 3 HAVING"))
+FROM a LEFT JOIN pts p ON p.ck = coalesce(upper(a.city), '') AND p.h = a.house_number AND p.k = a.street_key LEFT JOIN loose l ON ends_with(a.street_key, '|') AND l.ck = coalesce(upper(a.city), '') AND l.h = a.house_number AND l.l = regexp_extract(a.street_key, '^(.*)\\|[^|]*$', 1)""".replace("GROUP BY ALL HAVING", "GROUP BY 1, 2, 3 HAVING"))
 def point_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     number, key = G.street_parts(F.col("address"))
     a = _stores(spark, sf_dir).select("id", G.city_std(F.col("city")).alias("city_key"), number.alias("house_number"), key.alias("street_key"))
     points = a.filter("id % 4 = 0").select("city_key", "house_number", "street_key", F.col("id").alias("ordinal"), F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
-    return point_lookup(a, points)
-
-
-def range_lookup(addresses: DataFrame, segments: DataFrame) -> DataFrame:
-    """addresses (id, house_number, street_key) with a point on the segment of the tightest range that holds the number, on its side."""
-    s = segments
-    met = addresses.join(s, "street_key").withColumn("side", G.side_range(F.col("house_number"), F.col("lo_l"), F.col("hi_l"), F.col("lo_r"), F.col("hi_r"))).filter("side is not null")
-    lo = F.when(F.col("side") == "l", F.least("lo_l", "hi_l")).otherwise(F.least("lo_r", "hi_r"))
-    hi = F.when(F.col("side") == "l", F.greatest("lo_l", "hi_l")).otherwise(F.greatest("lo_r", "hi_r"))
-    met = met.withColumns({"lo": lo, "hi": hi})
-    best = met.groupBy("id").agg(F.min_by(F.struct("pts", "lo", "hi", "side", "house_number", "segment_id"), F.struct((F.col("hi") - F.col("lo")).alias("w"), F.col("segment_id").alias("s"))).alias("b"))
-    b = lambda c: F.col("b")[c]
-    share = F.when(b("hi") > b("lo"), (b("house_number") - b("lo")) / (b("hi") - b("lo"))).otherwise(0.5)
-    placed = best.select("id", b("segment_id").alias("segment_id"), b("side").alias("side"), G.point_along(b("pts"), share, side=b("side")).alias("p"))
-    return placed.select("id", "segment_id", "side", F.col("p.x").alias("x"), F.col("p.y").alias("y"), G.to_wgs84(F.col("p.x"), F.col("p.y")).alias("g")).select("id", "segment_id", "side", "x", "y", "g.latitude", "g.longitude")
+    return geocode.point_lookup(a, points)
 
 
 @query(f"""
@@ -256,7 +232,7 @@ def range_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = i * 20, i * 20 + 18 + (i % 3) * 20
     pts = F.array(xy(x0, F.lit(1500000.0)), xy(x0 + 200, F.lit(1500000.0)), xy(x0 + 200, F.lit(1500200.0)))
     segments = segments.select("street_key", "segment_id", lo.alias("lo_l"), hi.alias("hi_l"), (lo + 1).alias("lo_r"), (hi + 1).alias("hi_r"), pts.alias("pts"))
-    return range_lookup(a, segments).select("id", "segment_id", "side", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return geocode.range_lookup(a, segments).select("id", "segment_id", "side", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()

@@ -1,15 +1,18 @@
-"""Captured documents to tables of records, in Arrow batches; links and simple lines without leaving the JVM."""
+"""Captured documents to tables of records and links, in Arrow batches; simple lines without leaving the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.text import clean
+from shelfspark.functions.text import classify_url, clean, score_link
 from shelfspark.sources import markup
 
 _TEXT = ("source", *markup.FIELDS)
@@ -45,12 +48,77 @@ def resource_records(captures: DataFrame, content: str = "content", kind: str =
     return _records(captures, [c for c in captures.columns if c not in (content, kind)], lambda r: markup.dispatch(bytes(r[content]) if r[content] is not None else None, r[kind]))
 
 
+class _Anchors(HTMLParser):
+    """Anchors in order: [href, label, class]. An anchor that begins within another ends it, as in browsers."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[list] = []
+        self.open = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            own = dict(reversed(attrs))  # the first of a repeated attribute counts
+            self.open = "href" in own
+            if self.open:
+                self.found.append([own["href"] or "", [], own.get("class") or ""])
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.open = False
+
+    def handle_data(self, data):
+        if self.open:
+            self.found[-1][1].append(data)
+
+
+def anchors(html: str) -> list[tuple[str, str, str]]:
+    """(href, label, class) of a page's anchors; labels are all the text within, blanks at the ends cut off."""
+    p = _Anchors()
+    p.feed(html)
+    p.close()
+    return [(h, "".join(t).strip(), c) for h, t, c in p.found]
+
+
 def links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page columns, ordinal, href, label) of the anchors of pages, by regular expressions in the JVM."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r'<a [^>]*href="[^"]*"[^>]*>[^<]*</a>'), F.lit(0))
+    """(page columns, ordinal from 1, href, label, css) of the anchors of pages, by an HTML parser in Arrow batches. Null pages have none."""
+    rest = [c for c in pages.columns if c != html]
+    schema = T.StructType([*(pages.schema[c] for c in rest), T.StructField("ordinal", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("href", "label", "css"))])
+
+    def run(batches):
+        for batch in batches:
+            own = [(k, n, *a) for k, page in enumerate(batch.column(batch.schema.get_field_index(html)).to_pylist()) if page for n, a in enumerate(anchors(page), 1)]
+            at, *new = zip(*own) if own else ([],) * 5
+            kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(at, pa.int64())) for c in rest]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(new[0], pa.int64()), *(pa.array(c, pa.string()) for c in new[1:])], names=schema.names)
+
+    return pages.mapInArrow(run, schema)
+
+
+@F.pandas_udf(T.StringType())
+def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
+    def one(b, h):
+        try:
+            return urljoin(b or "", h)
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+
+
+def resolved(found: DataFrame, base: str) -> DataFrame:
+    """``links`` with ``href`` made absolute against the column ``base``, its fragment cut off; anchors within the page, mail, telephone, scripts and what isn't http are left out."""
+    skip = F.col("href").rlike("^(#|mailto:|tel:|javascript:)") | (F.col("href") == "")
+    full = found.filter(~skip).withColumn("href", _joined(F.col(base), F.col("href")))
+    return full.filter(F.col("href").startswith("http")).withColumn("href", F.substring_index("href", "#", 1))
+
+
+def harvest(pages: DataFrame, base: str, strong: list[str], medium: list[str], deny: list[str], html: str = "html") -> DataFrame:
+    """(page columns, href, score, label, kind) of the addresses that a page's links lead to and that look like a list: of several links to one the first of the highest score; labels are cut to 60 characters."""
     rest = [c for c in pages.columns if c != html]
-    rows = pages.select(*rest, F.posexplode(found).alias("pos", "a"))
-    return rows.select(*rest, (F.col("pos") + 1).alias("ordinal"), F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace(F.regexp_extract("a", ">(.*)</a>", 1), "<[^>]*>", "")).alias("label"))
+    scored = resolved(links(pages, html), base).withColumn("score", score_link(F.col("href"), F.col("label"), strong, medium, deny)).filter("score > 0")
+    best = scored.groupBy(*rest, "href").agg(F.max_by(F.struct("score", "label"), F.struct("score", -F.col("ordinal"))).alias("b"))
+    return best.select(*rest, "href", "b.score", F.substring("b.label", 1, 60).alias("label"), classify_url(F.col("href")).alias("kind"))
 
 
 def line_addresses(lines: DataFrame, page: str = "page_id") -> DataFrame:

@@ -106,23 +106,28 @@ def licence_search(captures: DataFrame, content: str = "content") -> DataFrame:
     return out.dropDuplicates(["name", "address"])
 
 
-def quadrants(spark: SparkSession, counts: DataFrame, box: tuple[float, float, float, float], page: int = 1000, depth: int = 6) -> DataFrame:
-    """(lat0, lat1, lng0, lng1) of boxes to ask for so that none holds over ``page`` points (lat, lng) of ``counts``: quartered until they fit, ``depth`` times at most."""
-    open_, done = [(box, 0)], []
-    while open_:
-        rows = spark.createDataFrame([(i, *b) for i, (b, _) in enumerate(open_)], "i int, lat0 double, lat1 double, lng0 double, lng1 double")
-        inside = counts.join(F.broadcast(rows), (F.col("lat") >= F.col("lat0")) & (F.col("lat") < F.col("lat1")) & (F.col("lng") >= F.col("lng0")) & (F.col("lng") < F.col("lng1")))
-        n = {r.i: r["count"] for r in inside.groupBy("i").count().collect()}
-        nxt = []
-        for i, (b, d) in enumerate(open_):
-            if n.get(i, 0) > page and d < depth:
-                a, c, e, g = b
-                y, x = (a + c) / 2, (e + g) / 2
-                nxt += [(q, d + 1) for q in ((a, y, e, x), (a, y, x, g), (y, c, e, x), (y, c, x, g))]
-            else:
-                done.append(b)
-        open_ = nxt
-    return spark.createDataFrame(done, "lat0 double, lat1 double, lng0 double, lng1 double")
+def quadrants(points: DataFrame, box: tuple[float, float, float, float], page: int = 1000, depth: int = 6) -> DataFrame:
+    """(lat0, lat1, lng0, lng1, level, n) of boxes to ask for so that none holds over ``page`` of the ``points`` (lat, lng): quartered until they fit, ``depth`` times at most; a box of over ``page`` at that depth says so by its ``n``.
+
+    Points are counted once in the finest cells, and cells rolled up to each
+    level: a box is asked for if it fits (or can't be quartered) and the box
+    around it doesn't.
+    """
+    lat0, lat1, lng0, lng1 = box
+    cells = 2**depth
+    inside = points.filter((F.col("lat") >= lat0) & (F.col("lat") < lat1) & (F.col("lng") >= lng0) & (F.col("lng") < lng1))
+    at = lambda c, a, b: F.least(F.floor((F.col(c) - a) / (b - a) * cells), F.lit(cells - 1)).cast("int")
+    finest = inside.groupBy(at("lat", lat0, lat1).alias("y"), at("lng", lng0, lng1).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    up = finest.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "y", "x", "n")
+    step = F.pow(F.lit(2), F.lit(depth) - F.col("level")).cast("int")
+    levels = up.groupBy("level", F.floor(F.col("y") / step).cast("int").alias("y"), F.floor(F.col("x") / step).cast("int").alias("x")).agg(F.sum("n").alias("n"))
+    over = levels.filter((F.col("n") > page) & (F.col("level") < depth)).select("level", "y", "x")  # to be quartered
+    quarters = over.select((F.col("level") + 1).alias("level"), F.explode(F.array(*[F.struct((F.col("y") * 2 + i).alias("y"), (F.col("x") * 2 + j).alias("x")) for i in (0, 1) for j in (0, 1)])).alias("q")).select("level", "q.y", "q.x")
+    root = points.sparkSession.range(1).select(F.lit(0).alias("level"), F.lit(0).alias("y"), F.lit(0).alias("x"))
+    asked = root.unionByName(quarters).join(over, ["level", "y", "x"], "left_anti").join(levels, ["level", "y", "x"], "left")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    edge = lambda c, a, b, k: F.lit(a) + (F.lit(b) - F.lit(a)) * (F.col(c) + k) / size
+    return asked.select(edge("y", lat0, lat1, 0).alias("lat0"), edge("y", lat0, lat1, 1).alias("lat1"), edge("x", lng0, lng1, 0).alias("lng0"), edge("x", lng0, lng1, 1).alias("lng1"), "level", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def content_frames(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -163,3 +168,9 @@ def feature_pages_done(pages: DataFrame, content: str = "content", cap: int = 25
     rows = pages.withColumns({"_more": more, "_empty": empty})
     ended = F.coalesce(F.max((~F.col("_more") | F.col("_empty")).cast("int")).over(w), F.lit(0))
     return rows.withColumn("_ended", ended).filter((F.col("_ended") == 0) & ~F.col("_empty") & (F.col("page") < cap)).drop("_more", "_empty", "_ended")
+
+
+def feature_pages_cut(pages: DataFrame, content: str = "content", cap: int = 25) -> DataFrame:
+    """(layer) of the paged layers that ``feature_pages_done`` cuts off: their last page within ``cap`` says that more follow."""
+    more = F.coalesce(F.get_json_object(content, "$.exceededTransferLimit") == "true", F.lit(False))
+    return feature_pages_done(pages, content, cap).filter((F.col("page") == cap - 1) & more).select("layer").distinct()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.operators import history
+from shelfspark.operators import history, tables
+
+_log = logging.getLogger(__name__)
+_announced: set[str] = set()
 
 
 class Workspace:
@@ -22,6 +27,9 @@ class Workspace:
         self._path = jvm.org.apache.hadoop.fs.Path
         if read_only and not self._fs.exists(self._path(self.path)):
             raise FileNotFoundError(self.path)
+        if read_only and self.path not in _announced:  # once a process and folder
+            _announced.add(self.path)
+            _log.warning("reading the tables of %s as they are: nothing can be written", self.path)
 
     def _versions(self, name: str) -> list[str]:
         at = self._path(f"{self.path}/{name}")
@@ -75,6 +83,24 @@ class Workspace:
         come = n.join(kept.filter("verdict = 'replace'"), key, "left_semi")
         return self.replace(name, stay.unionByName(come))
 
+    def delete(self, name: str, keys: DataFrame) -> str:
+        """A new version of a table without the rows of ``keys``."""
+        return self.replace(name, tables.delete_keys(self.read(name), keys))
+
+    def replace_keys(self, name: str, new: DataFrame, keys: DataFrame, schema: T.StructType) -> str:
+        """A new version in which the rows of ``keys`` are those of ``new``, even if none are left."""
+        return self.replace(name, tables.replace_keys(self.read(name, schema), fill(new, schema), keys))
+
+    def update_columns(self, name: str, updates: DataFrame, keys: list[str], columns: list[str]) -> str:
+        return self.replace(name, tables.update_columns(self.read(name), updates, keys, columns))
+
+    def views(self, schemas: dict[str, T.StructType] | None = None, prefix: str = "") -> list[str]:
+        """Temporary views of all tables, of the declared columns where there are ``schemas``, and of a table that is declared but missing, empty."""
+        names = sorted({*self.tables(), *(schemas or {})})
+        for n in names:
+            self.read(n, (schemas or {}).get(n)).createOrReplaceTempView(f"{prefix}{n}")
+        return [f"{prefix}{n}" for n in names]
+
     def verified(self, name: str, df: DataFrame, check: Column) -> DataFrame:
         """Writes a table, reads it again, and raises ValueError if a row of it fails ``check``."""
         self.replace(name, df)
@@ -100,6 +126,27 @@ def fill(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
+class Cursor:
+    """Rows of a query read once, a partition at a time: ``fetchone``, ``fetchall`` and iteration go on from where the last of them stopped."""
+
+    def __init__(self, df: DataFrame):
+        self.description = [(f.name, f.dataType.simpleString()) for f in df.schema]
+        self._rows: Iterator = df.toLocalIterator()
+
+    def __iter__(self) -> Iterator[tuple]:
+        return (tuple(r) for r in self._rows)
+
+    def fetchone(self) -> tuple | None:
+        row = next(self._rows, None)
+        return None if row is None else tuple(row)
+
+    def fetchall(self) -> list[tuple]:
+        return list(self)
+
+    def close(self) -> None:
+        self._rows = iter(())
+
+
 def one(df: DataFrame):
     """The only row; ValueError for none or several."""
     rows = df.take(2)

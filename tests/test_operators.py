@@ -132,7 +132,10 @@ def test_bucket(spark):
 def test_queue(spark):
     df = spark.createDataFrame([(1, "claimed", 1, at(0)), (2, "claimed", 3, at(0)), (3, "claimed", 1, at(5)), (4, "pending", 0, None)], "id long, status string, attempts int, lease_until timestamp").selectExpr("*", "3 as max_attempts", "lease_until as claimed_at", "lease_until as scheduled_at", "'k' as target_key")
     assert [(r.id, r.status, r.error) for r in states.reap(df, "2024-01-04 13:00:00").orderBy("id").collect()] == [(1, "pending", None), (2, "failed", "lease expired")]
-    assert states.release(df, "2024-01-04 13:00:00").filter("id = 1").first().attempts == 0
+    held = df.withColumn("claimed_by", F.when(F.col("status") == "claimed", F.lit("w")))
+    claims = spark.createDataFrame([(1, "w"), (2, "other"), (4, "w")], "id long, worker string")
+    out = {r.id: r for r in states.release(held, claims, "2024-01-04 13:00:00").collect()}
+    assert (out[1].attempts, out[1].status, out[1].claimed_by) == (0, "pending", None) and (out[2].status, out[2].attempts) == ("claimed", 3) and out[4].attempts == 0
 
 
 def test_lifecycle(spark):
@@ -260,7 +263,7 @@ def test_registries(spark, tmp_path):
     lic = '{"data": [{"businessLegalName": "L", "licenseType": "Commercial - Retailer", "licenseStatus": "Active"}, {"businessDbaName": "X", "licenseStatus": "Revoked", "licenseType": "Retailer"}]}'
     assert [r.name for r in R.licence_search(capture(spark, lic, lic)).collect()] == ["L"]
     pts = spark.createDataFrame([(i / 10, i / 10) for i in range(40)], "lat double, lng double")
-    boxes = R.quadrants(spark, pts, (0.0, 4.0, 0.0, 4.0), page=10).collect()
+    boxes = R.quadrants(pts, (0.0, 4.0, 0.0, 4.0), page=10).collect()
     assert sum(b.lat0 <= i / 10 < b.lat1 and b.lng0 <= i / 10 < b.lng1 for b in boxes for i in range(40)) == 40
     frames = spark.createDataFrame([(1, '<iframe src="https://a.org/x"></iframe><iframe src="https://www.youtube.com/y"></iframe>')], "id int, html string")
     assert [r.src for r in R.content_frames(frames).collect()] == ["https://a.org/x"]
