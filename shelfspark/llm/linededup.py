@@ -13,6 +13,8 @@ from shelfspark.llm._text import U64, Tokens, fresh, map_pieces, mix, replace
 
 #: A template is dropped once it is in so many documents; one of over LONG words once it is in LONG_DOCUMENTS.
 DOCUMENTS, LONG, LONG_DOCUMENTS = 5, 50, 2
+#: Share of a document's words from which it counts as a copy as a whole, where copies are left to another operator.
+WHOLE = 0.5
 #: Lines of fewer words are left alone.
 WORDS = 3
 #: Leading words below the level of word counts; variable fields are passed over, so that lines that open with numbers part.
@@ -117,12 +119,13 @@ class Leaf:
 
 
 def _templates(batches, documents: int, alike: float, long: int, long_documents: int):
-    """Recurring lines of batches sorted by leaf and line: (line, keeper, template, floor).
+    """Recurring lines of batches sorted by leaf and line: (line, keeper, template, floor, few).
 
     ``template`` is null where the counts and first documents of lines show
-    that it recurs; elsewhere its documents have to be counted against ``floor``.
+    that it recurs; elsewhere its documents have to be counted against
+    ``floor``. ``few`` is 0 where they show that it does in ``documents``.
     """
-    names = ["line", "keeper", "template", "floor"]
+    names = ["line", "keeper", "template", "floor", "few"]
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table):
@@ -131,7 +134,7 @@ def _templates(batches, documents: int, alike: float, long: int, long_documents:
         floor = np.where(pc.binary_length(table["words"]).to_numpy() > 2 * long, min(documents, long_documents), documents)
         at = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
         totals = np.add.reduceat(n, at[:-1])
-        lines, keepers, templates, floors = [], [], [], []
+        lines, keepers, templates, floors, few = [], [], [], [], []
         for g in np.flatnonzero(totals >= np.minimum.reduceat(floor, at[:-1])):
             rows = range(at[g], at[g + 1])
             if len(rows) == 1:
@@ -146,13 +149,15 @@ def _templates(batches, documents: int, alike: float, long: int, long_documents:
                 need, most = int(floor[m[0]]), n[m].max()
                 if n[m].sum() < need:
                     continue
-                sure = most >= need or len(np.unique(first[m])) >= need
+                firsts = len(np.unique(first[m]))
+                sure = most >= need or firsts >= need
                 if sure or most > 1:  # lines of one document each have no more documents than first ones
                     lines.extend(line[m].tolist())
                     keepers.extend([int(first[m].min())] * len(m))
                     templates.extend([None if sure else int(line[m[0]])] * len(m))
                     floors.extend([need] * len(m))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (lines, keepers, templates, floors)], names=names)
+                    few.extend([int(most < documents and firsts < documents)] * len(m))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (lines, keepers, templates, floors, few)], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -170,7 +175,7 @@ def _templates(batches, documents: int, alike: float, long: int, long_documents:
         yield done(pa.Table.from_batches(held))
 
 
-def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, words: int = WORDS, alike: float = ALIKE, flags: bool = False, long: int = LONG, long_documents: int = LONG_DOCUMENTS) -> DataFrame:
+def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, words: int = WORDS, alike: float = ALIKE, flags: bool = False, long: int = LONG, long_documents: int = LONG_DOCUMENTS, whole: float | None = None) -> DataFrame:
     """``docs`` without lines whose template recurs in at least ``documents`` documents, or in ``long_documents`` if it has over ``long`` words.
 
     The tree has a level for the number of words and one for each of the first
@@ -188,6 +193,9 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
     ``flags`` no row goes, but ``dropped_lines`` and ``emptied`` are added.
 
     A document counts once a template, however many of its lines belong to it.
+    With ``whole``, a document keeps the long lines that go for being in few
+    documents if they are that share of its words: it is a copy as a whole, for
+    an operator that drops copies to find, which it couldn't in what is left.
 
     Two shuffles of lines (hash, key and 16 bits a word; a line's occurrences
     are combined before the first), one of the lines' keys, two of the keys of
@@ -198,11 +206,11 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
     slim = keyed.select(key, text)
     lines = _scan(slim, key, text, words, True).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.min("words").alias("words"))
     sorted_ = lines.repartition("leaf").sortWithinPartitions("leaf", "line")
-    recurring = sorted_.mapInArrow(lambda it: _templates(it, documents, alike, long, long_documents), "line long, keeper long, template long, floor long")
+    recurring = sorted_.mapInArrow(lambda it: _templates(it, documents, alike, long, long_documents), "line long, keeper long, template long, floor long, few long")
     hits = _scan(slim, key, text, words, False).join(recurring, "line").filter("template is not null or doc != keeper")
     # by template where its documents are to be counted, by document elsewhere; a document's rows all have all of its lines
     apart = hits.withColumn("alone", F.expr("if(template is null, doc, null)")).repartition("template", "alone")
-    own = apart.groupBy("template", "alone", "doc").agg(F.count(F.lit(1)).alias("n"), F.collect_set("line").alias("lines"), F.first("keeper").alias("keeper"), F.first("floor").alias("floor"))
+    own = apart.groupBy("template", "alone", "doc").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("line", "few")).alias("lines"), F.first("keeper").alias("keeper"), F.first("floor").alias("floor"))
     counted = own.groupBy("template", "alone").agg(F.sum(F.expr("n div size(lines)")).alias("documents"), F.collect_list(F.struct("doc", "lines", "keeper")).alias("own"), F.first("floor").alias("floor"))
     lists = (
         counted.filter("template is null or documents >= floor")
@@ -226,8 +234,14 @@ def drop_lines(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS,
             x = Lines(own)
             first = np.searchsorted(x.doc, np.arange(len(own) + 1))
             for j, k in enumerate(hit):
-                gone = np.isin(x.whole[first[j] : first[j + 1]].view(np.int64), lists_[int(k)].values.to_numpy(zero_copy_only=False))
-                gone &= x.n[first[j] : first[j + 1]] >= words
+                own_lines, n = x.whole[first[j] : first[j + 1]].view(np.int64), x.n[first[j] : first[j + 1]]
+                listed = lists_[int(k)].values
+                line, few = (c.to_numpy(zero_copy_only=False) for c in listed.flatten())
+                gone = np.isin(own_lines, line) & (n >= words)
+                if whole is not None:
+                    rare = gone & (n > long) & np.isin(own_lines, line[few > 0])
+                    if n[rare].sum() >= whole * n.sum():
+                        gone &= ~rare
                 rest = [s for s, g in zip(texts[k].replace("\x00", " ").split("\n"), gone) if not g]
                 lost[k] = gone.sum()
                 new[k] = "\n".join(rest)

@@ -460,6 +460,19 @@ def test_long_lines_go_from_two_documents_on(spark):
     assert linededup.drop_lines(awkward(spark)).exceptAll(awkward(spark)).count() == 0  # a repeated row is its own keeper
 
 
+def test_copies_as_a_whole_keep_their_lines(spark):
+    rng = random.Random(23)
+    long, own = [english(rng, 80) for _ in range(3)], [english(rng, 70) for _ in range(12)]
+    rows = [(100, "\n".join(long[:2])), (101, "\n".join(long[:2])), (102, f"{long[2]}\n{own[0]}\n{own[1]}"), (103, f"{long[2]}\n{own[2]}\n{own[3]}")]
+    rows += [(110 + k, f"{own[4]}\n{own[5 + k % 5]}{k}") for k in range(6)]
+    got = {r.doc_id: r.text for r in linededup.drop_lines(awkward(spark, rows), whole=linededup.WHOLE).collect()}
+    assert got[100] == rows[0][1] and got[101] == rows[1][1]  # copies of each other
+    assert sum(long[2] in got[i] for i in (102, 103)) == 1  # a passage of two documents goes from one
+    assert sum(own[4] in got.get(i, "") for i in range(110, 116)) == 1  # one of many from all but one
+    without = linededup.drop_lines(awkward(spark, rows)).filter("doc_id in (100, 101)").collect()
+    assert len(without) == 1
+
+
 def test_templates_count_documents_not_lines(spark):
     line = lambda head, x: f"{head} beta gamma delta epsilon zeta eta theta iota {x}"
     texts = {
@@ -583,6 +596,22 @@ def test_one_of_each_group_stays(spark):
     assert ngramjoin.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_copies_are_dropped_by_shuffle_as_by_broadcast(spark, monkeypatch):
+    rows = near_documents(random.Random(18))
+    df = awkward(spark, rows + [rows[0]] * 3)
+    ids = lambda: sorted(str(r.doc_id) for r in ngramjoin.drop_near_copies(df).collect())
+    few = ids()
+    monkeypatch.setattr(ngramjoin, "BROADCAST", 0)
+    assert few == ids()
+
+
+def test_packed_sets_are_read_again():
+    rng = np.random.default_rng(22)
+    for n in (*range(1, 70), 500, 20_000):
+        codes = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) if n % 3 else np.sort(rng.integers(0, 2**30, n, dtype=np.uint64) << np.uint64(24))
+        assert ngramjoin.unpack(ngramjoin.pack(codes)).tolist() == np.unique(codes >> np.uint64(24)).tolist()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 201)]
     got = {r.node: r.root for r in ngramjoin.components(spark.createDataFrame(chain, "a long, b long")).collect()}
