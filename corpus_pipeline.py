@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines, as ``linededup.drop_lines``; those of which nothing is left go. Null and empty texts stay."""
-    return linededup.drop_lines(docs)
+    """Documents without recurring lines, as ``linededup.drop_lines``; those of which nothing is left go. Copies of whole documents are left to the next stage. Null and empty texts stay."""
+    return linededup.drop_lines(docs, whole=linededup.WHOLE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
