@@ -6,7 +6,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
+from typing import NamedTuple
 from zlib import crc32
 
 import ahocorasick
@@ -47,27 +49,40 @@ _INNER_TO = {"@": "a", "$": "s", "!": "i"}
 
 
 def fold(text: str) -> str:
-    """Lower case without accents; look-alikes of other scripts, full-width and mathematical letters, digits and signs inside words as the letters they stand for; l and 1 as i."""
+    """Lower case; look-alikes of other scripts, full-width and mathematical letters, digits and signs inside words as the letters they stand for; l and 1 as i. Accents stay."""
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        text = unicodedata.normalize("NFKC", text)
     text = text.lower().translate(_FOLD)
     if "@" in text or "$" in text or "!" in text:
         text = _INNER.sub(lambda m: _INNER_TO[m[0]], text)
     return text
 
 
+def bare(folded: str) -> str:
+    """A folded text without its accents."""
+    return folded if folded.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", folded))
+
+
 @dataclass
 class Lexicon:
+    """Entries with weights. Those of ``accented`` are matched in texts with their accents, as they were learned from, all others in bare ones."""
+
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
     threshold: float = THRESHOLD
+    accented: frozenset[str] = frozenset()
+
+    def matcher(self) -> Matcher:
+        return Matcher(self._automaton(self.weights.keys() - self.accented), self._automaton(self.weights.keys() & self.accented))
 
-    def automaton(self) -> ahocorasick.Automaton:
+    def _automaton(self, entries: Iterable[str]) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
+        if not (entries := sorted(entries)):
+            return a
         for p in self.exceptions:
             a.add_word(fold(p), (len(fold(p)), 0.0, False))
-        for w, weight in sorted(self.weights.items()):
-            stem = w.endswith("*")
+        for w in entries:
+            weight, stem = self.weights[w], w.endswith("*")
             f = fold(w.rstrip("*"))
             if f:
                 a.add_word(f, (len(f), max(weight, a.get(f, (0, 0.0, False))[1]), stem or a.get(f, (0, 0.0, False))[2]))
@@ -76,6 +91,15 @@ class Lexicon:
         return a
 
 
+class Matcher(NamedTuple):
+    bare: ahocorasick.Automaton
+    accented: ahocorasick.Automaton
+
+    def hits(self, text: str) -> list[float]:
+        folded = fold(text)
+        return hits(self.bare, bare(folded)) + hits(self.accented, folded)
+
+
 def hits(a: ahocorasick.Automaton, folded: str) -> list[float]:
     """Weights of the matches at word starts (whole words, or stems) outside exception phrases."""
     if not len(a):
@@ -102,10 +126,10 @@ def word_count(text: str) -> int:
     return max(words, len(text.strip()) // 20)
 
 
-def score(a: ahocorasick.Automaton, text: str) -> tuple[float, int, int]:
+def score(m: Matcher, text: str) -> tuple[float, int, int]:
     """(weight of matches in a hundred words, matches, words)."""
     words = word_count(text)
-    found = hits(a, fold(text))
+    found = m.hits(text)
     return (100 * sum(found) / words if words else 0.0), len(found), words
 
 
@@ -125,7 +149,8 @@ def _distinct(texts: list[list[str]]) -> list[list[str]]:
 
 def learn(toxic: list[str], other: list[str], base: dict[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """``base`` and the words and stems that labelled texts add, with a threshold that parts the two kinds of text best."""
-    weights = dict(LEXICON if base is None else base)
+    base_words = LEXICON if base is None else base
+    weights = dict(base_words)
     bags = [{*w} for w in _distinct([_LETTERS.findall(fold(t)) for t in toxic])]
     words = Counter(w for b in bags for w in b)
     heads: Counter = Counter()
@@ -164,8 +189,8 @@ def learn(toxic: list[str], other: list[str], base: dict[str, float] | None = No
     for v in sorted(words):
         if len(v) > 2 and not any(v[:n] in taken for n in range(STEM, len(v) + 1)) and (w := weight(words[v], rest_words[v])):
             weights[v] = max(w, weights.get(v, 0.0))
-    found = Lexicon(weights, exceptions)
-    a = found.automaton()
+    found = Lexicon(weights, exceptions, accented=frozenset(weights.keys() - base_words.keys()))
+    a = found.matcher()
     yes = [score(a, t)[0] for t in toxic]
     no = [score(a, t)[0] for t in other]
     cuts = sorted({s for s in yes if s > 0})
@@ -216,7 +241,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[s
 
     def run(part: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         if not built:
-            built.append(held.value.automaton())
+            built.append(held.value.matcher())
         scored = [(None, None, None) if t is None else score(built[0], t) for t in texts]
         least = held.value.threshold
         new = [

@@ -237,11 +237,13 @@ def test_steps_of_shards():
 
 def test_toxicity_finds_folded_words(spark):
     lex = toxicity.Lexicon({"moron": 1.0, "vequ*": 1.0, "trash": 1.0})
-    a = lex.automaton()
+    a = lex.matcher()
     for t in ("you MORON", "m0r0n!", "mоrоn", "vequance", "$trash ｔｒａｓｈ", "mo​ron", "môròn", "𝐦𝐨𝐫𝐨𝐧", "ⓜoron"):
-        assert toxicity.hits(a, toxicity.fold(t)), t
+        assert a.hits(t), t
     for t in ("oxymoron", "moronic", "a trash can", "advequ", "", "M O R O N"):
-        assert not toxicity.hits(a, toxicity.fold(t)), t
+        assert not a.hits(t), t
+    learned = toxicity.Lexicon({"vlök": 1.0, "moron": 1.0}, accented=frozenset({"vlök"})).matcher()
+    assert learned.hits("vlök") and not learned.hits("vlok") and learned.hits("mörön")  # a learned word is another one without its accents
     rows = toxicity.toxicity(awkward(spark, [(9, "what a moron"), (10, "fine words " * 3000 + " moron")]), lex).collect()
     by = {r.doc_id: r for r in rows}
     assert by[9].toxic and not by[10].toxic and by[10].hits == 1 and by[9].words_ == 3
@@ -252,7 +254,7 @@ def test_toxicity_finds_folded_words(spark):
 def test_toxicity_equals_a_slow_search():
     rng = random.Random(20)
     lex = toxicity.Lexicon({"moron": 1.0, "vequ*": 0.5, "vequa": 2.0, "trash": 1.0, "ana": 0.25})
-    a = lex.automaton()
+    a = lex.matcher()
     for _ in range(400):
         text = "".join(rng.choice(["moron", "vequ", "vequa", "trash", " can", "trash can", "ana", " ", "-", "s", "x", ". "]) for _ in range(rng.randrange(1, 12)))
         f = toxicity.fold(text)
@@ -265,7 +267,7 @@ def test_toxicity_equals_a_slow_search():
         want = []
         for w, weight in lex.weights.items():
             want += [weight for i, j in found(toxicity.fold(w.rstrip("*")), w.endswith("*")) if not any(x <= i and j <= y for x, y in free)]
-        assert sorted(toxicity.hits(a, f)) == sorted(want), text
+        assert sorted(a.hits(text)) == sorted(want), text
 
 
 def test_toxicity_learns_words_and_stems():
@@ -273,7 +275,7 @@ def test_toxicity_learns_words_and_stems():
     clean = [english(rng, 60) for _ in range(300)]
     toxic = [english(rng, 60) + " " + rng.choice(["grubbo", "vlokter", "vlokmas", "vlokin", "vlokum"]) for _ in range(300)]
     lex = toxicity.learn(toxic[:200], clean[:200])
-    a = lex.automaton()
+    a = lex.matcher()
     flagged = lambda t: toxicity.score(a, t)[0] >= lex.threshold
     assert np.mean([flagged(t) for t in toxic[200:]]) > 0.95 and not any(flagged(t) for t in clean[200:])
 
@@ -283,7 +285,7 @@ def test_toxicity_on_held_out_labels(spark, sf):
     rows = docs.join(labels, "doc_id").select("text", "toxic").orderBy(F.xxhash64("doc_id")).limit(3000).collect()
     half = len(rows) // 2
     lex = toxicity.learn([r.text for r in rows[:half] if r.toxic], [r.text for r in rows[:half] if not r.toxic])
-    a = lex.automaton()
+    a = lex.matcher()
     said = [toxicity.score(a, r.text)[0] >= lex.threshold for r in rows[half:]]
     yes = [s for s, r in zip(said, rows[half:]) if r.toxic]
     no = [s for s, r in zip(said, rows[half:]) if not r.toxic]
