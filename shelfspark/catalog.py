@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from shelfspark.plans import history, ledgers, maps, pages, products, stores  # noqa: F401
+    from shelfspark.plans import history, ledgers, maps, pages, products, sources, stores  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -235,7 +235,16 @@ def range_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.range_lookup(a, segments).select("id", "segment_id", "side", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+def _inverse_sql(rounds: int = 5) -> str:
+    """The inverse projection in SQL, a subquery a round."""
+    out = f"SELECT x, y, t, pi() / 2 - 2 * atan(t) AS p FROM (SELECT x, y, pow(sqrt(pow(x - {G._X0}, 2) + pow({G._R0!r} - (y - {G._Y0}), 2)) / {G._A * G._F0!r}, {1 / G._N!r}) AS t FROM g) a"
+    for _ in range(rounds):
+        out = f"SELECT x, y, t, pi() / 2 - 2 * atan(t * pow((1 - {G._E!r} * sin(p)) / (1 + {G._E!r} * sin(p)), {G._E / 2!r})) AS p FROM ({out}) b"
+    return out
+
+
+@query(f"""WITH g AS (SELECT 4000000.0::DOUBLE + (i % 10) * 100000 AS x, 1500000.0::DOUBLE + (i // 10) * 100000 AS y FROM (SELECT unnest(range(0, 100)) AS i) r)
+SELECT x, y, round(degrees(p), 7) AS latitude, round(degrees(atan2(x - {G._X0}, {G._R0!r} - (y - {G._Y0})) / {G._N!r} + {G._LNG0!r}), 7) AS longitude FROM ({_inverse_sql()}) h""")
 def range_geocode_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corners of a grid of projected metres as coordinates (tests hold them against the projection's own formulae)."""
     grid = spark.range(0, 100).select((F.lit(4000000.0) + (F.col("id") % 10) * 100000).alias("x"), (F.lit(1500000.0) + F.floor(F.col("id") / 10) * 100000).alias("y"))

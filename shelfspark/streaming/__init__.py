@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -56,3 +56,51 @@ def token_buckets(stream: DataFrame, rate: float, burst: float, host: str = "hos
         yield rows.assign(granted=granted)[columns]
 
     return stream.groupBy(host).applyInPandasWithState(run, out, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def watch(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "json", files: int = 100) -> DataFrame:
+    """A stream of the files that come into a folder, ``files`` a batch at most; with a trigger of some interval, polling."""
+    return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files).load(folder)
+
+
+def lease_timers(stream: DataFrame, late: str = "0 seconds", lease_minutes: int = 30, job: str = "id", at: str = "at") -> DataFrame:
+    """(id, worker, lease_until, state) of a stream of signs (id, worker, kind, at): "held" when a worker claims a job, "finished" when it completes or releases it, "expired" once event time passes its lease.
+
+    A heartbeat of the worker that holds a job extends its lease; one of another
+    worker, or for a job that has expired, doesn't. State a job: who holds it
+    and until when; the timer runs on the stream's watermark, ``late`` behind.
+    """
+    out = T.StructType([stream.schema[job], T.StructField("worker", T.StringType()), T.StructField("lease_until", T.TimestampType()), T.StructField("state", T.StringType())])
+    names = out.names
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        holder, until = s.get if s.exists else (None, 0)
+        if s.hasTimedOut:
+            rows.append((key[0], holder, pd.Timestamp(until, unit="ms", tz="UTC").tz_localize(None), "expired"))
+            s.remove()
+            yield pd.DataFrame(rows, columns=names)
+            return
+        for r in pd.concat(list(batches)).sort_values([at, "kind"], kind="stable").to_dict("records"):
+            now = int(pd.Timestamp(r[at]).timestamp() * 1000)
+            if holder is not None and now >= until:
+                rows.append((key[0], holder, pd.Timestamp(until, unit="ms"), "expired"))
+                holder = None
+            if r["kind"] == "claim" and holder is None:
+                holder, until = r["worker"], now + 60_000 * lease_minutes
+                rows.append((key[0], holder, pd.Timestamp(until, unit="ms"), "held"))
+            elif holder is not None and r["worker"] == holder:
+                if r["kind"] == "heartbeat":
+                    until = now + 60_000 * lease_minutes
+                elif r["kind"] in ("complete", "release"):
+                    rows.append((key[0], holder, pd.Timestamp(until, unit="ms"), "finished"))
+                    holder = None
+        if holder is None:
+            if s.exists:
+                s.remove()
+        else:
+            s.update((holder, until))
+            s.setTimeoutTimestamp(max(until, s.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=names)
+
+    return stream.withWatermark(at, late).groupBy(job).applyInPandasWithState(run, out, "worker string, until long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -16,6 +16,7 @@ from shelfspark.functions import products as P
 from shelfspark.functions import text as X
 from shelfspark.operators import access, discovery, evidence, geocode, history, states, tables
 from shelfspark.sources import extract, layers, registries
+from shelfspark.streaming import lease_timers, watch
 from shelfspark.workspace import Cursor, Workspace
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "examples"))
@@ -198,3 +199,21 @@ def test_workspace_keys_and_cursors(spark, tmp_path, caplog):
         Workspace(spark, str(tmp_path), read_only=True)
         Workspace(spark, str(tmp_path), read_only=True)
     assert sum("nothing can be written" in r.message for r in caplog.records) == 1
+
+
+def test_leases_run_out(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 4, 12)
+    minute = lambda m: t0 + dt.timedelta(minutes=m)
+    rows = [
+        (1, "w", "claim", minute(0)), (1, "w", "heartbeat", minute(20)), (1, "v", "heartbeat", minute(40)), (2, "w", "claim", minute(1)), (2, "w", "complete", minute(5)),
+        (3, "w", "claim", minute(55)), (9, "w", "claim", minute(300)), (3, "v", "claim", minute(400)), (9, "w", "complete", minute(310)),
+    ]
+    df = spark.createDataFrame(rows, "id long, worker string, kind string, at timestamp")
+    for part in ("at < '2024-01-04 12:50:00'", "at >= '2024-01-04 12:50:00' and at < '2024-01-04 13:30:00'", "at >= '2024-01-04 13:30:00'"):
+        df.filter(part).coalesce(1).write.mode("append").json(str(tmp_path / "signs"))
+    stream = watch(spark, str(tmp_path / "signs"), df.schema, files=1)
+    q = lease_timers(stream).writeStream.outputMode("append").format("memory").queryName("leases").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = {(r.id, r.worker, r.state) for r in spark.table("leases").collect()}
+    assert got >= {(1, "w", "held"), (1, "w", "expired"), (2, "w", "held"), (2, "w", "finished"), (3, "w", "held"), (3, "w", "expired"), (3, "v", "held"), (9, "w", "held"), (9, "w", "finished")}
+    assert {r.lease_until for r in spark.table("leases").filter("id = 1 and state = 'expired'").collect()} == {minute(50)}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark import registry
-from shelfspark.operators import graph, guards, history, resolve, states
+from shelfspark.operators import access, graph, guards, history, resolve, states
 from shelfspark.sources import extract, markup
 from shelfspark.streaming import append_changes, token_buckets
 from shelfspark.workspace import Workspace, fill, one
@@ -288,9 +288,9 @@ def test_discovery(spark):
     assert settled == {"A": ("https://a.gov/l.pdf", "found"), "B": ("https://o/x.csv", "override"), "C": ("https://s/", "stored"), "D": (None, "no-landing")}
     homes = spark.createDataFrame([("Zen Leaf", u) for u in ("http://zenleaf.com/a", "https://www.zenleaf.com/", "https://other.com", "https://zenleafdispensary.org/")], "name string, url string")
     assert [r.url for r in D.rank_homepages(homes, ["dispensary"], ["", "dispensary"]).orderBy("rank").collect()] == ["https://www.zenleaf.com/", "https://zenleafdispensary.org/", "http://zenleaf.com/a"]
-    fold = spark.createDataFrame([("t", "b", "ok"), ("t", "a", "failed")], "target_key string, method string, status string")
+    fold = spark.createDataFrame([("t", "b", "ok", 1), ("t", "a", "failed", 0)], "target_key string, method string, status string, cost_rank int")
     cat = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "method string, cost_rank int")
-    steps = D.ladder(cat, fold, spark.createDataFrame([("t",), ("u",)], "target_key string")).orderBy("target_key", "step").collect()
+    steps = access.ladder(spark.createDataFrame([("t",), ("u",)], "target_key string"), cat, fold).orderBy("target_key", "step").collect()
     assert [(r.target_key, r.method) for r in steps] == [("t", "b"), ("t", "a"), ("t", "c"), ("u", "a"), ("u", "b"), ("u", "c")]
     live = spark.createDataFrame([("k", 2, "b", 200), ("k", 1, "a", 404)], "key string, ordinal int, url string, http_status int")
     assert D.first_live(live).first().url == "b"
