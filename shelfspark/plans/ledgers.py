@@ -212,6 +212,34 @@ def state_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.delete_keys(s, s.filter("company_id % 2 = 0").join(states, "state", "left_semi").select("state", "company_id")).drop("company_id")
 
 
+@query(f"SELECT id, platform FROM {_STORES} s WHERE id IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
+def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a list of keys, some of them twice and some nowhere."""
+    keys = spark.range(0, 10**6, 7).union(spark.range(0, 700, 7))
+    return tables.keyed(adapters.read(spark, sf_dir, "stores").select("id", "platform"), keys)
+
+
+@query(f"SELECT id, canonical_name, name, address, city, zip_code, latitude, longitude, platform, external_id, company_id FROM {_STORES} s WHERE state = (SELECT min(n_name) FROM nation)")
+def dedupe_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state's stores, with what telling them apart needs."""
+    state = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.min("n_name")).first()[0]
+    return tables.stores_for_dedupe(adapters.read(spark, sf_dir, "stores"), state)
+
+
+@query(f"SELECT canonical_name, address, city, zip_code, latitude, longitude, platform, external_id FROM {_STORES} s WHERE company_id = 5 AND state = (SELECT min(state) FROM {_STORES} t WHERE company_id = 5)")
+def company_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company's rows in a state."""
+    stores = adapters.read(spark, sf_dir, "stores")
+    return tables.store_rows(stores, 5, stores.filter("company_id = 5").agg(F.min("state")).first()[0])
+
+
+@query(f"SELECT source, loc, kind FROM {_EVENTS} e WHERE kind = 'closed' AND source <> 'own' UNION ALL SELECT source, loc, 'opened' FROM {_EVENTS} f WHERE kind = 'opened' AND source = 'own'")
+def lifecycle_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of some sources replaced by new ones, also where there are none now."""
+    e = _events(spark, sf_dir).select("source", "loc", "kind")
+    return tables.replace_keys(e.filter("kind = 'closed'"), e.filter("kind = 'opened' and source != 'menu'"), spark.createDataFrame([("own",)], "source string"))
+
+
 @query(f"SELECT id, state FROM {_STORES} s WHERE contains(lower(state), 'nation_1') OR contains(lower(state), 'an')")
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.only(adapters.read(spark, sf_dir, "stores").select("id", "state"), "state", " NATION_1, an ,,")

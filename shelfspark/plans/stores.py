@@ -11,7 +11,7 @@ from shelfspark import adapters, oracles, rules
 from shelfspark.catalog import query
 from shelfspark.functions import places as G
 from shelfspark.functions import text as X
-from shelfspark.operators import geocode, guards, history, resolve
+from shelfspark.operators import discovery, geocode, guards, history, resolve
 
 _STORES, _PROGRAMS, _LISTINGS = (f"({adapters.duckdb(n)})" for n in ("stores", "programs", "listings"))
 
@@ -117,8 +117,7 @@ def ambiguous_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.ambiguous_handles(_stores(spark, sf_dir))
 
 
-@query(f"""
-WITH RECURSIVE s AS (SELECT id, state, canonical_name, latitude, longitude, {oracles.handle('platform', 'external_id')} AS h, {oracles.address_key('address', 'zip_code')} AS a, {oracles.geo_key('latitude', 'longitude', 'zip_code')} AS g FROM {_STORES} x),
+_GROUPS = f"""WITH RECURSIVE s AS (SELECT id, state, canonical_name, latitude, longitude, {oracles.handle('platform', 'external_id')} AS h, {oracles.address_key('address', 'zip_code')} AS a, {oracles.geo_key('latitude', 'longitude', 'zip_code')} AS g FROM {_STORES} x),
 bogus AS (SELECT state, h FROM s WHERE h <> '' AND a <> '' GROUP BY state, h HAVING count(DISTINCT a) > 1),
 keys AS (SELECT state, id, unnest([a, g, CASE WHEN (state, h) IN (SELECT state, h FROM bogus) THEN '' ELSE h END]) AS k FROM s),
 fine AS (SELECT DISTINCT * FROM keys WHERE k <> ''),
@@ -126,11 +125,21 @@ edges AS (SELECT x.id AS a, y.id AS b FROM fine x JOIN fine y ON x.state = y.sta
   UNION SELECT x.id, y.id FROM s x JOIN s y ON x.state = y.state AND x.canonical_name = y.canonical_name AND x.id <> y.id AND x.id IN (SELECT id FROM fine) AND y.id IN (SELECT id FROM fine)
     WHERE 2 * 6371000 * asin(sqrt(pow(sin(radians(y.latitude - x.latitude) / 2), 2) + cos(radians(x.latitude)) * cos(radians(y.latitude)) * pow(sin(radians(y.longitude - x.longitude) / 2), 2))) <= 100),
 reach AS (SELECT DISTINCT id AS n, id AS r FROM fine UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.n WHERE reach.r < e.b)
-SELECT n AS id, min(r) AS grp FROM reach GROUP BY n""")
+SELECT n AS id, min(r) AS grp FROM reach GROUP BY n"""
+
+
+@query(_GROUPS)
 def store_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.dedupe(_stores(spark, sf_dir)).filter("grp is not null").select("id", "grp")
 
 
+@query(f"""SELECT s.state, count(*) - coalesce(max(d.folded), 0) AS distinct_stores, coalesce(max(d.folded), 0) AS duplicate_rows FROM {_STORES} s
+LEFT JOIN (SELECT x.state, cast(sum(n - 1) AS BIGINT) AS folded FROM (SELECT grp, count(*) AS n FROM ({_GROUPS}) g GROUP BY grp) y JOIN {_STORES} x ON x.id = y.grp GROUP BY x.state) d ON d.state = s.state GROUP BY s.state""")
+def dedupe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many stores a state has once duplicates are folded."""
+    return discovery.dedupe_report(resolve.dedupe(_stores(spark, sf_dir)))
+
+
 @query()
 def dedupe_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors, operators, fill-ins and storefronts (an iterative operator; ``store_groups`` has its groups in SQL)."""
