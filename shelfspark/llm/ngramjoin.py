@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,10 @@ CHUNK, CHUNK_GRAMS = 4096, 1_000_000
 BROADCAST = 500_000
 #: Partitions of the blocks for each of the session's shuffle partitions.
 SPREAD = 4
+#: Grams of the sets whose postings are written at a time; rows and columns of a matrix of overlaps.
+PIECE, TILE = 1_000_000, 512
+#: Sets of a part that meet in a prefix tree, at most; more of them meet in matrices.
+TREE = 16
 
 
 def gram_sets(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +51,8 @@ def pack(codes: np.ndarray) -> bytes:
     As Elias and Fano write sorted numbers: 32 low bits each, then the 8 high
     ones in unary, where a one is a number and a zero steps to the next value.
     """
-    v = np.unique(codes >> U64(24))
+    v = codes >> U64(24)
+    v = v[np.concatenate((v[:1] == v[:1], v[1:] != v[:-1]))]
     high = np.zeros(len(v) + 256, np.uint8)
     high[(v >> U64(32)).astype(np.int64) + np.arange(len(v))] = 1
     return v.astype("<u4").tobytes() + np.packbits(high).tobytes()
@@ -99,7 +104,7 @@ class PrefixTree:
     subtree's sizes can't.
     """
 
-    def __init__(self, sets: list[np.ndarray], threshold: float):
+    def __init__(self, sets: list[np.ndarray], threshold: float, full: np.ndarray | None = None):
         self.t, m = threshold, len(sets)
         sizes = np.array([len(s) for s in sets])
         values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -115,7 +120,7 @@ class PrefixTree:
         paths = [r[a:b] for a, b in zip(at, at[1:])]
         self.order = sorted(range(m), key=lambda k: paths[k].astype(">u4").tobytes())
         self.paths = [paths[k] for k in self.order]
-        self.sizes = sizes[self.order]
+        self.sizes = (sizes if full is None else full)[self.order]
         self.universe = int(shared.sum())
         self._build()
 
@@ -222,15 +227,16 @@ class PrefixTree:
         return out
 
 
-def block_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
-    """(i, j, overlap), i < j, of the sets that reach the threshold."""
+def block_pairs(sets: list[np.ndarray], threshold: float, full: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(i, j, overlap), i < j, of the sets that reach the threshold. ``full``: their sizes, if grams of one set alone are left out."""
     if len(sets) == 2:  # a tree of two paths is their merge
         a, b = sets
-        if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
+        m, n = (len(a), len(b)) if full is None else full
+        if min(m, n) < threshold * max(m, n) - 1e-9:
             return []
-        n = len(np.intersect1d(a, b, assume_unique=True))
-        return [(0, 1, n)] if n >= threshold / (1 + threshold) * (len(a) + len(b)) - 1e-9 else []
-    tree = PrefixTree(sets, threshold)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return [(0, 1, both)] if both >= threshold / (1 + threshold) * (m + n) - 1e-9 else []
+    tree = PrefixTree(sets, threshold, full)
     mark = np.zeros(max(1, tree.universe), np.int8)
     out = []
     for i in range(len(sets) - 1):
@@ -323,8 +329,342 @@ def set_pairs(docs: DataFrame, ids: list[str], row: str, text: str, n: int, thre
     pairs = sorted_.mapInArrow(lambda it: _blocks(it, threshold), "sig_a long, sig_b long, common long, size_a long, size_b long")
     return summary, pairs
 
+def _pieces_of(batches, limit: int):
+    """(columns, sets) of slices of batches whose sets, packed in the last column, have about ``limit`` grams; a row at least."""
+    for batch in batches:
+        packed, first, total, own = batch.column(batch.num_columns - 1), 0, 0, []
+        for k in range(batch.num_rows):
+            own.append(unpack(packed[k].as_py()))
+            total += len(own[-1])
+            if total >= limit or k + 1 == batch.num_rows:
+                yield [batch.column(c).slice(first, k + 1 - first) for c in range(batch.num_columns - 1)], own
+                first, total, own = k + 1, 0, []
+
+
+def _write(v: np.ndarray) -> list[bytes]:
+    """Numbers of 40 bits as 32 low and 8 high ones."""
+    return [v.astype("<u4").tobytes(), (v >> U64(32)).astype(np.uint8).tobytes()]
+
+
+def _read(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << U64(32)
+
+
+_POSTED = "part int, piece long, kind int, low binary, high binary, doc binary, df binary"
+_NAMES = ["part", "piece", "kind", "low", "high", "doc", "df"]
+
+
+def _posted(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_NAMES)
+
+
+def _post(batches, parts: int):
+    """Of batches (sig, size, cell, grams): each gram with its document's place in the piece, by range of the grams; a row of kind 1 tells the piece's documents."""
+    number = TaskContext.get().partitionId() << 32
+    for (sig, size, cell), sets in _pieces_of(batches, PIECE):
+        sig, size, cell = (x.to_numpy(zero_copy_only=False) for x in (sig, size, cell))
+        lengths = [len(s) for s in sets]
+        v, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+        if cell.any():  # grams of different cells are different ones
+            with np.errstate(over="ignore"):
+                v = mix(v + mix(cell.astype(np.int64).view(np.uint64))[doc]) >> U64(24)
+        order = np.argsort(v, kind="stable")
+        v, doc = v[order], doc[order]
+        cut = np.searchsorted(v, (np.arange(parts + 1, dtype=np.uint64) << U64(40)) // U64(parts))
+        rows = [(number % parts, number, 1, sig.astype("<i8").tobytes(), size.astype("<i8").tobytes(), cell.astype("<i8").tobytes(), b"")]
+        for k in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[k], cut[k + 1])
+            rows.append((int(k), number, 0, *_write(v[own]), doc[own].astype("<u4" if len(sets) > 65_535 else "<u2").tobytes(), b""))
+        yield _posted(rows)
+        number += 1
+
+
+def _count(batches):
+    """Of the rows of a range of grams: those in two documents or more, with the number of documents, back to their pieces."""
+    pieces, grams, docs = [], [], []
+    for batch in batches:
+        for part, piece, kind, low, high, doc, df in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind:
+                yield _posted([(part, piece, kind, low, high, doc, df)])
+                continue
+            grams.append(_read(low, high))
+            docs.append(np.frombuffer(doc, "<u2" if len(doc) == 2 * len(grams[-1]) else "<u4").astype(np.uint32))
+            pieces.append(piece)
+    if not grams:
+        return
+    lengths = [len(g) for g in grams]
+    g, doc, of = np.concatenate(grams), np.concatenate(docs), np.repeat(np.arange(len(grams)), lengths)
+    del grams, docs
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    n = np.diff(np.append(edge, len(g)))
+    df = np.repeat(n, n)
+    shared = df > 1
+    order, g, df = order[shared], g[shared], np.minimum(df[shared], 65_535)
+    doc, of = doc[order], of[order]
+    order = np.argsort(of, kind="stable")
+    g, df, doc, of = g[order], df[order], doc[order], of[order]
+    cut = np.searchsorted(of, np.arange(len(pieces) + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(cut)):
+        own = slice(cut[k], cut[k + 1])
+        rows.append((0, pieces[k], 0, *_write(g[own]), doc[own].astype("<u4").tobytes(), df[own].astype("<u2").tobytes()))
+        if len(rows) == 500:
+            yield _posted(rows)
+            rows = []
+    if rows:
+        yield _posted(rows)
+
+
+def _gather(batches, threshold: float):
+    """Of rows sorted by piece: the documents whose shared grams could reach the threshold, with those grams and the keys, which are the shared ones of the exact prefix."""
+
+    def done(rows: list[tuple]) -> pa.RecordBatch | None:
+        told = next(r for r in rows if r[2])
+        sig, size, cell = (np.frombuffer(x, "<i8") for x in told[3:6])
+        own = [r for r in rows if not r[2]]
+        if not own:
+            return None
+        g = np.concatenate([_read(r[3], r[4]) for r in own])
+        doc, df = (np.concatenate([np.frombuffer(r[k], t) for r in own]) for k, t in ((5, "<u4"), (6, "<u2")))
+        order = np.lexsort((g, df, doc))
+        g, doc = g[order], doc[order]
+        at = np.searchsorted(doc, np.arange(len(sig) + 1))
+        n, least = np.diff(at), np.ceil(threshold * size - 1e-9).astype(np.int64)
+        live = np.flatnonzero((n >= least) & (n > 0))
+        # grams of one document alone come first in the order and are no keys
+        keys = [g[at[k] : at[k] + n[k] - least[k] + 1].astype("<i8").tobytes() for k in live]
+        packed = [pack(np.sort(g[at[k] : at[k + 1]]) << U64(24)) for k in live]
+        return pa.RecordBatch.from_arrays([pa.array(sig[live]), pa.array(size[live]), pa.array(cell[live]), pa.array(keys, pa.binary()), pa.array(n[live]), pa.array(packed, pa.binary())], names=["sig", "size", "cell", "keys", "n", "grams"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and r[1] != rows[0][1]:
+                if (out := done(rows)) is not None:
+                    yield out
+                rows = []
+            rows.append(r)
+    if rows and (out := done(rows)) is not None:
+        yield out
+
+
+def _spell(batches):
+    """(key, size, sig) of each key."""
+    for batch in batches:
+        keys = [np.frombuffer(k, "<i8") for k in batch.column(2).to_pylist()]
+        if keys:
+            n = [len(k) for k in keys]
+            sig, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(size), pa.array(sig)], names=["key", "size", "sig"])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) of the nodes of edges (a, b) that aren't the least of their component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    least, i, j = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(i):
+        i, j = least[i], least[j]
+        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+        np.minimum.at(least, j, i)
+        while (least[least] != least).any():
+            least = least[least]
+    own = least != np.arange(len(nodes))
+    return nodes[least[own]], nodes[own]
+
+
+def _joint(batches):
+    """The components of edges (a, b), as ``_forest`` gives them."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if parts:
+        root, node = _forest(*(np.concatenate(c) for c in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(sig, root) of all nodes of edges (a, b): in one task while there are up to ``BROADCAST`` of them, by ``components`` beyond; the result is the same."""
+    edges = _once(edges)
+    found = _once(edges.coalesce(1).mapInArrow(_joint, "node long, root long")) if edges.count() <= BROADCAST else components(edges)
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct()).toDF("sig", "root")
+
+
+def _stars(batches, threshold: float):
+    """Of (key, size, sig): edges that connect the sets that have a key, as far as one comes near the next in size."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not parts:
+        return
+    key, size, sig = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((size, key))
+    key, size, sig = key[order], size[order], sig[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (size[1:] * threshold > size[:-1] + 1e-9)
+    at = np.flatnonzero(first)
+    if len(at):
+        least = np.minimum.reduceat(sig, at)[np.cumsum(first) - 1]
+        a, b = _forest(least[least != sig], sig[least != sig])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _narrow(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of sets (sig, size, cell, grams): those that may have a partner in their cell, with the grams they share, and (sig, root): the parts a cell falls into.
+
+    A gram that one document of a cell has counts for no pair. The others stand
+    in one order, rare ones before frequent ones; two sets that reach the
+    threshold share a gram of the leading ``size - ceil(threshold * size) + 1``
+    of both, and so are in one part.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = sets.select("sig", "size", "cell", "grams").mapInArrow(lambda it: _post(it, parts), _POSTED)
+    counted = posted.repartitionById(parts, F.col("part")).mapInArrow(_count, _POSTED)
+    pieces = counted.repartition(parts, "piece").sortWithinPartitions("piece")
+    left = _once(pieces.mapInArrow(lambda it: _gather(it, threshold), "sig long, size long, cell long, keys binary, n long, grams binary"))
+    spelled = left.select("sig", "size", "keys").mapInArrow(_spell, "key long, size long, sig long").repartition(parts, "key")
+    return left, _roots(spelled.mapInArrow(lambda it: _stars(it, threshold), "a long, b long"))
 
-def similar_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, keys: int = KEYS) -> DataFrame:
+
+def linked_tiles(sets: list[np.ndarray], sizes: np.ndarray, threshold: float, rows: np.ndarray, columns: np.ndarray):
+    """(i, j, overlap) of the pairs of a row and a later column that reach the threshold, as arrays, tile by tile.
+
+    Up to ``TREE`` sets are a prefix tree. Of more, whose pairs a walk would
+    list one by one, grams of many sets are a matrix whose products add up, and
+    of a gram of few each pair of its sets is counted by itself.
+    """
+    m = len(sets)
+    if m <= TREE and len(rows) == len(columns) == m:
+        if pairs := block_pairs(sets, threshold, sizes):
+            yield tuple(np.array(c) for c in zip(*pairs))
+        return
+    values, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    many = count > max(4, 0.07 * m)
+    dense, sparse = many[gram], (count > 1)[gram] & ~many[gram]
+    column = (np.cumsum(many) - 1)[gram[dense]]
+    by = np.argsort(column, kind="stable")
+    column, holder = column[by], owner[dense][by]
+    by = np.argsort(gram[sparse], kind="stable")
+    few, held = gram[sparse][by], owner[sparse][by]  # owners ascend within a gram
+    end = np.searchsorted(few, few, "right")
+    right = np.zeros(m, bool)
+    right[columns] = True
+    for a in range(0, len(rows), TILE):
+        tile = rows[a : a + TILE]
+        place = np.full(m, -1)
+        place[tile] = np.arange(len(tile))
+        total = np.zeros((len(tile), m), np.float32)
+        for c in range(0, int(many.sum()), TILE):
+            own = slice(*np.searchsorted(column, (c, c + TILE)))
+            x = np.zeros((m, TILE), np.float32)
+            x[holder[own], column[own] - c] = 1
+            total += x[tile] @ x.T
+        flat = total.reshape(-1)
+        mine = np.flatnonzero(place[held] >= 0)
+        later = end[mine] - mine - 1  # pairs with the owners behind it
+        upto = np.cumsum(later)
+        begin = 0
+        while begin < len(mine):
+            stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + 4_000_000, "right")))
+            n = later[begin:stop]
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(mine[begin:stop] + 1, n)
+            at, times = np.unique(np.repeat(place[held[mine[begin:stop]]], n) * m + held[k], return_counts=True)
+            flat[at] += times
+            begin = stop
+        reach = total >= threshold / (1 + threshold) * (sizes[tile][:, None] + sizes[None, :]) - 1e-9
+        reach &= right[None, :] & (np.arange(m)[None, :] > tile[:, None])
+        i, j = np.nonzero(reach)
+        yield tile[i], j, total[i, j].astype(np.int64)
+
+
+def _cells(batches, threshold: float, listed: bool):
+    """Of sets sorted by (root, low, high, sig): the linked pairs if ``listed``, else (sig, root, links) of each set in its cell."""
+    names = ["sig_a", "sig_b", "common", "size_a", "size_b"] if listed else ["sig", "root", "links"]
+
+    def done(block: list[tuple]):
+        sizes, weights, chunk = (np.array([r[k] for r in block]) for k in (5, 6, 3))
+        sig = np.array([r[4] for r in block])
+        sets, (_, low, high) = [unpack(r[7]) for r in block], block[0][:3]
+        both = np.arange(len(block))
+        # pairs across two chunks are those of either's rows with the other's columns behind them
+        sides = [(both, both)] if low == high else [(both[chunk == low], both[chunk == high]), (both[chunk == high], both[chunk == low])]
+        links, least = np.zeros(len(block), np.int64), both.copy()
+        for rows, columns in sides:
+            for i, j, n in linked_tiles(sets, sizes, threshold, rows, columns):
+                if listed:
+                    yield [sig[i], sig[j], n, sizes[i], sizes[j]]
+                    continue
+                links += np.bincount(i, weights[j], len(block)).astype(np.int64) + np.bincount(j, weights[i], len(block)).astype(np.int64)
+                a, b = least[i], least[j]
+                root, node = _forest(a[a != b], b[a != b])
+                least[node] = root
+                least = least[least]
+        if not listed:
+            yield [sig, sig[least], links]
+
+    def all_done(block):
+        for columns in done(block) if len(block) > 1 else ():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and r[:3] != rows[0][:3]:
+                yield from all_done(rows)
+                rows = []
+            if not rows or r[4] != rows[-1][4]:  # a repeated document has one set
+                rows.append(r)
+    if rows:
+        yield from all_done(rows)
+
+
+def _joined(own: DataFrame, ids: list[str], text: str, n: int, threshold: float, listed: bool) -> tuple[DataFrame, DataFrame]:
+    """(ids, sig) of each text with words, and what ``_cells`` finds of all sets."""
+    spark = own.sparkSession
+
+    def run(part: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        code, at = gram_sets(Tokens(texts), n)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(code + U64(0x632BE59BD9B4E019)))))
+            sig = mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+        some = np.flatnonzero(np.diff(at))
+        packed = [pack(code[at[k] : at[k + 1]]) for k in some]
+        size = [(8 * len(p) - 256) // 33 for p in packed]
+        kept = [part.column(part.schema.get_field_index(c)).take(pa.array(some)) for c in ids]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(sig[some]), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], names=[*ids, "sig", "size", "grams"])
+
+    schema = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in ids)
+    summary = _once(map_pieces(own.select(*ids, text), text, run, f"{schema}, sig long, size long, grams binary"))
+    members = summary.select(*ids, "sig").distinct()
+    weights = members.groupBy("sig").agg(F.count(F.lit(1)).alias("weight"))
+    left, roots = _narrow(summary.select("sig", "size", F.lit(0).cast("long").alias("cell"), "grams"), threshold)
+    placed, before = [], None
+    while True:
+        whole = left.select("sig", "n").distinct().join(roots, "sig")
+        total = whole.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
+        chunks = F.ceil(F.greatest(F.col("c") / CHUNK, F.col("g") / CHUNK_GRAMS)).cast("int")
+        info = _once(roots.join(total.select("root", chunks.alias("chunks")), "root"))
+        large = info.filter("chunks > 1").count()
+        if not large or before is not None and large > 0.9 * before:
+            placed.append((left, info))
+            break
+        # parts that are too large for a task fall into smaller ones by the grams that are rare within them
+        placed.append((left, info.filter("chunks = 1")))
+        again = left.select("sig", "size", "grams").join(info.filter("chunks > 1"), "sig").select("sig", "size", F.col("root").alias("cell"), "grams")
+        before = large
+        left, roots = _narrow(again.dropDuplicates(["sig"]), threshold)
+    found = None
+    for left, info in placed:
+        sets = left.select("sig", "size", "grams").join(info.join(weights, "sig"), "sig")
+        sets = sets.withColumn("chunk", F.expr("cast(pmod(xxhash64(sig), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        cells = sets.select("root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "sig", "size", "weight", "grams")
+        parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sorted_ = cells.repartition(parts, "root", "low", "high").sortWithinPartitions("root", "low", "high", "sig")
+        out = sorted_.mapInArrow(lambda it: _cells(it, threshold, listed), "sig_a long, sig_b long, common long, size_a long, size_b long" if listed else "sig long, root long, links long")
+        found = out if found is None else found.union(out)
+    return members, found, before is not None and large > 0
+
+
+def similar_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_a, doc_b, jaccard), doc_a < doc_b, of documents whose sets of n-grams have a Jaccard similarity of ``threshold`` or more.
 
     Every document is a query against all others. Documents with equal sets are
@@ -333,15 +673,15 @@ def similar_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     the threshold have one row, of their lowest ids. So each document that has
     a partner is in some row, and ``all_pairs`` spells out the pairs of any
     members of two classes, whose number grows as the square of the copies.
+    ``linked`` has a row a document instead.
 
-    Sets meet in the blocks of their ``keys`` lowest grams in hash order. Of
-    sets as long as ``keys`` the join is exact; of longer ones with similarity
-    s, a pair is missed if none of its common grams is that low, which has a
-    chance of about 2 * ((1 - s) / (1 + s)) ** keys for sets of equal size
-    (0.03 % at 0.5) and of (1 - s) ** keys if one set holds the other (0.39 %).
-    In a block every pair is decided exactly, by a prefix tree. Large blocks
-    are met chunk against chunk, so that a task holds two chunks of about
-    ``CHUNK_GRAMS`` grams, however common a gram is.
+    No pair is left out: a gram that one document alone has can't be common to
+    two, and of the others, ordered by the number of their documents, two sets
+    that reach the threshold t share one of the leading |set| - ceil(t * |set|)
+    + 1 of both (the exact prefix). Documents that are connected by such grams
+    meet in one task, once; if they are too many for one they are divided again
+    by the grams that are rare among them, and what stays too large is met
+    chunk against chunk. Grams are compared by 40 bits of their hashes.
 
     Texts of fewer than ``n`` words are one gram. Null, empty and wordless
     texts have no grams and no partners; rows without doc_id can't be named and
@@ -350,18 +690,44 @@ def similar_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     texts isn't paired with itself. Of an empty table the result is empty. Other
     columns aren't read, whatever their names.
     """
-    (row,) = fresh([doc_id, text], "row_key")
-    own = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text)).filter(F.col(doc_id).isNotNull()).withColumn(row, _row_key(doc_id, text))
-    summary, pairs = set_pairs(own, [doc_id], row, text, n, threshold, keys)
-    lowest = summary.groupBy("sig").agg(F.min(doc_id).alias("rep"))
+    own = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text)).filter(F.col(doc_id).isNotNull())
+    members, pairs = _joined(own, [doc_id], text, n, threshold, True)[:2]
+    lowest = members.groupBy("sig").agg(F.min(doc_id).alias("rep"))
     left, right = (lowest.select(F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(x)) for x in "ab")
     distinct = pairs.join(left, "sig_a").join(right, "sig_b").filter("a != b").select(
         F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard")
     )
-    equal = summary.select("sig", F.col(doc_id).alias("doc_b")).distinct().join(lowest, "sig").filter("doc_b != rep")
+    equal = members.select("sig", F.col(doc_id).alias("doc_b")).join(lowest, "sig").filter("doc_b != rep")
     return distinct.unionByName(equal.select(F.col("rep").alias("doc_a"), "doc_b", F.lit(1.0).alias("jaccard")))
 
 
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of each document: the lowest id it is connected with by pairs that reach ``threshold``, and the number of documents that do so with it.
+
+    The pairs are those of any two documents, copies among them, as
+    ``similar_pairs`` and ``all_pairs`` spell them out, none left out; here they
+    are counted where they are found, so that rows are as many as documents.
+
+    A document without partners is its own class and has no links: null, empty
+    and wordless texts too. Rows without doc_id take no part, repeated rows
+    count once; an id that stands on texts of different sets has a row for
+    each, which count as documents of their own.
+    """
+    own = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text)).filter(F.col(doc_id).isNotNull())
+    members, cells, chunked = _joined(own, [doc_id], text, n, threshold, False)
+    cells = _once(cells)
+    counted = cells.groupBy("sig").agg(F.sum("links").alias("links"))
+    roots = cells.select("sig", "root")
+    if chunked:  # a set is in several cells
+        roots = _roots(roots.filter("sig != root").toDF("a", "b"))
+    placed = members.join(counted.join(roots, "sig", "left"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    copies = members.groupBy("sig").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    lowest = placed.groupBy("root").agg(F.min(doc_id).alias("class_id"))
+    found = placed.join(copies, "sig").join(lowest, "root").select(doc_id, "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"))
+    wordless = own.select(doc_id).join(members.select(doc_id), doc_id, "left_anti").distinct()
+    return found.unionByName(wordless.select(doc_id, F.col(doc_id).alias("class_id"), F.lit(0).cast("long").alias("links")))
+
+
 def all_pairs(pairs: DataFrame) -> DataFrame:
     """The rows of ``similar_pairs`` with each class spelled out: (doc_a, doc_b, jaccard) of all members of the two classes of a row, and of all pairs within a class. For tables whose ids stand on one text each."""
     same, other = pairs.filter("jaccard = 1"), pairs.filter("jaccard < 1")

@@ -554,6 +554,70 @@ def test_each_copy_is_in_a_row(spark):
     assert {i for r in out for i in r} == {*range(100, 130), 301} and (100, 301) in out
 
 
+def linked_by_brute_force(rows):
+    """{id: (class, links)} of documents with ids of their own."""
+    own = {i: grams(t) for i, t in rows}
+    near = {i: [j for j, h in own.items() if j != i and g and len(g & h) >= ngramjoin.THRESHOLD * len(g | h)] for i, g in own.items()}
+    least, before = {i: i for i in own}, None
+    while least != before:
+        before, least = least, {i: min([least[i], *(least[j] for j in near[i])]) for i in own}
+    return {i: (least[i], len(near[i])) for i in own}
+
+
+def test_links_and_classes_equal_brute_force(spark, monkeypatch):
+    rows = near_documents(random.Random(19))
+    df = awkward(spark, rows + rows[:2])
+    want = linked_by_brute_force(rows)
+    for chunk, tree, broadcast in ((4096, 16, 500_000), (4096, 0, 500_000), (3, 16, 0)):
+        monkeypatch.setattr(ngramjoin, "CHUNK", chunk)
+        monkeypatch.setattr(ngramjoin, "TREE", tree)
+        monkeypatch.setattr(ngramjoin, "BROADCAST", broadcast)
+        out = [(r.doc_id, r.class_id, r.links) for r in ngramjoin.linked(df).collect()]
+        assert len(out) == len({r[0] for r in out}) == len(rows) + 5
+        assert {i: (c, n) for i, c, n in out if i >= 100} == want
+        assert {r for r in out if r[0] < 100} == {(i, i, 0) for i in range(1, 6)}
+    assert ngramjoin.linked(df.limit(0)).count() == 0
+
+
+def test_no_pair_is_left_to_chance(spark):
+    """Of texts that hold half of another, at the threshold just so, the lowest keys of hash order miss one in 256."""
+    rows = []
+    for k in range(1500):
+        words = [f"w{k}x{i}" for i in range(42)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:22]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(2 * k, 2 * k + 1, 0.5) for k in range(1500)}
+    assert {tuple(r) for r in ngramjoin.similar_pairs(df).collect()} == want
+    assert {tuple(r) for r in ngramjoin.linked(df).collect()} == {(i, i - i % 2, 1) for i in range(3000)}
+
+
+def test_rows_are_as_many_as_documents(spark):
+    rng = random.Random(20)
+    base = [english(rng, 1) + str(i) for i in range(60)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        t[rng.randrange(60)] = f"edit{i}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in ngramjoin.linked(df).collect()} == {(i, 0, 149) for i in range(150)}
+
+
+def test_tiles_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "TREE", 0)
+    monkeypatch.setattr(ngramjoin, "TILE", 7)
+    rng = random.Random(21)
+    for _ in range(60):
+        base, m = rng.sample(range(200), 40), rng.randrange(2, 40)
+        plain = [{*rng.sample(base, rng.randrange(1, 40))} | {rng.randrange(200) for _ in range(rng.randrange(4))} for _ in range(m)]
+        sizes = np.array([len(s) + rng.randrange(4) for s in plain])
+        side = np.array([rng.random() < 0.5 for _ in plain])
+        for rows, columns in ((np.arange(m), np.arange(m)), (np.flatnonzero(side), np.flatnonzero(~side))):
+            want = [(i, j, len(plain[i] & plain[j])) for i in rows for j in columns if i < j and len(plain[i] & plain[j]) >= 0.5 * (sizes[i] + sizes[j] - len(plain[i] & plain[j]))]
+            got = [p for t in ngramjoin.linked_tiles([np.array(sorted(s), np.uint64) for s in plain], sizes, 0.5, rows, columns) for p in zip(*(c.tolist() for c in t))]
+            assert sorted(got) == want
+
+
 def test_contained_sets_are_met_as_often_as_stated():
     """Of pairs of which one set holds the other, of twice the size, (1 - 0.5) ** keys share no gram that is among both lists of lowest ones."""
     rng = np.random.default_rng(17)
