@@ -22,6 +22,8 @@ BROADCAST = 500_000
 SPREAD = 4
 #: Grams of the sets whose postings are written at a time; rows and columns of a matrix of overlaps.
 PIECE, TILE = 1_000_000, 512
+#: Chunks of a part beyond which it is divided again, which costs about as much as to send its sets that often.
+DIVIDE = 4
 #: Sets of a part that meet in a prefix tree, at most; more of them meet in matrices.
 TREE = 16
 
@@ -341,21 +343,37 @@ def _pieces_of(batches, limit: int):
                 first, total, own = k + 1, 0, []
 
 
-def _write(v: np.ndarray) -> list[bytes]:
-    """Numbers of 40 bits as 32 low and 8 high ones."""
-    return [v.astype("<u4").tobytes(), (v >> U64(32)).astype(np.uint8).tobytes()]
+def _write(v: np.ndarray) -> bytes:
+    """Ascending numbers: the width of a gap, the first number, the gaps."""
+    gaps = np.diff(v).astype("<u8")
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + int(v[0]).to_bytes(8, "little") + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _read(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << U64(32)
+def _read(written: bytes) -> np.ndarray:
+    width, first = written[0], int.from_bytes(written[1:9], "little")
+    n = (len(written) - 9) // width
+    out = np.zeros((n + 1, 8), np.uint8)
+    out[1:, :width] = np.frombuffer(written, np.uint8, offset=9).reshape(n, width)
+    out = out.view("<u8").reshape(-1)
+    out[0] = first
+    return np.cumsum(out, dtype=np.uint64)
 
 
-_POSTED = "part int, piece long, kind int, low binary, high binary, doc binary, df binary"
-_NAMES = ["part", "piece", "kind", "low", "high", "doc", "df"]
+def _places(doc: np.ndarray, documents: int) -> bytes:
+    return doc.astype("<u2" if documents <= 65_536 else "<u4").tobytes()
+
+
+def _placed(written: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(written, "<u2" if len(written) == 2 * n else "<u4").astype(np.uint32)
+
+
+_POSTED = "part int, piece long, kind int, grams binary, doc binary, df binary"
+_NAMES = ["part", "piece", "kind", "grams", "doc", "df"]
 
 
 def _posted(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_NAMES)
 
 
@@ -372,10 +390,10 @@ def _post(batches, parts: int):
         order = np.argsort(v, kind="stable")
         v, doc = v[order], doc[order]
         cut = np.searchsorted(v, (np.arange(parts + 1, dtype=np.uint64) << U64(40)) // U64(parts))
-        rows = [(number % parts, number, 1, sig.astype("<i8").tobytes(), size.astype("<i8").tobytes(), cell.astype("<i8").tobytes(), b"")]
+        rows = [(number % parts, number, 1, sig.astype("<i8").tobytes(), size.astype("<i8").tobytes(), cell.astype("<i8").tobytes())]
         for k in np.flatnonzero(np.diff(cut)):
             own = slice(cut[k], cut[k + 1])
-            rows.append((int(k), number, 0, *_write(v[own]), doc[own].astype("<u4" if len(sets) > 65_535 else "<u2").tobytes(), b""))
+            rows.append((int(k), number, 0, _write(v[own]), _places(doc[own], len(sets)), b""))
         yield _posted(rows)
         number += 1
 
@@ -384,12 +402,12 @@ def _count(batches):
     """Of the rows of a range of grams: those in two documents or more, with the number of documents, back to their pieces."""
     pieces, grams, docs = [], [], []
     for batch in batches:
-        for part, piece, kind, low, high, doc, df in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, piece, kind, written, doc, df in zip(*(c.to_pylist() for c in batch.columns)):
             if kind:
-                yield _posted([(part, piece, kind, low, high, doc, df)])
+                yield _posted([(part, piece, kind, written, doc, df)])
                 continue
-            grams.append(_read(low, high))
-            docs.append(np.frombuffer(doc, "<u2" if len(doc) == 2 * len(grams[-1]) else "<u4").astype(np.uint32))
+            grams.append(_read(written))
+            docs.append(_placed(doc, len(grams[-1])))
             pieces.append(piece)
     if not grams:
         return
@@ -410,7 +428,7 @@ def _count(batches):
     rows = []
     for k in np.flatnonzero(np.diff(cut)):
         own = slice(cut[k], cut[k + 1])
-        rows.append((0, pieces[k], 0, *_write(g[own]), doc[own].astype("<u4").tobytes(), df[own].astype("<u2").tobytes()))
+        rows.append((0, pieces[k], 0, _write(g[own]), _places(doc[own], int(doc[own].max()) + 1), df[own].astype("<u2").tobytes()))
         if len(rows) == 500:
             yield _posted(rows)
             rows = []
@@ -427,8 +445,8 @@ def _gather(batches, threshold: float):
         own = [r for r in rows if not r[2]]
         if not own:
             return None
-        g = np.concatenate([_read(r[3], r[4]) for r in own])
-        doc, df = (np.concatenate([np.frombuffer(r[k], t) for r in own]) for k, t in ((5, "<u4"), (6, "<u2")))
+        g, df = np.concatenate([_read(r[3]) for r in own]), np.concatenate([np.frombuffer(r[5], "<u2") for r in own])
+        doc = np.concatenate([_placed(r[4], len(r[5]) // 2) for r in own])
         order = np.lexsort((g, df, doc))
         g, doc = g[order], doc[order]
         at = np.searchsorted(doc, np.arange(len(sig) + 1))
@@ -637,19 +655,20 @@ def _joined(own: DataFrame, ids: list[str], text: str, n: int, threshold: float,
     members = summary.select(*ids, "sig").distinct()
     weights = members.groupBy("sig").agg(F.count(F.lit(1)).alias("weight"))
     left, roots = _narrow(summary.select("sig", "size", F.lit(0).cast("long").alias("cell"), "grams"), threshold)
-    placed, before = [], None
+    placed, before, chunked = [], None, False
     while True:
         whole = left.select("sig", "n").distinct().join(roots, "sig")
         total = whole.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
         chunks = F.ceil(F.greatest(F.col("c") / CHUNK, F.col("g") / CHUNK_GRAMS)).cast("int")
         info = _once(roots.join(total.select("root", chunks.alias("chunks")), "root"))
-        large = info.filter("chunks > 1").count()
+        chunked = chunked or bool(info.filter("chunks > 1").take(1))
+        large = info.filter(F.col("chunks") > DIVIDE).count()
         if not large or before is not None and large > 0.9 * before:
             placed.append((left, info))
             break
-        # parts that are too large for a task fall into smaller ones by the grams that are rare within them
-        placed.append((left, info.filter("chunks = 1")))
-        again = left.select("sig", "size", "grams").join(info.filter("chunks > 1"), "sig").select("sig", "size", F.col("root").alias("cell"), "grams")
+        # parts that are too large fall into smaller ones by the grams that are rare within them
+        placed.append((left, info.filter(F.col("chunks") <= DIVIDE)))
+        again = left.select("sig", "size", "grams").join(info.filter(F.col("chunks") > DIVIDE), "sig").select("sig", "size", F.col("root").alias("cell"), "grams")
         before = large
         left, roots = _narrow(again.dropDuplicates(["sig"]), threshold)
     found = None
@@ -661,7 +680,7 @@ def _joined(own: DataFrame, ids: list[str], text: str, n: int, threshold: float,
         sorted_ = cells.repartition(parts, "root", "low", "high").sortWithinPartitions("root", "low", "high", "sig")
         out = sorted_.mapInArrow(lambda it: _cells(it, threshold, listed), "sig_a long, sig_b long, common long, size_a long, size_b long" if listed else "sig long, root long, links long")
         found = out if found is None else found.union(out)
-    return members, found, before is not None and large > 0
+    return members, found, chunked
 
 
 def similar_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:

@@ -568,8 +568,9 @@ def test_links_and_classes_equal_brute_force(spark, monkeypatch):
     rows = near_documents(random.Random(19))
     df = awkward(spark, rows + rows[:2])
     want = linked_by_brute_force(rows)
-    for chunk, tree, broadcast in ((4096, 16, 500_000), (4096, 0, 500_000), (3, 16, 0)):
+    for chunk, divide, tree, broadcast in ((4096, 4, 16, 500_000), (3, 4, 0, 500_000), (3, 1, 16, 0)):
         monkeypatch.setattr(ngramjoin, "CHUNK", chunk)
+        monkeypatch.setattr(ngramjoin, "DIVIDE", divide)
         monkeypatch.setattr(ngramjoin, "TREE", tree)
         monkeypatch.setattr(ngramjoin, "BROADCAST", broadcast)
         out = [(r.doc_id, r.class_id, r.links) for r in ngramjoin.linked(df).collect()]
@@ -671,6 +672,14 @@ def test_copies_are_dropped_by_shuffle_as_by_broadcast(spark, monkeypatch):
     assert few == ids()
 
 
+def test_written_numbers_are_read_again():
+    rng = np.random.default_rng(23)
+    for n in (1, 2, 3, 1000):
+        for bits in (3, 20, 40, 63):
+            v = np.sort(rng.integers(0, 2**bits, n, dtype=np.uint64))
+            assert ngramjoin._read(ngramjoin._write(v)).tolist() == v.tolist()
+
+
 def test_packed_sets_are_read_again():
     rng = np.random.default_rng(22)
     for n in (*range(1, 70), 500, 20_000):
