@@ -316,3 +316,16 @@ def test_schemas(spark):
     from shelfspark import schemas
 
     assert all(schemas.empty(spark, n).count() == 0 for n in schemas.TABLES) and "terpenes" in schemas.TABLES["listings"].names
+
+
+def test_relocations_of_one_town_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(history, "_LIST", 3)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k % 6)
+    rows = [("s", f"L{k}", "closed" if k % 2 else "opened", day(k // 2), "op", "Town " if k % 3 else "town") for k in range(60)]
+    rows += [("s", "L1", "opened", day(0), "op", "town"), ("s", None, "closed", day(0), "op", "town"), ("s", "M", "opened", None, "op", "town"), ("s", "N", "opened", day(5), None, "town"), ("s", "L3", "closed", day(0), "op", "town"), ("s", "L3", "closed", day(0), "op", "town")]
+    ev = spark.createDataFrame(rows, "source string, loc string, kind string, occurred_on date, operator string, city string")
+    got = history.relocations(ev).withColumn("task", F.spark_partition_id()).collect()
+    fine = [r for r in rows if None not in r]
+    want = sorted((o[1], c[1], o[3]) for o in fine for c in fine if o[2] == "opened" and c[2] == "closed" and o[3] >= c[3] and o[1] != c[1])
+    assert sorted((r.loc, r.from_loc, r.occurred_on) for r in got) == want
+    assert len({r.task for r in got}) > 1
