@@ -99,7 +99,7 @@ def obtention(name: Column, raw: Column, table=None) -> Column:
 
 
 def terpene_name(raw: Column) -> Column:
-    return _first(alnum_key(raw), [(t, [t.lower()]) for t in rules.TERPENES])
+    return let(alnum_key(raw), lambda key: _first(key, [(t, [t.lower()]) for t in rules.TERPENES]))
 
 
 _UNITS = "|".join(sorted(rules.GRAMS, key=lambda u: (-len(u), u)))
@@ -184,12 +184,15 @@ def fold_terpenes(raw: Column) -> Column:
     percent = F.transform(
         raw, lambda x: F.struct(terpene_name(x["name"]).alias("name"), F.when(F.lower(F.coalesce(x["unit"], F.lit(""))).contains("mg"), x["value"] / 10).otherwise(x["value"]).alias("value"))
     )
-    kept = F.filter(percent, lambda x: x["name"].isNotNull() & (x["value"] >= 0))
-    sums = F.transform(
-        F.array(*[F.lit(t) for t in sorted(rules.TERPENES)]),
-        lambda t: F.struct(t.alias("name"), F.aggregate(F.filter(kept, lambda x: x["name"] == t), F.lit(None).cast("double"), lambda s, x: F.bround(F.coalesce(s, F.lit(0.0)) + x["value"], 4)).alias("value")),
-    )
-    return F.filter(sums, lambda x: x["value"].isNotNull())
+
+    def sums(kept: Column) -> Column:
+        return F.transform(
+            F.array(*[F.lit(t) for t in sorted(rules.TERPENES)]),
+            lambda t: F.struct(t.alias("name"), F.aggregate(F.filter(kept, lambda x: x["name"] == t), F.lit(None).cast("double"), lambda s, x: F.bround(F.coalesce(s, F.lit(0.0)) + x["value"], 4)).alias("value")),
+        )
+
+    # the named values are bound once: every terpene asks for them
+    return F.filter(let(F.filter(percent, lambda x: x["name"].isNotNull() & (x["value"] >= 0)), sums), lambda x: x["value"].isNotNull())
 
 
 def repair_step(a: Column) -> Column:

@@ -10,6 +10,7 @@ from shelfspark.catalog import query
 from shelfspark.functions import products as P
 from shelfspark.functions import text as X
 from shelfspark.operators import guards
+from shelfspark.operators.spread import spread
 
 _LISTINGS, _PRODUCTS, _PROGRAMS = (f"({adapters.duckdb(n)})" for n in ("listings", "products", "programs"))
 _ENRICHED = f"""SELECT *, {oracles.product_type('name', 'category', 'category_std')} AS product_type_std, {oracles.obtention('name', 'category')} AS obtention_std,
@@ -129,7 +130,7 @@ done AS (SELECT product_id, f, a, CASE WHEN len(list_filter(k, lambda x: x.value
 SELECT product_id, array_to_string(list_transform(k, lambda x: x.name || '=' || cast(cast(round(x.value * 10000) AS BIGINT) AS VARCHAR)), ',') AS profile, round(list_sum(list_transform(k, lambda x: x.value)), 4) AS total,
   k IS NOT NULL AND (f <> a OR len(k) <> len(a)) AS repaired, list_filter(k, lambda x: x.value = list_max(list_transform(k, lambda y: y.value)))[1].name AS dominant FROM done""")
 def terpene_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k")), "k")
     v = F.when(F.col("k") % 7 == 0, 6000.0).otherwise((F.col("k") % 8).cast("double") / 2)
     w = F.when(F.col("k") % 11 == 0, 10.0).otherwise(0.5)
     one = lambda name, value, unit: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), (unit if unit is not None else F.lit("%")).cast("string").alias("unit"))
