@@ -10,6 +10,7 @@ from shelfspark.catalog import query
 from shelfspark.functions import places as G
 from shelfspark.functions import products as P
 from shelfspark.operators import discovery, geocode, resolve
+from shelfspark.operators.spread import spread
 from shelfspark.sources import extract, layers, registries
 
 _STORES = f"({adapters.duckdb('stores')})"
@@ -20,7 +21,8 @@ def _text(*parts: Column | str) -> Column:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    """Keys to make captures of, dealt out to all cores: a small file of them is many pages to read."""
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")), "k")
 
 
 # address points and roads

@@ -9,7 +9,7 @@ import __spark_entry__
 from shelfspark.functions import products as P
 
 
-@pytest.mark.parametrize("name", ["terpene_profile"])
+@pytest.mark.parametrize("name", ["terpene_profile", "link_harvest", "table_records"])
 def test_one_file_of_keys_is_dealt_out(spark, sf, name):
     plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
