@@ -9,6 +9,7 @@ from shelfspark import rules
 from shelfspark.functions import places as G
 from shelfspark.functions import text as X
 from shelfspark.operators.graph import components, once
+from shelfspark.operators.spread import spread
 
 MERGE_M, CELL = 100.0, 0.002
 
@@ -49,38 +50,55 @@ def menu_rank(platform: Column, external_id: Column) -> Column:
 
 
 def pick_canonical(members: DataFrame) -> DataFrame:
-    """(cluster, canonical) of members (cluster, company_id, company_name, store_names): most stores named after it, then most stores, shortest name, least id."""
-    token = X.first_token(F.col("company_name"))
-    hits = F.size(F.filter("store_names", lambda s: F.contains(F.lower(s), token)))
-    order = F.struct(hits.alias("a"), F.size("store_names").alias("b"), (-F.length("company_name")).alias("c"), (-F.col("company_id")).alias("d"))
+    """(cluster, canonical) of members (cluster, company_id, company_name, hits, n_stores): most stores named after it (``hits``), then most stores, shortest name, least id."""
+    order = F.struct(F.col("hits").alias("a"), F.col("n_stores").alias("b"), (-F.length("company_name")).alias("c"), (-F.col("company_id")).alias("d"))
     return members.groupBy("cluster").agg(F.max_by("company_id", order).alias("canonical"))
 
 
+def key_points(stores: DataFrame) -> DataFrame:
+    """(id, reps) of each store with keys: for each of its keys the least id of the stores that have it, ascending. Stores that share one are the same; so are all stores of the least id."""
+    keys = once(store_keys(stores).filter("id is not null"))
+    least = keys.groupBy(F.col("state").alias("s"), F.col("key").alias("k")).agg(F.min("id").alias("rep"))
+    return once(keys.join(least, F.col("state").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k"))).groupBy("id").agg(F.sort_array(F.collect_set("rep")).alias("reps")))
+
+
+def near_points(stores: DataFrame, points: DataFrame, metres: float = MERGE_M) -> DataFrame:
+    """(a, b), the ties of ``near_pairs`` between the least representatives of stores (``points``, of ``key_points``): stores at one point hang on one of them, and only points are met with each other."""
+    at = ["state", "canonical_name", "latitude", "longitude"]
+    fine = stores.filter(" and ".join(f"{c} is not null" for c in at)).filter("latitude - latitude = 0 and longitude - longitude = 0")  # numbers, and finite
+    own = fine.join(points.select("id", F.col("reps")[0].alias("own")), "id").select(*at, "own").distinct()
+    tied = own.withColumn("id", F.min("own").over(Window.partitionBy(*at)))
+    return tied.select(F.col("id").alias("a"), F.col("own").alias("b")).distinct().union(near_pairs(tied.select(*at, "id").distinct(), metres))
+
+
 def dedupe(stores: DataFrame) -> DataFrame:
     """Each store row with ``grp`` (least id of its physical store; null without any key), ``operator`` (company that stands for its cluster),
     ``kept`` (row that stands for the store; itself without keys), ``latitude`` and ``longitude`` (and a blank ``address`` or ``zip_code``) filled in from the first located sibling, and ``storefront``.
 
     Ties that the rules leave open go to the lower id.
     """
-    keys = once(store_keys(stores))
-    first = keys.withColumn("a", F.min("id").over(Window.partitionBy("state", "key"))).select("a", F.col("id").alias("b"))
-    keyed = keys.select("id").distinct()
-    near = near_pairs(stores.join(keyed, "id", "left_semi"))
-    groups = components(first.union(near)).select(F.col("node").alias("id"), F.col("root").alias("grp"))
+    stores = once(spread(stores, "id"))  # a small file of stores is one task, whose addresses take long
+    points = key_points(stores)
+    first = points.select(F.col("reps")[0].alias("a"), F.explode("reps").alias("b")).distinct()
+    roots = components(first.union(near_points(stores, points)))
+    groups = points.select("id", F.col("reps")[0].alias("node")).join(roots, "node").select("id", F.col("root").alias("grp"))
     rows = once(stores.join(groups, "id", "left"))
-    links = rows.filter("grp is not null").withColumn("a", F.min("company_id").over(Window.partitionBy("grp"))).select("a", F.col("company_id").alias("b"))
-    clusters = components(links.union(stores.select(F.col("company_id").alias("a"), F.col("company_id").alias("b")))).select(F.col("node").alias("company_id"), F.col("root").alias("cluster"))
-    per = stores.groupBy("company_id").agg(F.max_by("canonical_name", "id").alias("company_name"), F.sort_array(F.collect_list(F.coalesce("name", F.lit("")))).alias("store_names"))
-    companies = per.join(clusters, "company_id").join(pick_canonical(per.join(clusters, "company_id")), "cluster")
-    companies = companies.select("company_id", F.col("canonical").alias("operator"), F.size("store_names").alias("n_stores"), "company_name")
+    links = rows.filter("grp is not null").select("grp", "company_id").distinct().withColumn("a", F.min("company_id").over(Window.partitionBy("grp"))).select("a", F.col("company_id").alias("b")).distinct()
+    clusters = components(links.union(stores.select(F.col("company_id").alias("a"), F.col("company_id").alias("b")).distinct())).select(F.col("node").alias("company_id"), F.col("root").alias("cluster"))
+    per = stores.groupBy("company_id").agg(F.max_by("canonical_name", "id").alias("company_name"), F.count(F.lit(1)).alias("n_stores"))
+    token = per.select("company_id", X.first_token(F.col("company_name")).alias("token"))
+    hits = stores.join(token, "company_id").groupBy("company_id").agg(F.count_if(F.contains(F.lower(F.coalesce("name", F.lit(""))), F.col("token"))).alias("hits"))
+    members = once(per.join(hits, "company_id").join(clusters, "company_id"))
+    companies = members.join(pick_canonical(members), "cluster").select("company_id", F.col("canonical").alias("operator"), "n_stores", "company_name")
     operators = companies.select(F.col("company_id").alias("operator"), F.col("n_stores").alias("operator_stores"), F.col("company_name").alias("operator_name"))
     rows = rows.join(companies, "company_id", "left").join(operators, "operator", "left")
-    w = Window.partitionBy(F.coalesce("grp", -1 - F.col("id")))  # rows without keys stay apart instead of meeting in one task
     rank = menu_rank(F.col("platform"), F.col("external_id"))
-    survivor = F.min_by("id", F.struct(rank.alias("r"), F.when(F.col("company_id") == F.col("operator"), 0).otherwise(1).alias("o"), F.col("id").alias("i"))).over(w)
+    survivor = F.min_by("id", F.struct(rank.alias("r"), F.when(F.col("company_id") == F.col("operator"), 0).otherwise(1).alias("o"), F.col("id").alias("i")))
     located = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct("id", "latitude", "longitude", "address", "zip_code"))
     smaller = F.when((F.col("company_id") != F.col("operator")) & (F.col("n_stores") < F.col("operator_stores")), F.struct(F.col("n_stores").alias("n"), F.col("company_id").alias("c"), F.col("company_name").alias("name")))
-    out = rows.withColumns({"k": survivor, "donor": F.min(located).over(w), "alias": F.min(smaller).over(w)})
+    # an aggregate, not a window: a large group's rows are combined before they meet
+    per_group = rows.filter("grp is not null").groupBy("grp").agg(survivor.alias("k"), F.min(located).alias("donor"), F.min(smaller).alias("alias"))
+    out = rows.join(per_group, "grp", "left")
     alone = F.col("grp").isNull()
     kept = F.when(alone, F.col("id")).otherwise(F.col("k"))
     fill = lambda c: F.when(~alone & (F.col("id") == F.col("k")) & (F.col("latitude").isNull() | F.col("longitude").isNull()), F.coalesce(F.col("donor")[c], F.col(c))).otherwise(F.col(c))
