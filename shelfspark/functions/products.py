@@ -159,8 +159,12 @@ def enrich_variants(variants: Column, category: Column, fields: list[str]) -> Co
     def one(v: Column) -> Column:
         price, original = variant_pricing(v, fields)
         grams = F.when(category.isin(rules.WEIGHT_CATEGORIES), size_to_grams(v["option"]))
-        grams = F.when(grams >= 0.05, grams)
-        return F.struct(v["option"].alias("option"), price.alias("price"), F.round(original, 2).alias("original_price"), grams.alias("size_g"), F.round(price / grams, 2).alias("price_per_g"))
+
+        def priced(grams: Column) -> Column:
+            grams = F.when(grams >= 0.05, grams)
+            return F.struct(v["option"].alias("option"), price.alias("price"), F.round(original, 2).alias("original_price"), grams.alias("size_g"), F.round(price / grams, 2).alias("price_per_g"))
+
+        return let(grams, priced)
 
     return F.transform(variants, one)
 

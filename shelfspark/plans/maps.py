@@ -179,7 +179,7 @@ def enriched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     variant = lambda o, p: F.struct(F.lit(o).alias("option"), p.cast("double").alias("price"), F.lit(None).cast("double").alias("original_price"))
     t = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"), F.lit("%").alias("unit"))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice"), "p_partkey")
     rows = part.select(
         k.alias("product_id"), F.lit("Flower").alias("category_std"), F.when(k % 3 == 0, 2.0).otherwise(20.0).alias("thc"), F.lit(None).cast("double").alias("cbd"),
         F.array(variant("7g", F.floor("p_retailprice") * 2), variant("1/8 oz", F.floor("p_retailprice")), variant("each", F.floor("p_retailprice"))).alias("variants"),

@@ -10,7 +10,7 @@ from shelfspark.functions import products as P
 from shelfspark.operators import graph, resolve
 
 
-@pytest.mark.parametrize("name", ["terpene_profile", "link_harvest", "table_records"])
+@pytest.mark.parametrize("name", ["terpene_profile", "link_harvest", "table_records", "enriched_records"])
 def test_one_file_of_keys_is_dealt_out(spark, sf, name):
     plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
@@ -39,3 +39,8 @@ def test_stores_at_one_point_are_tied_in_proportion(spark, monkeypatch):
     assert {i: r.grp for i, r in got.items()} == want
     assert got[n].operator == got[1].operator and got[508].kept == got[509].kept
     assert edges[0] < 4 * len(rows)
+
+
+def test_a_size_is_read_once(spark):
+    told = lambda c: str(c._jc.toString()).count("try_to_number")
+    assert told(P.enrich_variants(F.col("v"), F.col("c"), ["price"])) == told(P.size_to_grams(F.col("o")))
